@@ -13,6 +13,8 @@ window runs per (key, block), and block totals supply what came before.
   than ``1 / max_keys`` of the rows each.
 * With no large key the cut table is empty and adaptive execution drops the
   totals branch; what is left is one exchange and one window.
+* The input is read once for the sample, once for the rows and, for large keys,
+  once for totals. Callers that scan the result of a shuffle write it first.
 """
 
 from __future__ import annotations
@@ -43,23 +45,22 @@ def hot_key_cuts(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SplitPolicy = DEFAULT_SPLIT
 ) -> DataFrame:
     """``keys, _cuts``: sorted order values at which a large key is split."""
-    picked = df.select(
-        *keys, _order_value(order).alias("_o"), F.xxhash64(*order).alias("_h")
-    ).filter(F.pmod("_h", F.lit(policy.sample_mod)) == 0)
-    largest = (
-        picked.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_picked"))
+    per_key = Window.partitionBy(*keys)
+    picked = (
+        df.select(*keys, _order_value(order).alias("_o"), F.xxhash64(*order).alias("_h"))
+        .filter(F.pmod("_h", F.lit(policy.sample_mod)) == 0)
+        .withColumn("_picked", F.count(F.lit(1)).over(per_key))
         .filter(F.col("_picked") >= policy.min_cuts)
-        .orderBy(F.desc("_picked"), *keys)
-        .limit(policy.max_keys)
     )
     step = F.ceil(F.col("_picked") / F.lit(policy.max_cuts)).cast("bigint")
     nth = F.expr(f"_h div {policy.sample_mod}")
     return (
-        picked.join(F.broadcast(largest), list(keys))
-        .filter(F.pmod(nth, step) == 0)
+        picked.filter(F.pmod(nth, step) == 0)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_o")).alias("_cuts"))
+        .agg(F.sort_array(F.collect_list("_o")).alias("_cuts"), F.max("_picked").alias("_picked"))
+        .orderBy(F.desc("_picked"), *keys)
+        .limit(policy.max_keys)
+        .drop("_picked")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatterloom import config as C
 from chatterloom.functions import text as X
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, running
+from chatterloom.session import written
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -131,8 +132,9 @@ def fold_messages(
 
     A new id appends, a known id overwrites in place, ``remove`` drops the id, and
     an id appended after its removal goes to the end. Two narrow scans over ids
-    and sequence numbers decide what survives and where; message bodies are
-    shuffled once, in the final join on the sequence number that holds them.
+    and sequence numbers decide what survives and where, with the survivors written
+    in between; message bodies are shuffled once, in the final join on the
+    sequence number that holds them.
     """
     keys = list(keys)
     ids = events.select(*keys, "message_id", "seq", (F.col("op") == "remove").cast("int").alias("_rm"))
@@ -142,7 +144,7 @@ def fold_messages(
         .groupBy(*keys, "message_id")
         .agg(F.min("seq").alias("_first"), F.max("seq").alias("seq"))
     )
-    placed = running(kept, keys, ["_first"], {"position": F.lit(1)}, policy=policy).select(
+    placed = running(written(kept, "kept-ids"), keys, ["_first"], {"position": F.lit(1)}, policy=policy).select(
         *keys, "message_id", "seq", (F.col("position") - 1).alias("position")
     )
     bodies = events.filter(F.col("op") == "append")

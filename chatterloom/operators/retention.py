@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, running
 from chatterloom.schemas import NOT_NULL, PRIMARY_KEYS
+from chatterloom.session import written
 
 
 def cascade_delete(
@@ -37,7 +38,7 @@ def decide_profile_deletes(
         profiles.select("profile_id", "username"), ["profile_id", "username"], "left_anti"
     )
     held = profiles.groupBy("username").agg(F.count(F.lit(1)).alias("_held"))
-    ranked = running(owned, ["username"], ["ts", "profile_id"], {"_rank": F.lit(1)}, policy=policy)
+    ranked = running(written(owned, "owned-requests"), ["username"], ["ts", "profile_id"], {"_rank": F.lit(1)}, policy=policy)
     decided = ranked.join(held, "username").select(
         "profile_id",
         "username",

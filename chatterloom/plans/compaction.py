@@ -13,6 +13,7 @@ from chatterloom.functions import text as X
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, rows_in_spans, running
 from chatterloom.operators.logs import upsert_latest
 from chatterloom.operators.messages import thread_spans
+from chatterloom.session import written
 
 PAGE_ROWS = 1024
 FAN_IN = 1024
@@ -338,8 +339,13 @@ def compaction_boundaries(
     The recurrence is sequential in a thread but only over turn ends, and a long
     thread is cut into blocks of ``width`` turn ends that run in parallel.
     """
+    return _boundaries_of(written(turn_ends(messages, cfg, policy), "turn-ends"), cfg, width)
+
+
+def _boundaries_of(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFrame:
+    """Boundaries from turn ends; ``width`` leaves room for one whole step."""
     width = max(width, cfg.max_messages + cfg.keep_last + 2)
-    blocks = _turn_blocks(turn_ends(messages, cfg, policy), cfg, width)
+    blocks = _turn_blocks(ends, cfg, width)
     entries = _block_entries(blocks, cfg, width)
     zero = F.lit(0).cast("bigint")
     entered = blocks.join(entries, ["thread_id", "blk"], "left").select(
@@ -383,8 +389,8 @@ def context_size_per_turn(
     it is reported apart. ``opens_on_tool`` marks a window whose first message is
     a tool result cut off from its call.
     """
-    ends = turn_ends(messages, cfg, policy)
-    folds = compaction_boundaries(messages, cfg, policy, width)
+    ends = written(turn_ends(messages, cfg, policy), "turn-ends")
+    folds = written(_boundaries_of(ends, cfg, width), "boundaries")
     # The boundary `before` holds for turn ends after the previous fold up to this one.
     since = lambda s: F.when(s == 0, F.lit(0).cast("bigint")).otherwise(s + cfg.keep_last + 1)
     closed = folds.select(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy
+from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, rows_in_spans
 from chatterloom.operators.logs import append_messages, fold_messages
-from chatterloom.operators.messages import truncate_from
+from chatterloom.session import written
 
 SALTS = 64
 
@@ -21,25 +21,29 @@ def regenerate_events(
     message on is removed and the edited message appended; a thread without one
     only gets the append. The log itself keeps all its rows.
     """
-    state = fold_messages(events, policy=policy)
-    human = state.filter(F.col("type") == "human").groupBy("thread_id").agg(
-        F.max("position").alias("edit_position")
+    state = written(
+        fold_messages(events, policy=policy).select("thread_id", "position", "message_id", "type"), "state"
+    )
+    human = F.max(F.when(F.col("type") == "human", F.col("position")))
+    cut = (
+        state.groupBy("thread_id")
+        .agg(human.alias("lo"), F.count(F.lit(1)).alias("hi"))
+        .join(edits.select("thread_id"), "thread_id", "left_semi")
     )
-    cut = human.join(edits.select("thread_id"), "thread_id", "left_semi")
-    _, removed = truncate_from(state, cut)
     tops = events.groupBy("thread_id").agg(F.max("seq").alias("_top"))
-    drops = removed.join(tops, "thread_id").select(
+    spans = cut.filter("lo IS NOT NULL").join(tops, "thread_id")
+    drops = rows_in_spans(state, spans).select(
         "thread_id",
-        (F.col("_top") + 1 + F.col("position") - F.col("edit_position")).alias("seq"),
+        (F.col("_top") + 1 + F.col("position") - F.col("lo")).alias("seq"),
         F.lit("remove").alias("op"),
         "message_id",
         F.lit(None).cast("string").alias("type"),
         F.lit(None).cast("string").alias("content"),
     )
-    counts = removed.groupBy("thread_id").agg(F.count(F.lit(1)).alias("_n"))
-    adds = edits.join(tops, "thread_id", "left").join(counts, "thread_id", "left").select(
+    dropped = F.coalesce(F.col("hi") - F.col("lo"), F.lit(0))
+    adds = edits.join(tops, "thread_id", "left").join(cut, "thread_id", "left").select(
         "thread_id",
-        (F.coalesce("_top", F.lit(-1)) + 1 + F.coalesce("_n", F.lit(0))).alias("seq"),
+        (F.coalesce("_top", F.lit(-1)) + 1 + dropped).alias("seq"),
         F.lit("append").alias("op"),
         "message_id",
         F.lit("human").alias("type"),
@@ -70,4 +74,4 @@ def thread_state_asof(
         .filter(F.col("seq") <= F.col("_upto"))
         .drop("_salt", "_upto")
     )
-    return fold_messages(past, ["request_id", "thread_id"], policy)
+    return fold_messages(written(past, "past-events"), ["request_id", "thread_id"], policy)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "chatterloom") -> SparkSession:
@@ -41,3 +41,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="chatterloom-"), name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read back from a table written to the shared folder.
+
+    Used where a shuffled result feeds several branches: it is computed once,
+    its lineage ends there, and a lost executor costs a re-read.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Conversation-memory tables derived from the shared test tables.
 
 Rules are in FIXTURES.md. Note and extraction texts are whole document texts.
-Everything is lazy, so the work of a query grows with the tables it reads.
+Tables that need an ordered scan are written once before they are used.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatterloom.functions import text as X
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, running
+from chatterloom.session import written
 
 _EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
@@ -92,9 +93,12 @@ class Tables:
         ranked = running(
             rows, ["thread_id"], ["conv_id", "turn"], {"position": F.lit(1)}, policy=self.policy
         )
-        return ranked.select(
-            "thread_id", (F.col("position") - 1).alias("position"),
-            "message_id", "type", "content", "blocks", "tool_calls", "ts",
+        return written(
+            ranked.select(
+                "thread_id", (F.col("position") - 1).alias("position"),
+                "message_id", "type", "content", "blocks", "tool_calls", "ts",
+            ),
+            "long-message",
         )
 
     @cached_property
@@ -177,10 +181,11 @@ class Tables:
             F.lpad(F.col("event_id").cast("string"), 12, "0").alias("checkpoint_id"),
             "ts",
         )
-        return running(
+        linked = running(
             rows, ["thread_id"], ["checkpoint_id"],
             previous={"parent_checkpoint_id": F.col("checkpoint_id")}, policy=self.policy,
         )
+        return written(linked, "checkpoint")
 
     @cached_property
     def checkpoint_key(self) -> DataFrame:
