@@ -19,6 +19,7 @@ from chatterloom.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 # Threads of the short fixture never reach the default limits.
 SMALL = CompactionConfig(max_tokens=100, max_messages=4, keep_last=2)
@@ -27,6 +28,7 @@ CHECKED_TABLES = ("customer", "documents", "events", "conversations", "labels")
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    BUILDERS[build.__name__] = build
     REGISTRY[build.__name__] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
     return build
 
