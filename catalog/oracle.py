@@ -510,6 +510,13 @@ ORACLES: dict[str, str] = {
           SELECT response_id, thread_id, profile_id, generate_subscripts(string_split(body, E'\\n'), 1) - 1 AS line_no,
             {strip("unnest(string_split(body, E'\\n'))")} AS line FROM usable)
         WHERE starts_with(line, '- ') AND {strip("substring(line, 3)")} <> ''"""),
+    "extraction_prompts": q(f"""
+        SELECT message_id AS response_id, h.thread_id, profile_id,
+          {text(W.extract_lead)} || h.shown || {text(W.extract_join)} || a.shown || {text(W.extract_tail)} AS prompt
+        FROM (SELECT * FROM m WHERE type = 'human' QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY position DESC) = 1) h
+        JOIN (SELECT thread_id, shown FROM m WHERE type = 'ai' AND n_calls = 0
+              QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY position DESC) = 1) a ON a.thread_id = h.thread_id
+        JOIN tprof ON tprof.thread_id = h.thread_id WHERE h.shown <> ''"""),
     "extraction_touches": q("SELECT DISTINCT profile_id FROM usable"),
     "final_responses": q(f"""
         SELECT thread_id, turn_no, coalesce(CASE WHEN {strip('answer')} <> '' THEN answer END, {text(W.no_answer)}) AS response

@@ -587,6 +587,11 @@ def extract_notes(t: Tables) -> DataFrame:
     return memory.extract_notes(t.extraction, msg.last_human(t.long_message))
 
 
+@query
+def extraction_prompts(t: Tables) -> DataFrame:
+    return memory.extraction_prompts(t.message, t.thread_profile)
+
+
 @query
 def extraction_touches(t: Tables) -> DataFrame:
     return memory.extraction_touches(t.extraction, msg.last_human(t.long_message))

@@ -33,6 +33,9 @@ class Wording:
     update_lead: str = "Revise the summary so that it also covers the new excerpt.\n\nSUMMARY SO FAR:\n"
     update_join: str = "\n\nNEW EXCERPT:\n"
     prompt_tail: str = "\n\nAnswer with the summary only."
+    extract_lead: str = "List lasting facts about the user from this exchange.\n\nUSER: "
+    extract_join: str = "\nANSWER: "
+    extract_tail: str = "\n\nOne per line, each starting with '- '. Answer NONE if there are none."
     non_text: str = "[non-text content]"
     no_answer: str = "(no text answer)"
     note_saved: str = "Note stored with id "

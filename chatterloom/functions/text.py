@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from chatterloom import config as C
 
-# Fixed value: what counts as white space at the ends of a string.
-_ENDS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# The characters that count as white space at the ends of a string.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _ENDS, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def message_text(content: Column, blocks: Column) -> Column:

@@ -19,23 +19,22 @@ def describe_images(messages: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Replace image blocks by their text description, so a log is text only.
 
     ``descriptions(message_id, description)``. Messages without an image block
-    keep their content. A described message keeps its own text, followed by the
-    image note; an undescribed one shows the image marker.
+    keep their content and are not shuffled. A described message keeps its own
+    text, followed by the image note; an undescribed one shows the image marker.
     """
     has_image = F.exists("blocks", lambda b: b["type"] != "text")
+    pictured = F.col("content").isNull() & F.coalesce(has_image, F.lit(False))
+    no_blocks = F.lit(None).cast(messages.schema["blocks"].dataType)
+    text = X.message_text(F.col("content"), F.col("blocks"))
+    plain = messages.filter(~pictured).withColumn("content", text).withColumn("blocks", no_blocks)
     own = F.array_join(
         F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n"
     )
-    joined = messages.join(descriptions, "message_id", "left")
     described = X.with_image_note(own, F.col("description"))
-    content = (
-        F.when(F.col("content").isNotNull(), F.col("content"))
-        .when(has_image & F.col("description").isNotNull(), described)
-        .otherwise(X.message_text(F.col("content"), F.col("blocks")))
-    )
-    return joined.withColumn("content", content).withColumn(
-        "blocks", F.lit(None).cast(messages.schema["blocks"].dataType)
-    ).select(messages.columns)
+    shown = F.when(F.col("description").isNull(), text).otherwise(described)
+    joined = messages.filter(pictured).join(descriptions, "message_id", "left")
+    replaced = joined.withColumn("content", shown).withColumn("blocks", no_blocks)
+    return plain.unionByName(replaced.select(messages.columns))
 
 
 def message_count(messages: DataFrame) -> DataFrame:
@@ -141,9 +140,11 @@ def message_composition(
 # --- tails and cuts -----------------------------------------------------------
 
 
-def thread_spans(messages: DataFrame, summaries: DataFrame) -> DataFrame:
-    """``thread_id, lo, hi``: the unsummarized part of every thread."""
+def thread_spans(messages: DataFrame, summaries: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``thread_id, lo, hi``: the unsummarized part of every thread, or of ``only``."""
     counts = messages.groupBy("thread_id").agg(F.count(F.lit(1)).alias("hi"))
+    if only is not None:
+        counts = counts.join(only.select("thread_id"), "thread_id", "left_semi")
     return counts.join(
         summaries.select("thread_id", "summarized_count"), "thread_id", "left"
     ).select(
@@ -151,9 +152,9 @@ def thread_spans(messages: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
 
-def unsummarized_tail(messages: DataFrame, summaries: DataFrame) -> DataFrame:
+def unsummarized_tail(messages: DataFrame, summaries: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Messages from the boundary on; none when the boundary is past the end."""
-    return rows_in_spans(messages, thread_spans(messages, summaries)).select(messages.columns)
+    return rows_in_spans(messages, thread_spans(messages, summaries, only)).select(messages.columns)
 
 
 def foldable_split(

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.config import CompactionConfig, Wording
 from chatterloom.functions import text as X
+from chatterloom.functions.model import TextFunction, apply_text_function
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, rows_in_spans, running
 from chatterloom.operators.logs import upsert_latest
 from chatterloom.operators.messages import thread_spans
@@ -92,7 +91,9 @@ def fold_segments(
     The lead is on the first page and the tail on the last. Messages are only
     read; nothing is removed from them.
     """
-    due = compaction_candidates(messages, summaries, cfg)
+    # Written: three uses, and its known size lets a short list be broadcast, so
+    # that bodies of threads that are not due are never shuffled.
+    due = written(compaction_candidates(messages, summaries, cfg), "due")
     spans = due.select("thread_id", F.col("start").alias("lo"), F.expr("start + foldable_messages").alias("hi"))
     pages = transcript_pages(messages, spans, wording, page_rows)
     facts = due.join(summaries.select("thread_id", "summary"), "thread_id", "left").select(
@@ -114,28 +115,13 @@ def fold_segments(
     )
 
 
-Summarizer = Callable[[pd.Series], pd.Series]
-
-
 def shorten(prompts: pd.Series) -> pd.Series:
     """Stand-in summarizer: the first 200 characters of the prompt."""
     return prompts.str.slice(0, 200)
 
 
-def _summarize_rows(df: DataFrame, summarize: Summarizer) -> DataFrame:
-    """Replace ``text`` where ``due``; each Arrow batch is one call."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch["due"].any():
-                batch.loc[batch["due"], "text"] = summarize(batch.loc[batch["due"], "text"])
-            yield batch
-
-    return df.mapInPandas(each, df.schema)
-
-
 def apply_summaries(
-    segments: DataFrame, summarize: Summarizer = shorten, fan_in: int = FAN_IN
+    segments: DataFrame, summarize: TextFunction = shorten, fan_in: int = FAN_IN
 ) -> DataFrame:
     """``thread_id, summary, summarized_count`` from a user function over prompts.
 
@@ -145,7 +131,7 @@ def apply_summaries(
     pages = segments.select(
         "thread_id", "page", "pages", "summarized_count", F.col("prompt").alias("text"), F.lit(True).alias("due")
     )
-    current = _summarize_rows(pages, summarize)
+    current = apply_text_function(pages, summarize)
     for group in (F.expr(f"page div {fan_in}"), F.lit(0).cast("bigint")):
         merged = (
             current.groupBy("thread_id", "pages", "summarized_count", group.alias("page"))
@@ -156,8 +142,9 @@ def apply_summaries(
                 (F.size("parts") > 1).alias("due"),
             )
         )
-        current = _summarize_rows(merged, summarize)
-    return current.select("thread_id", F.col("text").alias("summary"), "summarized_count")
+        current = apply_text_function(merged, summarize)
+    # Written, so that no later step calls the user function a second time.
+    return written(current.select("thread_id", F.col("text").alias("summary"), "summarized_count"), "summaries")
 
 
 def advance_summaries(summaries: DataFrame, new: DataFrame, stamp: Column) -> DataFrame:

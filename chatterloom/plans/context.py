@@ -95,7 +95,7 @@ def assemble_context(
         F.concat_ws(wording.section_rule, "text", on_last).alias("content"),
         F.lit(None).cast(messages.schema["blocks"].dataType).alias("blocks"),
     )
-    tail = unsummarized_tail(messages, summaries).join(threads.select("thread_id"), "thread_id", "left_semi")
+    tail = unsummarized_tail(messages, summaries, only=threads)
     return block.unionByName(
         tail.select("thread_id", "position", F.lit(0).cast("bigint").alias("part"), "type", "content", "blocks")
     )

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chatterloom.config import Wording
 from chatterloom.functions import text as X
+from chatterloom.functions.model import TextFunction, apply_text_function
+from chatterloom.operators.messages import last_human
+from chatterloom.session import written
 
 
 def tool_call_effects(
@@ -102,22 +105,53 @@ def touch_profiles(profiles: DataFrame, touches: DataFrame) -> DataFrame:
     ).select(profiles.columns)
 
 
-def usable_responses(responses: DataFrame, last_human: DataFrame) -> DataFrame:
+def extraction_prompts(
+    messages: DataFrame, thread_profiles: DataFrame, wording: Wording = Wording()
+) -> DataFrame:
+    """What to ask about the last exchange of each thread.
+
+    The last user text and the last finished answer; threads whose last user
+    message is empty, or that have no answer, are left out.
+    """
+    answers = messages.filter(X.ends_turn(F.col("type"), F.col("tool_calls")))
+    at = answers.groupBy("thread_id").agg(F.max("position").alias("position"))
+    answered = answers.join(at, ["thread_id", "position"]).select(
+        "thread_id", X.message_text(F.col("content"), F.col("blocks")).alias("_answer")
+    )
+    spoken = last_human(messages).filter(F.col("text") != "")
+    asked = spoken.join(answered, "thread_id").join(thread_profiles.select("thread_id", "profile_id"), "thread_id")
+    return asked.select(
+        F.col("message_id").alias("response_id"),
+        "thread_id",
+        "profile_id",
+        F.concat(
+            F.lit(wording.extract_lead), F.col("text"), F.lit(wording.extract_join), "_answer", F.lit(wording.extract_tail)
+        ).alias("prompt"),
+    )
+
+
+def ask_for_notes(prompts: DataFrame, function: TextFunction) -> DataFrame:
+    """Responses of a user function to extraction prompts, each asked once."""
+    due = prompts.withColumnRenamed("prompt", "text").withColumn("due", F.lit(True))
+    return written(apply_text_function(due, function).drop("due"), "responses")
+
+
+def usable_responses(responses: DataFrame, spoken: DataFrame) -> DataFrame:
     """Responses that may yield notes: non-empty, not ``NONE``, and the thread's
-    last user message is not blank."""
+    last user message (``spoken``, from ``last_human``) is not empty."""
     text = X.strip(F.col("text"))
     kept = responses.withColumn("_body", text).filter((text != "") & (text != "NONE"))
-    spoken = last_human.filter(F.col("text") != "").select("thread_id")
-    return kept.join(spoken, "thread_id", "left_semi")
+    heard = spoken.filter(F.col("text") != "").select("thread_id")
+    return kept.join(heard, "thread_id", "left_semi")
 
 
-def extract_notes(responses: DataFrame, last_human: DataFrame) -> DataFrame:
+def extract_notes(responses: DataFrame, spoken: DataFrame) -> DataFrame:
     """Bullet lines of model output as notes, numbered within their response.
 
     ``responses(response_id, thread_id, profile_id, text)``. A line counts when,
     stripped, it starts with ``- `` and has text after it.
     """
-    lines = usable_responses(responses, last_human).select(
+    lines = usable_responses(responses, spoken).select(
         "response_id", "thread_id", "profile_id", F.posexplode(F.split("_body", "\n")).alias("line_no", "line")
     )
     line = X.strip(F.col("line"))
@@ -130,6 +164,6 @@ def extract_notes(responses: DataFrame, last_human: DataFrame) -> DataFrame:
     )
 
 
-def extraction_touches(responses: DataFrame, last_human: DataFrame) -> DataFrame:
+def extraction_touches(responses: DataFrame, spoken: DataFrame) -> DataFrame:
     """Profiles touched by extraction, also when no line qualified."""
-    return usable_responses(responses, last_human).select("profile_id").distinct()
+    return usable_responses(responses, spoken).select("profile_id").distinct()

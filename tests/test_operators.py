@@ -220,3 +220,15 @@ def test_bullets(spark):
     humans = spark.createDataFrame([("t", "hi"), ("blank", "")], "thread_id string, text string")
     assert rows(memory.extract_notes(responses, humans), "response_id", "line_no", "text") == [("1", 0, "one"), ("1", 1, "two"), ("1", 5, "four")]
     assert rows(memory.extraction_touches(responses, humans)) == [("p",)]
+
+
+def test_notes_from_a_text_function(spark):
+    m = make_messages(spark, [("human", "I like tea"), ("ai", "noted"), ("human", "bye"), ("ai", "see you")])
+    empty = make_messages(spark, [("human", ""), ("ai", "a")], "empty")
+    silent = make_messages(spark, [("human", "hello")], "silent")
+    owner = spark.createDataFrame([("t", "p"), ("empty", "p"), ("silent", "p")], "thread_id string, profile_id string")
+    whole = m.unionByName(empty).unionByName(silent)
+    prompts = memory.extraction_prompts(whole, owner)
+    assert rows(prompts, "thread_id") == [("t",)] and "USER: bye\nANSWER: see you" in prompts.first()["prompt"]
+    responses = memory.ask_for_notes(prompts, lambda p: "- said " + p.str.extract(r"USER: (\w+)")[0])
+    assert rows(memory.extract_notes(responses, M.last_human(whole)), "thread_id", "text") == [("t", "said bye")]
