@@ -70,7 +70,7 @@ def content_length(content: Column) -> Column:
 
 def tokens_from_chars(chars: Column, chars_per_token: int = 4) -> Column:
     """Estimate for a whole list: the floor is taken once, on the sum."""
-    return F.floor(F.coalesce(chars, F.lit(0)) / F.lit(chars_per_token)).cast("bigint")
+    return F.call_function("div", F.coalesce(chars, F.lit(0)), F.lit(chars_per_token)).cast("bigint")
 
 
 def note_fields(value: Column) -> list[Column]:

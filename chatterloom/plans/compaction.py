@@ -189,7 +189,8 @@ def turn_ends(
     )
 
 
-_FOLDS = "array<struct<n: bigint, before: bigint, after: bigint>>"
+_FOLD = "struct<n: bigint, before: bigint, after: bigint>"
+_CHUNK = 128
 
 
 def _turn_blocks(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFrame:
@@ -227,9 +228,10 @@ def _turn_blocks(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFram
 
 
 def _fires(s: Column, chars: Column, e: Column, cfg: CompactionConfig) -> Column:
-    tokens = X.tokens_from_chars(e["kept"] - chars, cfg.chars_per_token)
+    """Whether turn end ``e`` folds, with the boundary at ``s``."""
+    enough = (cfg.max_tokens + 1) * cfg.chars_per_token
     waiting = e["n"] - s
-    return (waiting > cfg.keep_last) & ((tokens > cfg.max_tokens) | (waiting > cfg.max_messages))
+    return (waiting > cfg.keep_last) & ((e["kept"] - chars >= enough) | (waiting > cfg.max_messages))
 
 
 def _last_state(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
@@ -248,44 +250,51 @@ def _last_state(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
 
 
 def _folds(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
-    """Folds made inside a block that is entered with boundary ``s``."""
-    start = F.struct(s.alias("s"), chars.alias("chars"), F.array().cast(_FOLDS).alias("folds"))
+    """Folds made inside a block that is entered with boundary ``s``.
+
+    Collected in chunks: appending copies the array, so it stays short.
+    """
+
+    def fold(a: Column, e: Column) -> Column:
+        after = e["n"] - cfg.keep_last
+        made = F.struct(e["n"].alias("n"), a["s"].alias("before"), after.alias("after"))
+        full = F.size(a["open"]) >= _CHUNK
+        return F.struct(
+            after.alias("s"),
+            e["kept"].alias("chars"),
+            F.when(full, F.array_append(a["closed"], a["open"])).otherwise(a["closed"]).alias("closed"),
+            F.when(full, F.array(made)).otherwise(F.array_append(a["open"], made)).alias("open"),
+        )
+
+    start = F.struct(
+        s.alias("s"),
+        chars.alias("chars"),
+        F.array().cast(f"array<array<{_FOLD}>>").alias("closed"),
+        F.array().cast(f"array<{_FOLD}>").alias("open"),
+    )
     return F.aggregate(
         "own",
         start,
-        lambda a, e: F.when(
-            _fires(a["s"], a["chars"], e, cfg),
-            F.struct(
-                (e["n"] - cfg.keep_last).alias("s"),
-                e["kept"].alias("chars"),
-                F.array_append(
-                    a["folds"],
-                    F.struct(
-                        e["n"].alias("n"), a["s"].alias("before"), (e["n"] - cfg.keep_last).alias("after")
-                    ),
-                ).alias("folds"),
-            ),
-        ).otherwise(a),
-        lambda a: a["folds"],
+        lambda a, e: F.when(_fires(a["s"], a["chars"], e, cfg), fold(a, e)).otherwise(a),
+        lambda a: F.flatten(F.array_append(a["closed"], a["open"])),
     )
 
 
-def _block_entries(blocks: DataFrame, cfg: CompactionConfig, width: int) -> DataFrame:
-    """State at the start of each block after the first, for threads that have one.
+def _block_entries(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
+    """State at the start of each block after the first.
 
     Each block is summed up as a map from possible entry states to exit states;
     the maps of one thread are then walked in order. The walk sees at most
     ``reach`` rows per ``width`` turn ends.
     """
     zero = F.lit(0).cast("bigint")
-    chained = blocks.filter((F.col("blk") > 0) | (F.size("own") == width))
     first = F.array(F.struct(zero.alias("s"), zero.alias("chars")))
     states = F.when(F.col("blk") == 0, first).otherwise(
         F.transform(
             "carried", lambda e: F.struct((e["n"] - cfg.keep_last).alias("s"), e["kept"].alias("chars"))
         )
     )
-    maps = chained.select(
+    maps = blocks.select(
         "thread_id",
         "blk",
         F.inline(
@@ -332,14 +341,22 @@ def compaction_boundaries(
 def _boundaries_of(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFrame:
     """Boundaries from turn ends; ``width`` leaves room for one whole step."""
     width = max(width, cfg.max_messages + cfg.keep_last + 2)
-    blocks = _turn_blocks(ends, cfg, width)
-    entries = _block_entries(blocks, cfg, width)
+    blocks = _turn_blocks(ends, cfg, width).select("thread_id", "blk", "own")
     zero = F.lit(0).cast("bigint")
-    entered = blocks.join(entries, ["thread_id", "blk"], "left").select(
-        "thread_id", "own", *[F.coalesce(c, zero).alias(c) for c in ("s", "chars", "folds_before")]
-    )
-    made = entered.withColumn("folds", _folds(F.col("s"), F.col("chars"), cfg))
-    return made.select("thread_id", "folds_before", F.posexplode("folds").alias("i", "f")).select(
+    long = ends.filter(F.col("k") >= width).select("thread_id").distinct()
+    if long.isEmpty():
+        # The usual case: every thread fits one block and starts from nothing.
+        entered = blocks.select("thread_id", "own", *[zero.alias(c) for c in ("s", "chars", "folds_before")])
+    else:
+        chained = _turn_blocks(ends.join(long, "thread_id", "left_semi"), cfg, width)
+        entered = blocks.join(_block_entries(chained, cfg), ["thread_id", "blk"], "left").select(
+            "thread_id", "own", *[F.coalesce(c, zero).alias(c) for c in ("s", "chars", "folds_before")]
+        )
+    # The generator takes the expression itself: over a named column the optimizer
+    # would add a filter on its size and fold every block a second time.
+    return entered.select(
+        "thread_id", "folds_before", F.posexplode(_folds(F.col("s"), F.col("chars"), cfg)).alias("i", "f")
+    ).select(
         "thread_id",
         (F.col("folds_before") + F.col("i") + 1).cast("bigint").alias("boundary_no"),
         F.col("f.n").alias("at_message"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.config import Wording
+from chatterloom.functions import text as X
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, running
 from chatterloom.operators.messages import unsummarized_tail
 
@@ -51,7 +52,7 @@ def notes_context(
 def note_token_totals(notes: DataFrame, chars_per_token: int = 4) -> DataFrame:
     """Estimated tokens of each profile's note texts."""
     return notes.groupBy("profile_id").agg(
-        F.floor(F.sum(F.length("text")) / F.lit(chars_per_token)).cast("bigint").alias("note_tokens")
+        X.tokens_from_chars(F.sum(F.length("text")), chars_per_token).alias("note_tokens")
     )
 
 
