@@ -189,8 +189,8 @@ def turn_ends(
     )
 
 
-_FOLD = "struct<n: bigint, before: bigint, after: bigint>"
-_CHUNK = 128
+_FOLDS = "array<struct<n: bigint, before: bigint, after: bigint>>"
+_PIECE = 256
 
 
 def _turn_blocks(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFrame:
@@ -252,33 +252,47 @@ def _last_state(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
 def _folds(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
     """Folds made inside a block that is entered with boundary ``s``.
 
-    Collected in chunks: appending copies the array, so it stays short.
+    The accumulator of ``aggregate`` is copied at every element, so it must stay
+    small: the block is taken in pieces, a first pass finds the state at the start
+    of each piece, and the folds of each piece are then collected on their own.
     """
+    last_piece = F.call_function("div", F.size("own") - 1, F.lit(_PIECE)).cast("int")
 
-    def fold(a: Column, e: Column) -> Column:
+    def piece(i: Column) -> Column:
+        return F.slice("own", i * _PIECE + 1, F.lit(_PIECE))
+
+    def move(a: Column, e: Column) -> Column:
+        moved = F.struct((e["n"] - cfg.keep_last).alias("s"), e["kept"].alias("chars"))
+        return F.when(_fires(a["s"], a["chars"], e, cfg), moved).otherwise(a)
+
+    def collect(a: Column, e: Column) -> Column:
         after = e["n"] - cfg.keep_last
         made = F.struct(e["n"].alias("n"), a["s"].alias("before"), after.alias("after"))
-        full = F.size(a["open"]) >= _CHUNK
-        return F.struct(
-            after.alias("s"),
-            e["kept"].alias("chars"),
-            F.when(full, F.array_append(a["closed"], a["open"])).otherwise(a["closed"]).alias("closed"),
-            F.when(full, F.array(made)).otherwise(F.array_append(a["open"], made)).alias("open"),
+        moved = F.struct(
+            after.alias("s"), e["kept"].alias("chars"), F.array_append(a["folds"], made).alias("folds")
         )
+        return F.when(_fires(a["s"], a["chars"], e, cfg), moved).otherwise(a)
 
-    start = F.struct(
-        s.alias("s"),
-        chars.alias("chars"),
-        F.array().cast(f"array<array<{_FOLD}>>").alias("closed"),
-        F.array().cast(f"array<{_FOLD}>").alias("open"),
-    )
-    return F.aggregate(
-        "own",
-        start,
-        lambda a, e: F.when(_fires(a["s"], a["chars"], e, cfg), fold(a, e)).otherwise(a),
-        lambda a: F.flatten(F.array_append(a["closed"], a["open"])),
+    starts = F.aggregate(
+        F.sequence(F.lit(0), last_piece),
+        F.struct(
+            F.struct(s.alias("s"), chars.alias("chars")).alias("now"),
+            F.array().cast("array<struct<s: bigint, chars: bigint>>").alias("seen"),
+        ),
+        lambda a, i: F.struct(
+            F.aggregate(piece(i), a["now"], move).alias("now"),
+            F.array_append(a["seen"], a["now"]).alias("seen"),
+        ),
+        lambda a: a["seen"],
     )
 
+    def folds_of(start: Column, i: Column) -> Column:
+        empty = F.array().cast(_FOLDS).alias("folds")
+        state = F.struct(start["s"].alias("s"), start["chars"].alias("chars"), empty)
+        return F.aggregate(piece(i), state, collect, lambda a: a["folds"])
+
+    return F.flatten(F.transform(starts, folds_of))
+
 
 def _block_entries(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
     """State at the start of each block after the first.

@@ -31,12 +31,17 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in picked.collect()), key=repr)
 
 
-def make_messages(spark, items, thread="t"):
-    """Messages from ``(type, content, calls)`` tuples of one thread."""
+def make_threads(spark, threads):
+    """Messages of several threads from ``(type, content, calls, blocks)`` tuples."""
     from chatterloom.schemas import TABLES
 
     data = []
-    for position, item in enumerate(items):
-        kind, content, calls, blocks = (*item, None, None)[:4] if len(item) < 4 else item
-        data.append((thread, position, f"{thread}-{position}", kind, content, blocks, calls, None))
+    for thread, items in threads.items():
+        for position, item in enumerate(items):
+            kind, content, calls, blocks = (*item, None, None)[:4]
+            data.append((thread, position, f"{thread}-{position}", kind, content, blocks, calls, None))
     return spark.createDataFrame(data, TABLES["message"])
+
+
+def make_messages(spark, items, thread="t"):
+    return make_threads(spark, {thread: items})

@@ -2,7 +2,7 @@ import random
 
 import pandas as pd
 import pytest
-from conftest import SPLIT_ALL, make_messages, rows
+from conftest import SPLIT_ALL, make_messages, make_threads, rows
 from pyspark.sql import functions as F
 
 from chatterloom import CompactionConfig, Wording
@@ -125,14 +125,12 @@ CONFIGS = [
 
 
 @pytest.mark.parametrize("cfg", CONFIGS)
-@pytest.mark.parametrize("split, width", [(SplitPolicy(), 65_536), (SPLIT_ALL, 1)])
-def test_boundaries_equal_the_loop(spark, cfg, split, width):
+@pytest.mark.parametrize("split, width, piece", [(SplitPolicy(), 65_536, 4), (SPLIT_ALL, 1, 256)])
+def test_boundaries_equal_the_loop(spark, monkeypatch, cfg, split, width, piece):
+    monkeypatch.setattr(P, "_PIECE", piece)
     rng = random.Random(cfg.max_tokens + cfg.max_messages)
     threads = {f"t{i}": random_thread(rng, n) for i, n in enumerate([0, 1, 5, 30, 400, 150])}
-    frames = [make_messages(spark, items, name) for name, items in threads.items() if items]
-    m = frames[0]
-    for f in frames[1:]:
-        m = m.unionByName(f)
+    m = make_threads(spark, threads)
     got = P.compaction_boundaries(m, cfg, split, width)
     want = sorted(
         ((name, no + 1, *b) for name, items in threads.items() for no, b in enumerate(plain_boundaries(items, cfg))), key=repr
