@@ -9,6 +9,7 @@ from chatterloom import config as C
 from chatterloom.config import CompactionConfig, Wording
 from chatterloom.functions import text as X
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, rows_in_spans, running
+from chatterloom.session import written
 
 
 def with_text(messages: DataFrame) -> DataFrame:
@@ -153,8 +154,15 @@ def thread_spans(messages: DataFrame, summaries: DataFrame, only: DataFrame | No
 
 
 def unsummarized_tail(messages: DataFrame, summaries: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Messages from the boundary on; none when the boundary is past the end."""
-    return rows_in_spans(messages, thread_spans(messages, summaries, only)).select(messages.columns)
+    """Messages from the boundary on; none when the boundary is past the end.
+
+    With ``only`` the spans are written first: for few threads their known size
+    spares the message bodies a shuffle.
+    """
+    spans = thread_spans(messages, summaries, only)
+    if only is not None:
+        spans = written(spans, "tail-spans")
+    return rows_in_spans(messages, spans).select(messages.columns)
 
 
 def foldable_split(

@@ -16,8 +16,12 @@ from chatterloom.session import written
 def cascade_delete(
     tables: Mapping[str, DataFrame], thread_ids: DataFrame, key: str = "thread_id"
 ) -> dict[str, DataFrame]:
-    """Remove threads from every table that carries the thread key."""
-    gone = thread_ids.select(key).distinct()
+    """Remove threads from every table that carries the thread key.
+
+    The ids are written first: they are worked out once for all tables, and their
+    known size lets a short list be broadcast, so the tables are not shuffled.
+    """
+    gone = written(thread_ids.select(key).distinct(), "deleted-ids")
     return {
         name: df.join(gone, key, "left_anti").select(df.columns) for name, df in tables.items()
     }
