@@ -499,7 +499,7 @@ ORACLES: dict[str, str] = {
     "tool_note_events": q("""
         SELECT profile_id, note_id, action AS op, CASE WHEN action = 'put' THEN 'note from ' || message_id END AS text,
           CASE WHEN action = 'put' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS created_at,
-          CASE WHEN action = 'put' THEN thread_id END AS source_thread_id, epoch_us(ts) * 100 + call_no AS seq
+          CASE WHEN action = 'put' THEN thread_id END AS source_thread_id, epoch_us(ts) * 1000 + call_no AS seq
         FROM effects WHERE action IN ('put', 'delete')"""),
     "tool_profile_touches": q("""
         SELECT p.profile_id, name, created_at, greatest(updated_at, t.ts) AS updated_at, username

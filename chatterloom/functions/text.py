@@ -90,6 +90,12 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds of a zone-less timestamp since 1970, whatever the session zone."""
+    since = ts - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return (since.cast("interval second").cast("decimal(20, 6)") * 1_000_000).cast("bigint")
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Case-insensitive regex search; a missing text never matches."""
     return F.coalesce(text.rlike("(?iu)" + pattern), F.lit(False))

@@ -162,7 +162,7 @@ def append_messages(log: DataFrame, new: DataFrame) -> DataFrame:
 
 def fold_notes(events: DataFrame) -> DataFrame:
     """Current notes of a put / delete log; the last event of a note decides."""
-    latest = newest_per_key(events, ["profile_id", "note_id"], ["seq"])
+    latest = newest_per_key(events, ["profile_id", "note_id"], ["seq", "op"])
     return latest.filter(F.col("op") == "put").drop("op", "seq")
 
 

@@ -62,7 +62,7 @@ def note_events_of(effects: DataFrame) -> DataFrame:
         F.when(put, F.col("argument")).alias("text"),
         F.when(put, X.iso_utc(F.col("ts"))).alias("created_at"),
         F.when(put, F.col("thread_id")).alias("source_thread_id"),
-        (F.unix_micros(F.to_timestamp("ts")) * 100 + F.col("call_no")).alias("seq"),
+        (X.wall_micros(F.col("ts")) * 1000 + F.col("call_no")).alias("seq"),
     )
 
 

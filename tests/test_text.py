@@ -1,4 +1,5 @@
 import hashlib
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,15 @@ def test_store_documents(spark):
     assert [r["key"] for r in scope.drop_profile_namespace(both, gone).collect()] == ["k3"]
 
 
+def test_wall_micros_ignore_the_zone(spark):
+    stamp = F.expr("timestamp_ntz'2262-02-03 04:05:06.700001'")
+    want = (datetime(2262, 2, 3, 4, 5, 6, 700001) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert value(spark, X.wall_micros(stamp)) == want
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_iso_and_roles(spark):
     stamp = F.expr("timestamp_ntz'2024-02-03 04:05:06.7'")
     assert value(spark, X.iso_utc(stamp)) == "2024-02-03T04:05:06.700000+00:00"
