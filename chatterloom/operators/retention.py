@@ -57,8 +57,8 @@ def decide_profile_deletes(
 def delete_profiles(
     profiles: DataFrame, notes: DataFrame, requests: DataFrame, policy: SplitPolicy = DEFAULT_SPLIT
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(profiles, notes, decisions)`` after the requests."""
-    decisions = decide_profile_deletes(profiles, requests, policy)
+    """``(profiles, notes, decisions)`` after the requests, decided once."""
+    decisions = written(decide_profile_deletes(profiles, requests, policy), "profile-decisions")
     gone = decisions.filter(F.col("outcome") == "deleted").select("profile_id")
     return (
         profiles.join(gone, "profile_id", "left_anti").select(profiles.columns),
