@@ -151,16 +151,18 @@ def extract_notes(responses: DataFrame, spoken: DataFrame) -> DataFrame:
     ``responses(response_id, thread_id, profile_id, text)``. A line counts when,
     stripped, it starts with ``- `` and has text after it.
     """
-    lines = usable_responses(responses, spoken).select(
-        "response_id", "thread_id", "profile_id", F.posexplode(F.split("_body", "\n")).alias("line_no", "line")
-    )
-    line = X.strip(F.col("line"))
-    note = X.strip(F.substr(line, F.lit(3)))
+    heard = spoken.filter(F.col("text") != "").select("thread_id")
+    # Blank and NONE responses hold no bullet, so they need no test of their own.
+    # A stripped line that starts with "- " always has text after it.
+    lines = F.transform(F.split(X.strip(F.col("text")), "\n"), X.strip)
     return (
-        lines.filter(F.startswith(line, F.lit("- ")))
-        .withColumn("text", note)
-        .filter(F.col("text") != "")
-        .select("response_id", "thread_id", "profile_id", F.col("line_no").cast("bigint").alias("line_no"), "text")
+        responses.join(heard, "thread_id", "left_semi")
+        .select("response_id", "thread_id", "profile_id", F.posexplode(lines).alias("line_no", "line"))
+        .filter(F.startswith("line", F.lit("- ")))
+        .select(
+            "response_id", "thread_id", "profile_id", F.col("line_no").cast("bigint").alias("line_no"),
+            X.strip(F.substr("line", F.lit(3))).alias("text"),
+        )
     )
 
 
