@@ -5,7 +5,7 @@ from conftest import SPLIT_ALL
 
 import __spark_entry__ as entry
 from catalog import check
-from catalog.queries import BUILDERS
+from catalog.queries import BUILDERS, REGISTRY
 from chatterloom.sources.fixtures import Tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ def con():
     return check.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, con, name):
     build = entry.queries()[name]
     if name not in SQL:
@@ -44,4 +44,4 @@ def test_entry(spark):
 
 
 def test_only_metadata_report_has_no_sql():
-    assert set(entry.queries()) - set(SQL) == {"table_report"}
+    assert set(REGISTRY) - set(SQL) == {"table_report"}
