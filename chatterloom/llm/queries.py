@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import decontaminate as decon
+from chatterloom.llm import decontaminate as decon, jaccard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM w WHERE len(ws) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+node AS (SELECT h, min(doc_id) AS id, count(*) AS copies, min(n) AS n FROM sets GROUP BY h),
+own AS (SELECT s.doc_id AS id, g FROM s JOIN node ON s.doc_id = node.id),
+inter AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM own a JOIN own b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+link AS (
+  SELECT a, b, nb.copies AS weight FROM inter JOIN node na ON na.id = a JOIN node nb ON nb.id = b
+  WHERE k * 5 >= 4 * (na.n + nb.n - k)),
+reach AS (SELECT id, id AS seen FROM node UNION SELECT reach.id, b FROM reach JOIN link ON link.a = reach.seen),
+class AS (SELECT id, min(seen) AS class_id FROM reach GROUP BY id),
+links AS (SELECT a AS id, sum(weight)::BIGINT AS links FROM link GROUP BY a)
+SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(node.id, w.doc_id) AS copy_id,
+  coalesce(coalesce(links, 0) + copies - 1, 0)::BIGINT AS n_links
+FROM w LEFT JOIN sets ON w.doc_id = sets.doc_id LEFT JOIN node ON node.h = sets.h
+LEFT JOIN class ON class.id = node.id LEFT JOIN links ON links.id = node.id
+"""
+
+
+@query(JACCARD_SQL)
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"))
