@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import decontaminate as decon, jaccard
+from chatterloom.llm import chat, decontaminate as decon, jaccard, mixture, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,123 @@ LEFT JOIN class ON class.id = node.id LEFT JOIN links ON links.id = node.id
 @query(JACCARD_SQL)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (
+  SELECT *, 24 - 1 + length(regexp_replace(role, '([<\[])(\\*)(\|\w+\|>|/?s>|/?SYS>>|/?INST\])', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(\|\w+\|>|/?s>|/?SYS>>|/?INST\])', '\1\\\2\3', 'g')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+PROBE = """
+SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+AS probe(conv_id, turn, role, text)
+"""
+
+
+@query(CHAT_SQL)
+def op1_prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number is read back from the examples; ``formatted_chars`` counts all of them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(PROBE))
+    made = chat.prefix_examples(turns)
+    turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    heard = F.when(F.col("last"), chat.read_turns(F.col("text")))
+    back = made.select("conv_id", "position", F.char_length("text").alias("size"), heard.alias("heard"),
+                       F.when(F.col("trainable"), chat.trained_text(made)).alias("loss"))
+    digest = F.sha2(F.array_join(F.transform("heard", turn), ""), 256)
+    per_conv = back.select(
+        "conv_id", "size", F.size("heard").alias("n"), F.when(F.col("heard").isNotNull(), digest).alias("digest"),
+        F.when(F.col("loss").isNotNull(), F.struct("position", "loss")).alias("loss"),
+    ).groupBy("conv_id").agg(
+        F.max("n").cast("bigint").alias("n_turns"), F.max("digest").alias("turns_sha256"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("loss")), lambda x: x["loss"]), "").alias("loss"),
+        F.sum("size").alias("formatted_chars"),
+    )
+    return per_conv.select(
+        "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+MIX_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce((length(text) + 3) // 4, 0)::BIGINT AS tokens FROM documents),
+src AS (SELECT source, sum(tokens)::BIGINT AS t FROM d GROUP BY source),
+p AS (SELECT source, t, t::DOUBLE / (SELECT sum(t) FROM src)::DOUBLE AS p FROM src),
+natural_h AS (SELECT -sum(p * ln(p)) / ln(count(*)) AS h, count(*) AS n FROM p),
+bis AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
+    SELECT step, lo, hi, (lo + hi) / 2 AS mid,
+      (SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2))
+         >= 0.95 * ln(count(*)) FROM p) AS up
+    FROM bis WHERE step < 60)),
+rep AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
+    SELECT step, lo, hi, (lo + hi) / 2 AS mid,
+      (SELECT pow(min(p), (lo + hi) / 2 - 1) / sum(pow(p, (lo + hi) / 2)) > 4 FROM p) AS up
+    FROM rep WHERE step < 60)),
+expo AS (
+  SELECT greatest(CASE WHEN (SELECT h >= 0.95 FROM natural_h) THEN 1.0 ELSE (SELECT (lo + hi) / 2 FROM bis WHERE step = 60) END,
+    (SELECT (lo + hi) / 2 FROM rep WHERE step = 60)) AS a),
+plan AS (
+  SELECT source, t, ceil(t / 1048576)::BIGINT AS blocks, round(pow(p, a) / (SELECT sum(pow(p, a)) FROM p) * (SELECT sum(t) FROM src))::BIGINT AS b
+  FROM p, expo),
+dealt AS (
+  SELECT doc_id, d.source, tokens, t, b // t AS whole, b % t AS part,
+    ('0x' || substr(md5('mix:block:' || doc_id), 1, 15))::BIGINT % blocks AS block
+  FROM d JOIN plan ON d.source = plan.source),
+many AS (
+  SELECT *, ('0x' || substr(md5('mix:order:' || epoch || ':' || block), 1, 15))::BIGINT AS bo,
+    ('0x' || substr(md5('mix:' || epoch || ':' || doc_id), 1, 15))::BIGINT AS o
+  FROM (SELECT *, unnest(range(0, whole + CASE WHEN part > 0 THEN 1 ELSE 0 END)) AS epoch FROM dealt)),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY bo, block, o, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM many)
+SELECT doc_id, source, tokens, epoch, (upto - tokens)::BIGINT AS start FROM run WHERE upto <= CASE WHEN epoch < whole THEN t ELSE part END
+"""
+
+
+@query(MIX_SQL)
+def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixture.estimated_tokens("text").alias("size"), "text")
+    mixed = mixture.mix(docs.drop("text").withColumn("text", F.lit(None).cast("string")), tokens=F.col("size"), entropy=0.95, max_epochs=4.0)
+    return mixed.select("doc_id", "source", "tokens", "epoch", "start")
+
+
+SHARDS_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS t),
+b AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+    string_split(rtrim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1 ', 'g')), ' ') AS bytes FROM documents),
+d AS (
+  SELECT doc_id, source, size,
+    xor(4294967295, CASE WHEN size = 1 THEN 4294967295 ELSE list_reduce(bytes, lambda c, x: xor(t[xor(c::BIGINT, ('0x' || x)::BIGINT) % 256 + 1], c::BIGINT // 256)::VARCHAR, '4294967295')::BIGINT END) AS crc
+  FROM b, crc),
+h AS (SELECT *, ('0x' || substr(md5('shards:' || doc_id || ':' || crc), 1, 15))::BIGINT AS h FROM d),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY f, source, h, doc_id, crc) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (pos * 16 // n)::INTEGER AS shard,
+  (pos - ((pos * 16 // n) * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM p
+"""
+
+
+@query(SHARDS_SQL)
+def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.stratified_shards(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
