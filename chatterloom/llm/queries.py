@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, mixture, shards, warc
+from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, mixture, order, shards, warc
 from chatterloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,3 +235,8 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.ordered_rows(table(spark, sf_dir, "documents"), shared_folder(spark, "order"))
