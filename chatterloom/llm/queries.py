@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, mixture, order, shards, warc
+from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, language, mixture, order, quality, shards, warc
 from chatterloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,3 +240,19 @@ def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.ordered_rows(table(spark, sf_dir, "documents"), shared_folder(spark, "order"))
+
+
+@query()
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives are the documents that ``labels`` calls good, outside the held-out quarter; its other labels go unused."""
+    aside = quality.held_out("doc_id", 4, 2)
+    features = quality.learned_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), skip=aside)
+    out = quality.scored(features, quality.fit(features)).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", aside.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, aside = table(spark, sf_dir, "documents"), quality.held_out("doc_id", 3, 1)
+    model = language.fit(docs.filter(~aside))
+    return language.identify(docs, model, keep=["doc_id"]).select("doc_id", aside.alias("held_out"), "lang_pred", "score")
