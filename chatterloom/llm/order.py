@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatterloom.llm import kernels as K
-from chatterloom.session import ship_package, written
+from chatterloom.session import ship_package
 
 # Fixed value: the pattern that the vocabulary's merges were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 6
+ZSTD_LEVEL = 9  # ids are kept twice beside the shards, so their size counts
 _ENCODERS: dict = {}
 
 
@@ -84,17 +85,6 @@ def permuted(numbers: np.ndarray, count: int, key: int, rounds: int = ROUNDS) ->
 _SEQUENCES = "part int, seq long, n_tokens int, doc_ids array<{kind}>, starts array<long>, counts array<int>, tokens binary"
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Low bytes, then high bytes: half of them repeat, so they compress."""
-    return np.concatenate([ids & 0xFF, ids >> 8]).astype(np.uint8).tobytes()
-
-
-def _joined(planes: np.ndarray) -> np.ndarray:
-    """16-bit ids of rows of planes."""
-    half = planes.shape[1] // 2
-    return planes[:, :half].astype("<u2") | (planes[:, half:].astype("<u2") << np.uint16(8))
-
-
 def token_sequences(docs: DataFrame, config: OrderConfig = OrderConfig(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Packed sequences: place (``part``, ``seq``), used ids, document spans and ids. Write it before use."""
     ship_package(docs.sparkSession)
@@ -121,7 +111,7 @@ def token_sequences(docs: DataFrame, config: OrderConfig = OrderConfig(), *, key
                 starts = [begun[d] + o - int(ends[d] - len(ids[d])) for d, o in zip(span, opened)]
                 whole = np.full(size, config.end_of_text, np.uint16)
                 whole[: high - low] = flat[low:high]
-                rows.append((part, seq, high - low, [names[d] for d in span], starts, counts, _planes(whole)))
+                rows.append((part, seq, high - low, [names[d] for d in span], starts, counts, whole.astype("<u2").tobytes()))
                 seq += 1
             used = min(full * size, len(flat))
             if used < len(flat):
@@ -168,7 +158,9 @@ class Order:
 def materialise(docs: DataFrame, folder: str, config: OrderConfig = OrderConfig(), *, key: str = "doc_id", text: str = "text") -> Order:
     """Write the sequences of ``docs`` and the shards of their training order under ``folder``."""
     spark = docs.sparkSession
-    token_sequences(docs, config, key=key, text=text).write.option("compression", "zstd").parquet(f"{folder}/sequences")
+    token_sequences(docs, config, key=key, text=text).write.option("compression", "zstd").option(
+        "parquet.compression.codec.zstd.level", ZSTD_LEVEL
+    ).parquet(f"{folder}/sequences")
     table = spark.read.parquet(f"{folder}/sequences")
     sizes = sorted((r[0], r[1]) for r in table.groupBy("part").agg(F.count(F.lit(1))).collect())
     ends = np.cumsum([n for _, n in sizes]) if sizes else np.zeros(0, np.int64)
@@ -214,11 +206,11 @@ def _write_shards(table: DataFrame, order: Order) -> None:
         for batch in batches:
             slots = permuted(_numbers(batch, shared.value), total, key)
             data, _ = K.utf8(batch.column("tokens"))
-            planes = data.reshape(-1, 2 * size)
+            ids = data.reshape(-1, 2 * size)
             rows = []
             for shard in np.unique(slots // per).tolist():
                 mine = np.flatnonzero(slots // per == shard)
-                packed = pa.compress(planes[mine].tobytes(), codec="zstd", asbytes=True)
+                packed = pa.Codec("zstd", compression_level=ZSTD_LEVEL).compress(ids[mine].tobytes(), asbytes=True)
                 rows.append((shard, slots[mine].astype("<i8").tobytes(), packed))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["shard", "slots", "ids"])
 
@@ -234,7 +226,7 @@ def _write_shards(table: DataFrame, order: Order) -> None:
                     open_, buffer = shard, np.zeros((min(per, total - shard * per), size), "<u2")
                 at = np.frombuffer(slots.as_py(), "<i8") - shard * per
                 raw = pa.decompress(ids.as_buffer(), decompressed_size=len(at) * 2 * size, codec="zstd", asbytes=True)
-                buffer[at] = _joined(np.frombuffer(raw, np.uint8).reshape(-1, 2 * size))
+                buffer[at] = np.frombuffer(raw, "<u2").reshape(-1, size)
         if buffer is not None:
             yield done(open_, buffer)
 
@@ -271,4 +263,4 @@ def ordered_rows(docs: DataFrame, folder: str, config: OrderConfig = OrderConfig
     order = materialise(docs, folder, config, key=key, text=text)
     facts = slots_of(order.table(spark), order).select("slot", "n_tokens", "doc_ids", "starts", "counts")
     back = read_slots(spark, folder).select("slot", "shard", "byte_offset", F.sha2("tokens", 256).alias("tokens_sha256"))
-    return written(facts.join(back, "slot"), "order")
+    return facts.join(back, "slot")
