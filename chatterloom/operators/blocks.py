@@ -111,7 +111,9 @@ def running(
 
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From here to the end is from the end to here: a frame that only grows is summed in one pass.
+    backward = Window.partitionBy(*keys, "_blk").orderBy(*[F.desc(c) for c in order])
+    onward = backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {f"_w_{n}": F.sum(f"_s_{n}").over(upto) for n in sums}
     local |= {f"_w_{n}": F.sum(f"_s_{n}").over(onward) for n in after}
     local |= {f"_w_{n}": F.lag(f"_p_{n}").over(inside) for n in previous}

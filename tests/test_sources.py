@@ -46,7 +46,10 @@ def test_console_only_reads(spark):
     spark.range(3).createOrReplaceTempView("numbers")
     assert io.run_readonly_sql(spark, "  SELECT * FROM numbers;  ").count() == 3
     assert io.run_readonly_sql(spark, "with x as (select 1 as a) select * from x").count() == 1
-    for bad in ("DROP VIEW numbers", "insert into numbers values (1)", ""):
+    assert io.run_readonly_sql(spark, "explain select * from numbers").count() == 1
+    insert = "with q as (select 1 as a) insert overwrite directory '/tmp/never-written' using parquet select * from q"
+    into = "with q as (select 1 as a) insert into numbers select * from q"
+    for bad in ("DROP VIEW numbers", "insert into numbers values (1)", "", insert, into, "explain " + insert, "EXPLAIN extended " + into):
         with pytest.raises(PermissionError):
             io.run_readonly_sql(spark, bad)
     with pytest.raises(Exception):
