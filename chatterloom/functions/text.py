@@ -87,7 +87,10 @@ def in_namespace(namespace: Column, prefix: list[str]) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    """UTC in ISO form; a zone-less timestamp is UTC already, an instant is converted from the session zone."""
+    shape = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
+    instant = F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), shape)
+    return F.when(F.typeof(ts) == "timestamp", instant).otherwise(F.date_format(ts, shape))
 
 
 def wall_micros(ts: Column) -> Column:

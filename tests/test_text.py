@@ -93,3 +93,17 @@ def test_iso_and_roles(spark):
     stamp = F.expr("timestamp_ntz'2024-02-03 04:05:06.7'")
     assert value(spark, X.iso_utc(stamp)) == "2024-02-03T04:05:06.700000+00:00"
     assert [value(spark, X.display_role(F.lit(k))) for k in ("human", "ai", "tool", "system")] == ["user"] + ["assistant"] * 3
+
+
+def test_iso_utc_of_instants_and_zoneless_times(spark):
+    from pyspark.sql import functions as F
+
+    from chatterloom.functions.text import iso_utc
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = spark.sql("SELECT timestamp'2024-01-01 00:00:00Z' AS a, timestamp_ntz'2024-01-01 00:00:00' AS b")
+        assert set(row.select(iso_utc(F.col("a")), iso_utc(F.col("b"))).first()) == {"2024-01-01T00:00:00.000000+00:00"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
