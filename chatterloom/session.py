@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +51,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table written to the shared folder.
 
     Used where a shuffled result feeds several branches: it is computed once,
-    its lineage ends there, and a lost executor costs a re-read.
+    its lineage ends there, and a lost executor costs a re-read. The table is
+    deleted at the end of a ``scratch`` block, or else when the application ends.
     """
-    path = shared_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _files(spark, folder).deleteOnExit(folder)
+    for made in _open_blocks:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_open_blocks: list[list[str]] = []
+
+
+def _files(spark: SparkSession, folder):
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what ``written`` made inside; store or collect results before that."""
+    made: list[str] = []
+    _open_blocks.append(made)
+    try:
+        yield
+    finally:
+        _open_blocks.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            _files(spark, folder).delete(folder, True)
 
 
 def ship_package(spark: SparkSession) -> None:
