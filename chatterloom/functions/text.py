@@ -35,6 +35,11 @@ def with_image_note(text: Column, description: Column) -> Column:
     return F.when(description.isNull(), text).otherwise(noted)
 
 
+def without_image_note(text: Column) -> Column:
+    """The typed text that stands before an image note."""
+    return F.split_part(text, F.lit(C.IMAGE_NOTE_LEAD), F.lit(1))
+
+
 def display_role(kind: Column) -> Column:
     return F.when(kind == "human", "user").otherwise("assistant")
 

@@ -44,9 +44,9 @@ def message_count(messages: DataFrame) -> DataFrame:
 
 
 def auto_title(messages: DataFrame) -> DataFrame:
-    """First user text of a thread, stripped and cut; threads without one get the default."""
+    """First user text of a thread, without image note, stripped and cut; threads without one get the default."""
     human = F.col("type") == "human"
-    title = X.title_from_text(X.message_text(F.col("content"), F.col("blocks")))
+    title = X.title_from_text(X.without_image_note(X.message_text(F.col("content"), F.col("blocks"))))
     short = messages.select(
         "thread_id", F.when(human, F.col("position")).alias("_at"), F.when(human, title).alias("_title")
     )
