@@ -126,33 +126,37 @@ def fold_entity_log(
 
 
 def fold_messages(
-    events: DataFrame, keys: Sequence[str] = ("thread_id",), policy: SplitPolicy = DEFAULT_SPLIT
+    events: DataFrame, keys: Sequence[str] = ("thread_id",), policy: SplitPolicy = DEFAULT_SPLIT, keep_seq: bool = False
 ) -> DataFrame:
     """Current message list of every thread, ``position`` 0-based.
 
-    A new id appends, a known id overwrites in place, ``remove`` drops the id, and
-    an id appended after its removal goes to the end. Two narrow scans over ids
-    and sequence numbers decide what survives and where, with the survivors written
-    in between; message bodies are shuffled once, in the final join on the
-    sequence number that holds them.
+    Events are ordered by ``seq`` and, where the log has it, by ``sub`` (missing: 0),
+    the place among events that share a ``seq``. A new id appends, a known id
+    overwrites in place, ``remove`` drops the id, and an id appended after its removal
+    goes to the end. Two narrow scans over ids and sequence numbers decide what
+    survives and where, with the survivors written in between; message bodies are
+    shuffled once, in the final join on the sequence number that holds them. With
+    ``keep_seq`` the number that placed a message comes along as ``seq``.
     """
-    keys = list(keys)
-    ids = events.select(*keys, "message_id", "seq", (F.col("op") == "remove").cast("int").alias("_rm"))
+    keys, order = list(keys), ["seq", "sub"]
+    given = F.coalesce("sub", F.lit(0)) if "sub" in events.columns else F.lit(0)
+    numbered = events.withColumn("sub", given.cast("bigint"))
+    ids = numbered.select(*keys, "message_id", *order, (F.col("op") == "remove").cast("int").alias("_rm"))
+    at = F.struct(*order)
     kept = (
-        running(ids, [*keys, "message_id"], ["seq"], after={"_gone": F.col("_rm")}, policy=policy)
+        running(ids, [*keys, "message_id"], order, after={"_gone": F.col("_rm")}, policy=policy)
         .filter("_gone = 0")
         .groupBy(*keys, "message_id")
-        .agg(F.min("seq").alias("_first"), F.max("seq").alias("seq"))
-    )
-    placed = running(written(kept, "kept-ids"), keys, ["_first"], {"position": F.lit(1)}, policy=policy).select(
-        *keys, "message_id", "seq", (F.col("position") - 1).alias("position")
-    )
-    bodies = events.filter(F.col("op") == "append")
-    rest = [c for c in events.columns if c not in {*keys, "message_id", "seq", "op"}]
-    return (
-        bodies.join(placed, [*keys, "message_id", "seq"])
-        .select(*keys, "position", "message_id", *rest)
+        .agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+        .select(*keys, "message_id", "_last.*", F.col("_first.seq").alias("_seq"), F.col("_first.sub").alias("_sub"))
     )
+    placed = running(
+        written(kept, "kept-ids"), keys, ["_seq", "_sub"], {"position": F.lit(1)}, policy=policy
+    ).withColumn("position", F.col("position") - 1)
+    bodies = numbered.filter(F.col("op") == "append")
+    rest = [c for c in events.columns if c not in {*keys, "message_id", "seq", "sub", "op"}]
+    number = [F.col("_seq").alias("seq")] if keep_seq else []
+    return bodies.join(placed, [*keys, "message_id", *order]).select(*keys, "position", "message_id", *number, *rest)
 
 
 def append_messages(log: DataFrame, new: DataFrame) -> DataFrame:
@@ -162,8 +166,9 @@ def append_messages(log: DataFrame, new: DataFrame) -> DataFrame:
 
 def fold_notes(events: DataFrame) -> DataFrame:
     """Current notes of a put / delete log; the last event of a note decides."""
-    latest = newest_per_key(events, ["profile_id", "note_id"], ["seq", "op"])
-    return latest.filter(F.col("op") == "put").drop("op", "seq")
+    order = ["seq", "sub", "op"] if "sub" in events.columns else ["seq", "op"]
+    latest = newest_per_key(events, ["profile_id", "note_id"], order)
+    return latest.filter(F.col("op") == "put").drop("op", "seq", "sub")
 
 
 def dead_rows(log_rows: DataFrame, live_rows: DataFrame, name: str) -> DataFrame:

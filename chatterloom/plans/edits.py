@@ -19,17 +19,15 @@ def regenerate_events(
 
     ``edits(thread_id, message_id, content, ts)``. Everything from the last user
     message on is removed and the edited message appended; a thread without one
-    only gets the append. The log itself keeps all its rows.
+    only gets the append. The log itself keeps all its rows, and those of threads
+    without an edit are not folded.
     """
+    events = events.join(edits.select("thread_id"), "thread_id", "left_semi")
     state = written(
         fold_messages(events, policy=policy).select("thread_id", "position", "message_id", "type"), "state"
     )
     human = F.max(F.when(F.col("type") == "human", F.col("position")))
-    cut = (
-        state.groupBy("thread_id")
-        .agg(human.alias("lo"), F.count(F.lit(1)).alias("hi"))
-        .join(edits.select("thread_id"), "thread_id", "left_semi")
-    )
+    cut = state.groupBy("thread_id").agg(human.alias("lo"), F.count(F.lit(1)).alias("hi"))
     tops = events.groupBy("thread_id").agg(F.max("seq").alias("_top"))
     spans = cut.filter("lo IS NOT NULL").join(tops, "thread_id")
     drops = rows_in_spans(state, spans).select(

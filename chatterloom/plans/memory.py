@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatterloom import config as C
 from chatterloom.config import Wording
 from chatterloom.functions import text as X
 from chatterloom.functions.model import TextFunction, apply_text_function
@@ -18,25 +19,27 @@ def tool_call_effects(
     """One row per tool call: what it does and the tool message it answers with.
 
     ``note_id`` names new notes. It defaults to a digest of the call id, so a
-    rerun after a lost executor yields the same ids.
+    rerun after a lost executor yields the same ids. ``seq`` is the calling message's
+    number in its log; a table without that column is numbered by position.
     """
+    seq = F.col("seq" if "seq" in messages.columns else "position")
     calls = messages.filter(X.call_count(F.col("tool_calls")) > 0).select(
-        "thread_id", "position", "message_id", "ts", F.posexplode("tool_calls").alias("call_no", "call")
+        "thread_id", "position", seq.alias("seq"), "message_id", "ts", F.posexplode("tool_calls").alias("call_no", "call")
     ).withColumn("call_no", F.col("call_no").cast("bigint"))
     owned = calls.join(thread_profiles.select("thread_id", "profile_id"), "thread_id", "left")
     name, args = F.col("call.name"), F.col("call.args")
-    arg = F.when(name == "add_memory", F.try_element_at(args, F.lit("note"))).when(
-        name == "forget_memory", F.try_element_at(args, F.lit("note_id"))
+    arg = F.when(name == C.ADD_NOTE_TOOL, F.try_element_at(args, F.lit("note"))).when(
+        name == C.FORGET_NOTE_TOOL, F.try_element_at(args, F.lit("note_id"))
     )
     new_id = F.sha2(F.concat_ws(":", "thread_id", "call.id"), 256) if note_id is None else note_id
     action = (
-        F.when((name == "add_memory") & arg.isNotNull(), "put")
-        .when((name == "forget_memory") & arg.isNotNull(), "delete")
-        .when(name.isin("add_memory", "forget_memory"), "failed")
+        F.when((name == C.ADD_NOTE_TOOL) & arg.isNotNull(), "put")
+        .when((name == C.FORGET_NOTE_TOOL) & arg.isNotNull(), "delete")
+        .when(name.isin(C.ADD_NOTE_TOOL, C.FORGET_NOTE_TOOL), "failed")
         .otherwise("unknown")
     )
     acted = owned.select(
-        "thread_id", "profile_id", "position", "message_id", "ts", "call_no",
+        "thread_id", "profile_id", "position", "seq", "message_id", "ts", "call_no",
         F.col("call.id").alias("tool_call_id"),
         name.alias("tool"),
         arg.alias("argument"),
@@ -47,13 +50,13 @@ def tool_call_effects(
         F.when(F.col("action") == "put", F.concat(F.lit(wording.note_saved), "note_id"))
         .when(F.col("action") == "delete", F.concat(F.lit(wording.note_removed), "note_id"))
         .when(F.col("action") == "failed", F.concat(F.lit(wording.bad_arguments), "tool"))
-        .otherwise(F.concat(F.lit("Unknown tool: "), "tool"))
+        .otherwise(F.concat(F.lit(C.UNKNOWN_TOOL), "tool"))
     )
     return acted.withColumn("answer", answer)
 
 
 def note_events_of(effects: DataFrame) -> DataFrame:
-    """Note log rows; a call's place in its thread orders them within a profile."""
+    """Note log rows, ordered within a profile by time and then by the call's place (``seq, sub``)."""
     put = F.col("action") == "put"
     return effects.filter(F.col("action").isin("put", "delete")).select(
         "profile_id",
@@ -62,7 +65,8 @@ def note_events_of(effects: DataFrame) -> DataFrame:
         F.when(put, F.col("argument")).alias("text"),
         F.when(put, X.iso_utc(F.col("ts"))).alias("created_at"),
         F.when(put, F.col("thread_id")).alias("source_thread_id"),
-        (X.wall_micros(F.col("ts")) * 1000 + F.col("call_no")).alias("seq"),
+        X.wall_micros(F.col("ts")).alias("seq"),
+        F.col("call_no").alias("sub"),
     )
 
 
@@ -76,10 +80,15 @@ def profile_touches_of(effects: DataFrame) -> DataFrame:
 
 
 def tool_messages_of(effects: DataFrame) -> DataFrame:
-    """One tool message per call, carrying the call id, right after the calling message."""
+    """One tool message per call, carrying the call id, right after the calling message.
+
+    It shares the caller's ``seq`` and comes after it by ``sub``, so any number of calls
+    fits whatever the numbering of the log.
+    """
     return effects.select(
         "thread_id",
-        (F.col("position") * 10 + 1 + F.col("call_no")).alias("seq"),
+        "seq",
+        (F.col("call_no") + 1).alias("sub"),
         F.lit("append").alias("op"),
         F.concat("tool_call_id", F.lit("-result")).alias("message_id"),
         F.lit("tool").alias("type"),
