@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 
-from chatterloom.config import CompactionConfig, Wording
+from chatterloom.config import NON_TEXT, CompactionConfig, Wording
 
+PAGE_BYTES, PAGED = 8 * 1024 * 1024, 256
 W = Wording()
 DEFAULTS = CompactionConfig()
 SMALL = CompactionConfig(max_tokens=100, max_messages=4, keep_last=2)
@@ -131,9 +132,14 @@ CTES: dict[str, str] = {
                   WHEN 'delete' THEN {text(W.note_removed)} || note_id ELSE 'Unknown tool: ' || tool END AS answer
         FROM calls""",
     "tev": """
-        SELECT thread_id, seq, op, message_id, type, content FROM ev
+        SELECT thread_id, seq * 100 AS seq, op, message_id, type, content FROM ev
         UNION ALL
-        SELECT thread_id, position * 10 + 1 + call_no, 'append', tool_call_id || '-result', 'tool', answer FROM effects""",
+        SELECT thread_id, position * 1000 + 1 + call_no, 'append', tool_call_id || '-result', 'tool', answer FROM effects""",
+    "dense": """
+        SELECT thread_id, position * 100 AS seq, 'append' AS op, message_id, type, content FROM m
+        UNION ALL
+        SELECT thread_id, position * 100 + 1 + k, 'append', message_id || '-c' || k::VARCHAR || '-result', 'tool',
+          'Unknown tool: search_web' FROM m, range(12) r(k) WHERE n_calls > 0""",
     "ext": r"""
         SELECT lpad(doc_id::VARCHAR, 12, '0') AS response_id, (doc_id % 10)::VARCHAR AS thread_id, source AS profile_id,
           CASE WHEN doc_id % 13 = 0 THEN '  ' WHEN doc_id % 11 = 0 THEN ' NONE '
@@ -224,23 +230,50 @@ def candidates(cfg: CompactionConfig, messages: str, summaries: str) -> str:
         WHERE tokens > {cfg.max_tokens} OR tail_messages > {cfg.max_messages}"""
 
 
-def segments(cfg: CompactionConfig, messages: str, summaries: str) -> dict[str, str]:
+def part(page: str, pages: str) -> str:
+    return (f"{text(W.part_lead)} || ({page} + 1)::VARCHAR || {text(W.part_of)} || ({pages})::VARCHAR"
+            f" || {text(W.part_end)}")
+
+
+def segments(cfg: CompactionConfig, messages: str, summaries: str, page_bytes: int = PAGE_BYTES) -> dict[str, str]:
     return {
         "cand": candidates(cfg, messages, summaries),
-        "seg": f"""
-            SELECT c.thread_id, 0::BIGINT AS page, 1::BIGINT AS pages, coalesce(any_value(y.summary), '') AS existing,
-              string_agg(upper(x.type) || ': ' || coalesce(x.content, {text(W.non_text)}), E'\\n' ORDER BY x.position) AS transcript,
-              any_value(c.start + c.foldable_messages) AS summarized_count
+        "line": f"""
+            SELECT c.thread_id, x.position, c.start + c.foldable_messages AS summarized_count,
+              upper(x.type) || ': ' || coalesce(x.content, {text(NON_TEXT)}) AS line
             FROM cand c JOIN {messages} x ON x.thread_id = c.thread_id AND x.position >= c.start
-              AND x.position < c.start + c.foldable_messages
-            LEFT JOIN {summaries} y ON y.thread_id = c.thread_id GROUP BY c.thread_id""",
+              AND x.position < c.start + c.foldable_messages""",
+        "packed": f"""
+            SELECT *, dense_rank() OVER (PARTITION BY thread_id ORDER BY bin) - 1 AS page FROM (
+              SELECT *, ((sum(strlen(line) + 1) OVER (PARTITION BY thread_id ORDER BY position
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - strlen(line) - 1)::BIGINT // {page_bytes} AS bin
+              FROM line)""",
+        "seg": f"""
+            SELECT p.thread_id, page, (max(page) OVER (PARTITION BY p.thread_id)) + 1 AS pages,
+              coalesce(y.summary, '') AS existing, transcript, p.summarized_count
+            FROM (SELECT thread_id, page, string_agg(line, E'\\n' ORDER BY position) AS transcript,
+                    any_value(summarized_count) AS summarized_count FROM packed GROUP BY thread_id, page) p
+            LEFT JOIN {summaries} y ON y.thread_id = p.thread_id""",
         "fold": f"""
             SELECT *, CASE WHEN existing = '' THEN {text(W.fresh_lead)}
                 ELSE {text(W.update_lead)} || existing || {text(W.update_join)} END
-                || transcript || {text(W.prompt_tail)} AS prompt FROM seg""",
+                || {part('page', 'pages')} || transcript || {text(W.prompt_tail)} AS prompt FROM seg""",
     }
 
 
+def merged_digests(rounds: int, fan_in: int) -> tuple[str, dict[str, str]]:
+    """Digests of the prompts in ``fold``, merged ``fan_in`` at a time for some rounds."""
+    steps = {"merged0": "SELECT thread_id, page, pages, summarized_count, sha256(prompt) AS summary FROM fold"}
+    for i in range(1, rounds + 1):
+        page, pages = f"page // {fan_in}", f"(pages + {fan_in - 1}) // {fan_in}"
+        steps[f"merged{i}"] = f"""
+            SELECT thread_id, {page} AS page, {pages} AS pages, summarized_count,
+              CASE WHEN count(*) = 1 THEN any_value(summary) ELSE sha256({text(W.merge_lead)} || {part(page, pages)}
+                || string_agg(summary, {text(W.section_rule)} ORDER BY merged{i - 1}.page) || {text(W.prompt_tail)}) END AS summary
+            FROM merged{i - 1} GROUP BY thread_id, {page}, {pages}, summarized_count"""
+    return f"SELECT thread_id, summary, summarized_count FROM merged{rounds}", steps
+
+
 COMPOSITION = """
     SELECT x.thread_id, position + 1 AS turn_index, CASE WHEN type = 'human' THEN 'user' ELSE 'assistant' END AS role,
       length(shown)::BIGINT AS length,
@@ -279,12 +312,23 @@ ACTIVE = """
 LIVE_NOTE = "SELECT profile_id, note_id, text, created_at FROM lnote"
 FOLDED_COLUMNS = "SELECT thread_id, position, message_id, type, content FROM ({0})"
 REPORTED = ("customer", "documents", "events", "conversations", "labels")
+MERGED, MERGE_STEPS = merged_digests(8, 4)
 BOUNDARIES = """
     SELECT thread_id, folds AS boundary_no, n AS at_message, before AS previous_count, s AS summarized_count
     FROM r WHERE fired"""
 
 ORACLES: dict[str, str] = {
     "load_tables": q("SELECT thread_id, title, created_at, updated_at, message_count, 'default_user' AS username FROM usess"),
+    "load_all_tables": q("""
+        SELECT 'user_account' AS table_name, 'created_at' AS last_column, count(*) AS rows, count(created_at) AS last_column_filled FROM acct
+        UNION ALL SELECT 'profile', 'username', count(*), count(*) FROM prof
+        UNION ALL SELECT 'session', 'username', count(*), count(*) FROM usess
+        UNION ALL SELECT 'message_event', 'ts', count(*), count(*) FROM ev
+        UNION ALL SELECT 'message', 'ts', count(*), count(ts) FROM m
+        UNION ALL SELECT 'summary_context', 'updated_at', count(*), count(updated_at) FROM summ
+        UNION ALL SELECT 'note_event', 'seq', (SELECT count(*) FROM note) * 2 - count(*), (SELECT count(*) FROM note) * 2 - count(*) FROM lnote
+        UNION ALL SELECT 'note', 'source_thread_id', count(*), count(source_thread_id) FROM note
+        UNION ALL SELECT 'checkpoint', 'ts', count(*), count(ts) FROM ck"""),
     "append_log": q("SELECT CAST(ts AS DATE) AS dt, op, count(*) AS events FROM sev GROUP BY ALL"),
     "upsert_latest": q("""
         SELECT coalesce(u.thread_id, s.thread_id) AS thread_id, coalesce(u.message_id, s.summary) AS summary,
@@ -321,7 +365,9 @@ ORACLES: dict[str, str] = {
         SELECT table_name, thread_id, count(*) AS rows FROM (
           SELECT 'session' AS table_name, thread_id FROM sess
           UNION ALL SELECT 'summary_context', thread_id FROM summ
-          UNION ALL SELECT 'message_event', thread_id FROM ev)
+          UNION ALL SELECT 'message_event', thread_id FROM ev
+          UNION ALL SELECT 'message', thread_id FROM m
+          UNION ALL SELECT 'checkpoint', thread_id FROM ck)
         WHERE thread_id NOT IN (SELECT thread_id FROM sess WHERE message_count < 4) GROUP BY ALL"""),
     "delete_profiles": q("SELECT profile_id, username, ts, outcome FROM pdec"),
     "notes_after_profile_delete": q("""
@@ -361,6 +407,7 @@ ORACLES: dict[str, str] = {
     "pseudonymize": q("""
         SELECT thread_id, title, created_at, updated_at, message_count, sha256('pepper:' || username) AS username FROM sess"""),
     "auto_title": q("SELECT thread_id, title FROM sess"),
+    "auto_title_with_image": q("SELECT thread_id, title FROM sess"),
     "note_fields": q("""
         SELECT profile_id, note_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE created_at END AS created_at, source_thread_id FROM note"""),
     "namespace_delete": q("""
@@ -425,7 +472,7 @@ ORACLES: dict[str, str] = {
     "notes_context": q(notes_text(W.notes_header, ID_LINE)),
     "notes_context_plain": q(notes_text(W.notes_header_plain, PLAIN_LINE)),
     "transcript": q(f"""
-        SELECT thread_id, 0::BIGINT AS page, string_agg(upper(type) || ': ' || coalesce(content, {text(W.non_text)}),
+        SELECT thread_id, 0::BIGINT AS page, string_agg(upper(type) || ': ' || coalesce(content, {text(NON_TEXT)}),
           E'\\n' ORDER BY position) AS transcript FROM m GROUP BY thread_id"""),
     "last_human": q("""
         SELECT thread_id, position, message_id, shown AS text FROM m WHERE type = 'human'
@@ -462,21 +509,37 @@ ORACLES: dict[str, str] = {
         SELECT profile_id, name, created_at, updated_at, username FROM prof
         QUALIFY row_number() OVER (PARTITION BY username ORDER BY updated_at DESC, profile_id) = 1"""),
     "append_messages": q(FOLDED_COLUMNS.format(folded("tev"))),
+    "append_messages_dense": q(FOLDED_COLUMNS.format(folded("dense"))),
     "assemble_context": q(
+        f"""SELECT profile_id, NULL::VARCHAR AS thread_id, -2::BIGINT AS position, page AS part, 'system' AS type, text AS content
+            FROM notes WHERE profile_id IN (SELECT profile_id FROM tprof)
+            UNION ALL
+            SELECT t.profile_id, t.thread_id, -1, 0, 'system',
+              {text(W.summary_lead)} || nullif(y.summary, '') || {text(W.summary_tail)}
+            FROM tprof t LEFT JOIN summ y ON y.thread_id = t.thread_id
+            UNION ALL
+            SELECT NULL, x.thread_id, position, 0, type, content FROM m x LEFT JOIN summ y ON y.thread_id = x.thread_id
+            WHERE position >= coalesce(summarized_count, 0)""",
+        notes=notes_text(W.notes_header, ID_LINE)),
+    "assemble_context_requested": q(
         f"""SELECT t.thread_id, -1::BIGINT AS position, 0::BIGINT AS part, 'system' AS type,
               concat_ws({text(W.section_rule)}, n.text,
                 {text(W.summary_lead)} || nullif(y.summary, '') || {text(W.summary_tail)}) AS content
             FROM tprof t LEFT JOIN notes n ON n.profile_id = t.profile_id LEFT JOIN summ y ON y.thread_id = t.thread_id
-            WHERE n.text IS NOT NULL OR coalesce(y.summary, '') <> ''
+            WHERE (n.text IS NOT NULL OR coalesce(y.summary, '') <> '') AND t.thread_id IN (SELECT thread_id FROM opened)
             UNION ALL
             SELECT x.thread_id, position, 0, type, content FROM m x LEFT JOIN summ y ON y.thread_id = x.thread_id
-            WHERE position >= coalesce(summarized_count, 0)""",
-        notes=notes_text(W.notes_header, ID_LINE)),
+            WHERE position >= coalesce(summarized_count, 0) AND x.thread_id IN (SELECT thread_id FROM opened)""",
+        opened=ACTIVE.format("sess"), notes=notes_text(W.notes_header, ID_LINE)),
     "compaction_candidates": q(candidates(DEFAULTS, "lm", "lsumm")),
     "compaction_candidates_small": q(candidates(SMALL, "m", "summ")),
     "fold_segments": q(
         "SELECT thread_id, page, pages, existing, transcript, prompt, summarized_count FROM fold",
         **segments(DEFAULTS, "lm", "lsumm")),
+    "fold_segments_paged": q(
+        "SELECT thread_id, page, pages, existing, transcript, prompt, summarized_count FROM fold",
+        **segments(SMALL, "lm", "lsumm", PAGED)),
+    "apply_summaries_paged": q(MERGED, **segments(SMALL, "lm", "lsumm", PAGED), **MERGE_STEPS),
     "apply_summaries": q(
         """SELECT thread_id, substring(prompt, 1, 200) AS summary, summarized_count::INTEGER AS summarized_count,
              TIMESTAMP '2025-01-01' AS updated_at FROM fold
@@ -499,7 +562,7 @@ ORACLES: dict[str, str] = {
     "tool_note_events": q("""
         SELECT profile_id, note_id, action AS op, CASE WHEN action = 'put' THEN 'note from ' || message_id END AS text,
           CASE WHEN action = 'put' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS created_at,
-          CASE WHEN action = 'put' THEN thread_id END AS source_thread_id, epoch_us(ts) * 1000 + call_no AS seq
+          CASE WHEN action = 'put' THEN thread_id END AS source_thread_id, epoch_us(ts) AS seq, call_no AS sub
         FROM effects WHERE action IN ('put', 'delete')"""),
     "tool_profile_touches": q("""
         SELECT p.profile_id, name, created_at, greatest(updated_at, t.ts) AS updated_at, username

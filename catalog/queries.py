@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from hashlib import sha256
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 # Threads of the short fixture never reach the default limits.
 SMALL = CompactionConfig(max_tokens=100, max_messages=4, keep_last=2)
+# Small pages and a small fan-in take the way of very long threads.
+PAGED, FEW = 256, 4
 ONE_USER = "user_3"
 CHECKED_TABLES = ("customer", "documents", "events", "conversations", "labels")
 
@@ -44,6 +49,27 @@ def load_tables(t: Tables) -> DataFrame:
     return io.load_tables(t.spark, folder, ["session"], views=False)["session"]
 
 
+@query
+def load_all_tables(t: Tables) -> DataFrame:
+    """Every stored table written, loaded and counted; columns added later are filled."""
+    folder = shared_folder(t.spark, "tables")
+    stored = {
+        "user_account": t.user_account, "profile": t.profile.drop("username"), "session": t.user_session.drop("username"),
+        "message_event": t.message_event, "message": t.message, "summary_context": t.summary, "note_event": _note_log(t),
+        "note": t.note, "checkpoint": t.checkpoint,
+    }
+    for name, df in stored.items():
+        io.write_table(df, f"{folder}/{name}")
+    loaded = io.load_tables(t.spark, folder, views=False)
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("rows"), F.count(df.columns[-1]).alias("last_column_filled")).select(
+            F.lit(name).alias("table_name"), F.lit(df.columns[-1]).alias("last_column"), "rows", "last_column_filled"
+        )
+        for name, df in loaded.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def append_log(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "log")
@@ -106,7 +132,11 @@ def cascade_delete(t: Tables) -> DataFrame:
     """Rows left per table and thread after threads under four messages are dropped."""
     short = t.session.filter(F.col("message_count") < 4)
     left = retention.cascade_delete(
-        {"session": t.session, "summary_context": t.summary, "message_event": t.message_event}, short
+        {
+            "session": t.session, "summary_context": t.summary, "message_event": t.message_event, "message": t.message,
+            "checkpoint": t.checkpoint,
+        },
+        short,
     )
     parts = [
         df.groupBy("thread_id").agg(F.count(F.lit(1)).alias("rows")).select(
@@ -114,7 +144,7 @@ def cascade_delete(t: Tables) -> DataFrame:
         )
         for name, df in left.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -238,6 +268,14 @@ def auto_title(t: Tables) -> DataFrame:
     return msg.auto_title(t.message)
 
 
+@query
+def auto_title_with_image(t: Tables) -> DataFrame:
+    """Titles when an image note stands behind every user text: as without it."""
+    noted = X.with_image_note(F.col("content"), F.concat(F.lit("img-"), "message_id"))
+    shown = F.when(F.col("type") == "human", noted).otherwise(F.col("content"))
+    return msg.auto_title(t.message.withColumn("content", shown))
+
+
 @query
 def note_fields(t: Tables) -> DataFrame:
     """Notes read back from store documents, with the time missing in every third."""
@@ -498,9 +536,15 @@ def one_profile_per_user(t: Tables) -> DataFrame:
 
 
 def _log_with_tools(t: Tables) -> DataFrame:
-    effects = memory.tool_call_effects(t.message, t.thread_profile)
-    log = logs.append_messages(t.message_event, memory.tool_messages_of(effects).drop("tool_call_id"))
-    return written(log, "log-with-tools")
+    return _with_answers(t, t.message_event)
+
+
+def _with_answers(t: Tables, log: DataFrame) -> DataFrame:
+    """The log with a tool message after every call of its current messages."""
+    state = logs.fold_messages(log, policy=t.policy, keep_seq=True)
+    effects = memory.tool_call_effects(state, t.thread_profile)
+    answered = logs.append_messages(log, memory.tool_messages_of(effects).drop("tool_call_id"))
+    return written(answered, "log-with-tools")
 
 
 @query
@@ -510,10 +554,32 @@ def append_messages(t: Tables) -> DataFrame:
     )
 
 
+@query
+def append_messages_dense(t: Tables) -> DataFrame:
+    """Twelve calls on every calling message, in a log numbered without gaps."""
+    twelve = F.expr("""transform(sequence(0, 11), i -> struct(concat(message_id, '-c', i) AS id, 'search_web' AS name,
+        map('query', message_id) AS args))""")
+    log = t.message.withColumnRenamed("position", "seq").withColumns({
+        "op": F.lit("append"), "tool_calls": F.when(X.call_count(F.col("tool_calls")) > 0, twelve),
+    })
+    return logs.fold_messages(_with_answers(t, log), policy=t.policy).select(
+        "thread_id", "position", "message_id", "type", "content"
+    )
+
+
 @query
 def assemble_context(t: Tables) -> DataFrame:
     return context.assemble_context(
         t.message, t.summary, t.live_note, t.thread_profile, policy=t.policy
+    ).select("profile_id", "thread_id", "position", "part", "type", "content")
+
+
+@query
+def assemble_context_requested(t: Tables) -> DataFrame:
+    """Text for the one session that each user has open."""
+    open_now = t.thread_profile.join(reports.active_session(t.session), "thread_id", "left_semi")
+    return context.assemble_context_requested(
+        t.message, t.summary, t.live_note, open_now, policy=t.policy
     ).select("thread_id", "position", "part", "type", "content")
 
 
@@ -532,6 +598,23 @@ def fold_segments(t: Tables) -> DataFrame:
     return compaction.fold_segments(t.long_message, t.long_summary)
 
 
+@query
+def fold_segments_paged(t: Tables) -> DataFrame:
+    return compaction.fold_segments(t.long_message, t.long_summary, SMALL, page_bytes=PAGED, policy=t.policy)
+
+
+def digests(prompts: pd.Series) -> pd.Series:
+    """Stand-in summarizer that shows every character of its prompt."""
+    return prompts.map(lambda prompt: sha256(prompt.encode()).hexdigest())
+
+
+@query
+def apply_summaries_paged(t: Tables) -> DataFrame:
+    """Summaries of threads with many pages, merged a few at a time."""
+    segments = compaction.fold_segments(t.long_message, t.long_summary, SMALL, page_bytes=PAGED, policy=t.policy)
+    return compaction.apply_summaries(segments, digests, fan_in=FEW)
+
+
 @query
 def apply_summaries(t: Tables) -> DataFrame:
     """Summaries after one round with the stand-in summarizer."""

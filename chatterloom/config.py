@@ -32,11 +32,14 @@ class Wording:
     fresh_lead: str = "Write a short summary of this excerpt. Keep facts and decisions.\n\n"
     update_lead: str = "Revise the summary so that it also covers the new excerpt.\n\nSUMMARY SO FAR:\n"
     update_join: str = "\n\nNEW EXCERPT:\n"
+    merge_lead: str = "Combine these summaries of consecutive parts of one thread. Keep facts and decisions.\n\n"
+    part_lead: str = "Part "
+    part_of: str = " of "
+    part_end: str = ":\n"
     prompt_tail: str = "\n\nAnswer with the summary only."
     extract_lead: str = "List lasting facts about the user from this exchange.\n\nUSER: "
     extract_join: str = "\nANSWER: "
     extract_tail: str = "\n\nOne per line, each starting with '- '. Answer NONE if there are none."
-    non_text: str = "[non-text content]"
     no_answer: str = "(no text answer)"
     note_saved: str = "Note stored with id "
     note_removed: str = "Note removed: "
@@ -55,6 +58,10 @@ IMAGE_NOTE_MARK = "[Attached image"
 IMAGE_NOTE_LEAD = "\n\n[Attached image - vision analysis: "
 IMAGE_NOTE_TAIL = "]"
 IMAGE_ONLY_TEXT = "[image]"
+NON_TEXT = "[non-text content]"
+UNKNOWN_TOOL = "Unknown tool: "
+ADD_NOTE_TOOL = "add_memory"
+FORGET_NOTE_TOOL = "forget_memory"
 AUTO_TITLE_LENGTH = 40
 TOP_THREADS = 15
 CONSOLE_DEFAULT_QUERY = "SELECT * FROM session ORDER BY updated_at DESC LIMIT 10"

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterloom.session import written
+
 
 @dataclass(frozen=True)
 class SplitPolicy:
@@ -167,3 +169,28 @@ def rows_in_spans(
         .filter((F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi")))
         .drop("_tile")
     )
+
+
+def byte_pages(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, page_bytes: int,
+    policy: SplitPolicy = DEFAULT_SPLIT,
+) -> DataFrame:
+    """``keys, order, page, pages``: rows packed in order into pages by their bytes.
+
+    A page starts where the running size passes a multiple of ``page_bytes``, so it
+    holds at most that much and one row more. Pages are numbered from 0 without
+    gaps. Only keys and sizes are read; texts join the result on their key.
+    """
+    keys, order = list(keys), list(order)
+    sized = written(rows.select(*keys, *order, size.cast("bigint").alias("_bytes")), "row-sizes")
+    placed = written(
+        running(sized, keys, order, {"_upto": F.col("_bytes")}, policy=policy).select(
+            *keys, *order, F.expr(f"(_upto - _bytes) div {page_bytes}").alias("_bin")
+        ),
+        "row-bins",
+    )
+    bins = written(placed.select(*keys, "_bin").distinct(), "bins")
+    numbered = running(bins, keys, ["_bin"], {"page": F.lit(1)}, policy=policy)
+    counts = bins.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"))
+    pages = numbered.join(counts, keys).withColumn("page", F.col("page") - 1)
+    return placed.join(pages, [*keys, "_bin"]).drop("_bin")

@@ -6,16 +6,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatterloom import config as C
 from chatterloom.config import CompactionConfig, Wording
 from chatterloom.functions import text as X
 from chatterloom.functions.model import TextFunction, apply_text_function
-from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, rows_in_spans, running
+from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, byte_pages, rows_in_spans, running
 from chatterloom.operators.logs import upsert_latest
 from chatterloom.operators.messages import thread_spans
 from chatterloom.session import written
 
-PAGE_ROWS = 1024
-FAN_IN = 1024
+PAGE_BYTES = 8 * 1024 * 1024
+FAN_IN = 64
 TURN_BLOCK = 65_536
 
 
@@ -50,33 +51,47 @@ def compaction_candidates(
 
 
 def transcript_pages(
-    messages: DataFrame, spans: DataFrame, wording: Wording = Wording(), page_rows: int = PAGE_ROWS
+    messages: DataFrame,
+    spans: DataFrame,
+    page_bytes: int = PAGE_BYTES,
+    policy: SplitPolicy = DEFAULT_SPLIT,
 ) -> DataFrame:
-    """Transcript lines of ``[lo, hi)`` per thread, at most ``page_rows`` per row.
+    """``thread_id, page, pages, transcript``: lines of ``[lo, hi)`` per thread.
 
-    Usually one page per thread; a long backlog gives more, and the pages joined
-    with newlines in order are the whole transcript.
+    A page holds about ``page_bytes``; pages joined with newlines in order are the
+    whole transcript. Pages are laid out on sizes alone; bodies then meet them on
+    (thread, position), which spreads a long thread evenly.
     """
-    line = F.concat(
-        X.transcript_role(F.col("type")), F.lit(": "), F.coalesce("content", F.lit(wording.non_text))
-    )
-    rows = rows_in_spans(messages.select("thread_id", "position", line.alias("line")), spans)
-    page = F.expr(f"(position - lo) div {page_rows}")
+    line = F.concat(X.transcript_role(F.col("type")), F.lit(": "), F.coalesce("content", F.lit(C.NON_TEXT)))
+    sizes = messages.select("thread_id", "position", (F.octet_length(line) + 1).alias("_size"))
+    inside = rows_in_spans(sizes, spans)
+    placed = byte_pages(inside, ["thread_id"], ["position"], F.col("_size"), page_bytes, policy)
+    lines = messages.select("thread_id", "position", line.alias("line"))
     return (
-        rows.groupBy("thread_id", page.alias("page"))
+        lines.join(placed, ["thread_id", "position"])
+        .groupBy("thread_id", "page", "pages")
         .agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("lines"))
-        .select("thread_id", "page", F.array_join(F.col("lines.line"), "\n").alias("transcript"))
+        .select("thread_id", "page", "pages", F.array_join(F.col("lines.line"), "\n").alias("transcript"))
     )
 
 
 def transcript(
-    messages: DataFrame, wording: Wording = Wording(), page_rows: int = PAGE_ROWS
+    messages: DataFrame, page_bytes: int = PAGE_BYTES, policy: SplitPolicy = DEFAULT_SPLIT
 ) -> DataFrame:
     """Transcript of every whole thread, in pages."""
     spans = messages.groupBy("thread_id").agg(
         F.lit(0).cast("bigint").alias("lo"), F.count(F.lit(1)).alias("hi")
     )
-    return transcript_pages(messages, spans, wording, page_rows)
+    return transcript_pages(messages, spans, page_bytes, policy).drop("pages")
+
+
+def _prompt(lead: Column, body: Column, wording: Wording) -> Column:
+    """A complete prompt: instruction, which part this is, the part, the closing line."""
+    number = F.concat(
+        F.lit(wording.part_lead), (F.col("page") + 1).cast("string"),
+        F.lit(wording.part_of), F.col("pages").cast("string"), F.lit(wording.part_end),
+    )
+    return F.concat(lead, number, body, F.lit(wording.prompt_tail))
 
 
 def fold_segments(
@@ -84,34 +99,36 @@ def fold_segments(
     summaries: DataFrame,
     cfg: CompactionConfig = CompactionConfig(),
     wording: Wording = Wording(),
-    page_rows: int = PAGE_ROWS,
+    page_bytes: int = PAGE_BYTES,
+    policy: SplitPolicy = DEFAULT_SPLIT,
 ) -> DataFrame:
     """Text to fold for each due thread, the prompt around it and the new count.
 
-    The lead is on the first page and the tail on the last. Messages are only
-    read; nothing is removed from them.
+    Every page gets a complete prompt, with the existing summary in its update
+    form; a thread of one page is part 1 of 1. Messages are only read; nothing is
+    removed from them.
     """
     # Written: three uses, and its known size lets a short list be broadcast, so
     # that bodies of threads that are not due are never shuffled.
-    due = written(compaction_candidates(messages, summaries, cfg), "due")
-    spans = due.select("thread_id", F.col("start").alias("lo"), F.expr("start + foldable_messages").alias("hi"))
-    pages = transcript_pages(messages, spans, wording, page_rows)
-    facts = due.join(summaries.select("thread_id", "summary"), "thread_id", "left").select(
-        "thread_id",
-        F.coalesce("summary", F.lit("")).alias("existing"),
-        (F.col("start") + F.col("foldable_messages")).alias("summarized_count"),
-        F.expr(f"(foldable_messages + {page_rows - 1}) div {page_rows}").alias("pages"),
+    due = written(
+        compaction_candidates(messages, summaries, cfg)
+        .join(summaries.select("thread_id", "summary"), "thread_id", "left")
+        .select(
+            "thread_id",
+            F.col("start").alias("lo"),
+            F.expr("start + foldable_messages").alias("hi"),
+            F.coalesce("summary", F.lit("")).alias("existing"),
+        ),
+        "due",
     )
+    pages = transcript_pages(messages, due.select("thread_id", "lo", "hi"), page_bytes, policy)
+    facts = due.select("thread_id", "existing", F.col("hi").alias("summarized_count"))
     lead = F.when(F.col("existing") == "", F.lit(wording.fresh_lead)).otherwise(
         F.concat(F.lit(wording.update_lead), F.col("existing"), F.lit(wording.update_join))
     )
-    prompt = F.concat(
-        F.when(F.col("page") == 0, lead).otherwise(F.lit("")),
-        F.col("transcript"),
-        F.when(F.col("page") == F.col("pages") - 1, F.lit(wording.prompt_tail)).otherwise(F.lit("")),
-    )
     return pages.join(facts, "thread_id").select(
-        "thread_id", "page", "pages", "existing", "transcript", prompt.alias("prompt"), "summarized_count"
+        "thread_id", "page", "pages", "existing", "transcript",
+        _prompt(lead, F.col("transcript"), wording).alias("prompt"), "summarized_count",
     )
 
 
@@ -121,30 +138,34 @@ def shorten(prompts: pd.Series) -> pd.Series:
 
 
 def apply_summaries(
-    segments: DataFrame, summarize: TextFunction = shorten, fan_in: int = FAN_IN
+    segments: DataFrame, summarize: TextFunction = shorten, fan_in: int = FAN_IN, wording: Wording = Wording()
 ) -> DataFrame:
     """``thread_id, summary, summarized_count`` from a user function over prompts.
 
-    A thread with several pages is reduced in steps: page summaries are joined
-    ``fan_in`` at a time and summarized again, then once more for the thread.
+    Each page is summarized once. While a thread has several summaries, ``fan_in``
+    consecutive ones at a time go into a merging prompt; a summary without a
+    neighbour passes on as it is. The number of rounds is the logarithm of the page
+    count, and each round is written, so no call is made twice.
     """
-    pages = segments.select(
-        "thread_id", "page", "pages", "summarized_count", F.col("prompt").alias("text"), F.lit(True).alias("due")
-    )
-    current = apply_text_function(pages, summarize)
-    for group in (F.expr(f"page div {fan_in}"), F.lit(0).cast("bigint")):
+    columns = ["thread_id", "page", "pages", "summarized_count", "text"]
+    asked = segments.withColumnRenamed("prompt", "text").select(*columns, F.lit(True).alias("due"))
+    current = written(apply_text_function(asked, summarize).select(columns), "summaries")
+    finished = current.filter("pages = 1")
+    while not (several := current.filter("pages > 1")).isEmpty():
         merged = (
-            current.groupBy("thread_id", "pages", "summarized_count", group.alias("page"))
-            .agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("parts"))
-            .select(
-                "thread_id", "page", "pages", "summarized_count",
-                F.array_join(F.col("parts.text"), "\n").alias("text"),
-                (F.size("parts") > 1).alias("due"),
+            several.groupBy(
+                "thread_id", "summarized_count", F.expr(f"page div {fan_in}").alias("page"),
+                F.expr(f"(pages + {fan_in - 1}) div {fan_in}").alias("pages"),
             )
+            .agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("parts"))
+            .withColumn("due", F.size("parts") > 1)
         )
-        current = apply_text_function(merged, summarize)
-    # Written, so that no later step calls the user function a second time.
-    return written(current.select("thread_id", F.col("text").alias("summary"), "summarized_count"), "summaries")
+        joined = F.array_join(F.col("parts.text"), wording.section_rule)
+        text = F.when(F.col("due"), _prompt(F.lit(wording.merge_lead), joined, wording)).otherwise(joined)
+        prompts = merged.select("thread_id", "page", "pages", "summarized_count", text.alias("text"), "due")
+        current = written(apply_text_function(prompts, summarize).select(columns), "summaries")
+        finished = finished.unionByName(current.filter("pages = 1"))
+    return finished.select("thread_id", F.col("text").alias("summary"), "summarized_count")
 
 
 def advance_summaries(summaries: DataFrame, new: DataFrame, stamp: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from conftest import SPLIT_ALL, make_messages, make_threads, rows
 from pyspark.sql import functions as F
 
 from chatterloom import CompactionConfig, Wording
+from chatterloom.config import NON_TEXT
 from chatterloom.operators.blocks import SplitPolicy
 from chatterloom.operators.messages import foldable_split, unsummarized_tail
 from chatterloom.plans import compaction as P
@@ -56,7 +57,7 @@ def test_block_content_counts_no_tokens_but_is_transcribed(spark):
     blocks = [("text", "y" * 50_000, None)]
     m = make_messages(spark, [("human", None, None, blocks), *chat(20)])
     got = P.fold_segments(m, summaries(spark, [])).first()
-    assert got["transcript"].split("\n")[0] == "HUMAN: " + Wording().non_text
+    assert got["transcript"].split("\n")[0] == "HUMAN: " + NON_TEXT
     assert P.compaction_candidates(m, summaries(spark, [])).first()["tokens"] == 14 * 4 // 4
     assert got["summarized_count"] == 15 and got["pages"] == 1
 
@@ -70,24 +71,46 @@ def test_prompt_has_an_update_form(spark):
     assert update.startswith(w.update_lead + "old one" + w.update_join)
 
 
-def test_paged_segments_join_to_the_whole(spark):
-    m, s = make_messages(spark, chat(40)), summaries(spark, [("t", "s", 3)])
+@pytest.mark.parametrize("existing", ["", "s"])
+def test_every_page_has_a_complete_prompt(spark, existing):
+    w, m, s = Wording(), make_messages(spark, chat(40)), summaries(spark, [("t", existing, 3)])
     whole = P.fold_segments(m, s).first()
-    pages = P.fold_segments(m, s, page_rows=4).orderBy("page").collect()
-    assert len(pages) == pages[0]["pages"] == 8
+    assert whole["pages"] == 1 and "Part 1 of 1:" in whole["prompt"]
+    pages = P.fold_segments(m, s, page_bytes=40, policy=SPLIT_ALL).orderBy("page").collect()
+    assert [p["page"] for p in pages] == list(range(pages[0]["pages"])) and len(pages) > 5
     assert "\n".join(p["transcript"] for p in pages) == whole["transcript"]
-    assert "\n".join(p["prompt"] for p in pages) == whole["prompt"]
-
-
-def test_summarizer_reduces_pages_and_moves_the_boundary(spark):
-    m, s = make_messages(spark, chat(40)), summaries(spark, [("t", "s", 3), ("u", "kept", 1)])
-    segments = P.fold_segments(m, s, page_rows=4)
-
-    def count_parts(prompts: pd.Series) -> pd.Series:
-        return prompts.str.count("\n").astype(str)
-
-    new = P.apply_summaries(segments, count_parts, fan_in=3)
-    assert new.count() == 1 and new.first()["summarized_count"] == 34
+    lead = w.update_lead + existing + w.update_join if existing else w.fresh_lead
+    for p in pages:
+        number = f"{w.part_lead}{p['page'] + 1}{w.part_of}{len(pages)}{w.part_end}"
+        assert p["prompt"] == lead + number + p["transcript"] + w.prompt_tail
+
+
+def test_a_line_longer_than_a_page_is_a_page(spark):
+    m = make_messages(spark, [("human", "x" * 500), ("ai", "y"), ("ai", "\u00e9" * 300), *chat(20)])
+    pages = P.fold_segments(m, summaries(spark, []), page_bytes=100).orderBy("page").collect()
+    assert [p["page"] for p in pages] == list(range(len(pages)))
+    assert pages[0]["transcript"] == "HUMAN: " + "x" * 500
+    assert all(len(p["transcript"].encode()) <= 100 or "\n" not in p["transcript"] or p["transcript"].count("\n") < 20 for p in pages)
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 64])
+def test_summarizer_merges_pages_and_moves_the_boundary(spark, fan_in):
+    w, m, s = Wording(), make_messages(spark, chat(40)), summaries(spark, [("t", "s", 3), ("u", "kept", 1)])
+    segments = P.fold_segments(m, s, page_bytes=50)
+    pages = segments.count()
+    leads = (w.merge_lead, w.update_lead)
+
+    def span(prompts: pd.Series) -> pd.Series:
+        # Each prompt is complete; the answer lists the pages it stands for.
+        assert prompts.str.startswith(leads).all() and prompts.str.endswith(w.prompt_tail).all()
+        body = prompts.str.replace(w.prompt_tail, "", regex=False)
+        merged = body.str.startswith(w.merge_lead)
+        own = body.str.extract(r"Part (\d+) of", expand=False)
+        below = body.str.split(w.part_end, n=1).str[1].str.replace(w.section_rule, ",", regex=False)
+        return below.where(merged, own)
+
+    new = P.apply_summaries(segments, span, fan_in=fan_in)
+    assert rows(new) == [("t", ",".join(str(i + 1) for i in range(pages)), 34)]
     after = P.advance_summaries(s, new, F.expr("timestamp_ntz'2025-01-01'"))
     assert {(r["thread_id"], r["summarized_count"]) for r in after.collect()} == {("t", 34), ("u", 1)}
     assert m.count() == 40

@@ -137,6 +137,8 @@ def test_titles_and_last_user_message(spark):
     two = make_messages(spark, [("system", "s"), ("human", "  first\n"), ("human", " ")], "two")
     both = none.unionByName(two)
     assert rows(M.auto_title(both)) == [("none", "New Chat"), ("two", "first")]
+    noted = make_messages(spark, [("human", "hi\n\n[Attached image - vision analysis: a cat]")], "noted")
+    assert rows(M.auto_title(noted)) == [("noted", "hi")]
     assert rows(M.last_human(both), "thread_id", "position", "text") == [("two", 2, " ")]
     assert rows(M.role_counts(both)) == [("none", "assistant", 2), ("two", "assistant", 1), ("two", "user", 2)]
 
@@ -169,8 +171,8 @@ def test_notes_text_in_pages(spark, policy):
     lines = [f"- [id: n{i:03d}] text {i}" for i in range(100)]
     assert whole["p"] == "\n".join([Wording().notes_header, *lines])
     assert whole["q"] == Wording().notes_header + "\n- [id: n] "
-    pages = context.notes_context(data.filter("profile_id = 'p'"), page_notes=7, policy=policy).orderBy("page").collect()
-    assert len(pages) == 15 and "\n".join(p["text"] for p in pages) == whole["p"]
+    pages = context.notes_context(data.filter("profile_id = 'p'"), page_bytes=150, policy=policy).orderBy("page").collect()
+    assert [p["page"] for p in pages] == list(range(len(pages))) and len(pages) > 10 and "\n".join(p["text"] for p in pages) == whole["p"]
     plain = context.notes_context(data, with_ids=False).filter("profile_id = 'p'").first()["text"]
     assert plain.split("\n")[1] == "- text 0"
 
@@ -183,7 +185,7 @@ def test_context_rows(spark):
     s = spark.createDataFrame([("both", "sum", 3, T0), ("summary", "sum", 0, T0), ("bare", "", 0, T0)], TABLES["summary_context"])
     active = spark.createDataFrame([("both", "p"), ("summary", "none"), ("notes", "p"), ("bare", "none")], "thread_id string, profile_id string")
     n = notes(spark, [("p", f"n{i}", "t", str(i)) for i in range(3)])
-    got = rows(context.assemble_context(m, s, n, active), "thread_id", "position", "part", "content")
+    got = rows(context.assemble_context_requested(m, s, n, active), "thread_id", "position", "part", "content")
     listed = w.notes_header + "".join(f"\n- [id: n{i}] t" for i in range(3))
     wrapped = w.summary_lead + "sum" + w.summary_tail
     want = [
@@ -191,7 +193,12 @@ def test_context_rows(spark):
         ("summary", -1, 0, wrapped), ("summary", 0, 0, "x"), ("notes", -1, 0, listed), ("notes", 0, 0, "x"), ("bare", 0, 0, "x"),
     ]
     assert got == sorted(want, key=repr)
-    paged = context.assemble_context(m, s, n, active, page_notes=2, policy=SPLIT_ALL).filter("thread_id = 'both' and position = -1")
+    once = rows(context.assemble_context(m, s, n, active), "profile_id", "thread_id", "position", "content")
+    want = [("p", None, -2, listed), ("p", "both", -1, wrapped), ("p", "notes", -1, None), ("none", "summary", -1, wrapped),
+            ("none", "bare", -1, None), *[(None, *row) for row in
+            [("both", 3, "3"), ("both", 4, "4"), ("summary", 0, "x"), ("notes", 0, "x"), ("bare", 0, "x")]]]
+    assert once == sorted(want, key=repr)
+    paged = context.assemble_context_requested(m, s, n, active, page_bytes=26, policy=SPLIT_ALL).filter("thread_id = 'both' and position = -1")
     parts = [r["content"] for r in paged.orderBy("part").collect()]
     assert len(parts) == 2 and "\n".join(parts) == listed + w.section_rule + wrapped
 
