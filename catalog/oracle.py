@@ -52,7 +52,7 @@ CTES: dict[str, str] = {
         SELECT thread_id, conv_id, position * 10 + step AS seq,
           CASE WHEN step = 5 THEN 'remove' ELSE 'append' END AS op, message_id,
           CASE WHEN step <> 5 THEN type END AS type,
-          CASE WHEN step <> 5 THEN content END AS content
+          CASE WHEN step <> 5 THEN content END AS content, ts + step * INTERVAL 1 SECOND AS ts
         FROM m, (VALUES (0), (5), (7)) s(step)
         WHERE step = 0 OR (position % 7 = 5 AND (step = 5 OR conv_id % 2 = 0))""",
     "sess": f"""
@@ -601,6 +601,10 @@ ORACLES: dict[str, str] = {
            FROM r WHERE k > 0""", True, **fold_rule(DEFAULTS, "lm")),
     "message_composition": q(COMPOSITION.format("m", "summ")),
     "message_composition_long": q(COMPOSITION.format("lm", "lsumm")),
+    "stream_thread_state_log": q(
+        f"""SELECT e.thread_id, count(DISTINCT f.message_id) AS message_count, max(e.ts) AS updated_at
+            FROM ev e LEFT JOIN ({folded('ev')}) f ON f.thread_id = e.thread_id AND f.message_id = e.message_id
+            GROUP BY e.thread_id"""),
     "stream_thread_state": q("SELECT thread_id, count(*) AS message_count, max(ts) AS updated_at FROM lm GROUP BY thread_id"),
     "stream_compaction": q(
         "SELECT thread_id, 'fold' AS kind, folds AS boundary_no, n AS at_message, s AS summarized_count FROM r WHERE fired",

@@ -742,6 +742,25 @@ def stream_thread_state(t: Tables) -> DataFrame:
     return streams.latest_thread_state(t.spark, out)
 
 
+def _in_batches(t: Tables, frames: list[DataFrame], files: int = 4) -> DataFrame:
+    """Frames written one after the other and streamed about one per micro-batch."""
+    folder = shared_folder(t.spark, "source")
+    for frame in frames:
+        frame.repartition(files).write.mode("append").parquet(folder)
+    source = t.spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", files)
+    return source.parquet(folder)
+
+
+@query
+def stream_thread_state_log(t: Tables) -> DataFrame:
+    """Counters over a log with removals and returns, the later events first."""
+    log = t.message_event.select("thread_id", "message_id", "seq", "op", "ts")
+    step = F.col("seq") % 10
+    stream = _in_batches(t, [log.filter(step == 7), log.filter(step == 0), log.filter(step == 5)])
+    out = _run(t, streams.message_liveness(stream), "liveness", "update")
+    return streams.live_thread_state(t.spark, out)
+
+
 @query
 def stream_compaction(t: Tables) -> DataFrame:
     out = _run(t, streams.compaction(_message_stream(t)), "compaction", "append")
@@ -761,10 +780,12 @@ def stream_notes(t: Tables) -> DataFrame:
 
 @query
 def stream_dedup(t: Tables) -> DataFrame:
-    """Each message arrives twice and is kept once."""
-    stream = _message_stream(t)
-    doubled = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    out = _run(t, streams.distinct_messages(doubled, "10000 days").drop("copy"), "dedup", "append")
+    """Each message arrives twice, in two batches by time, and is kept once."""
+    rows = t.long_message.select("thread_id", "message_id", "ts")
+    doubled = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    early = F.expr("ts < timestamp_ntz'2024-01-01 12:00:00'")
+    stream = _in_batches(t, [doubled.filter(early), doubled.filter(~early)])
+    out = _run(t, streams.distinct_messages(stream, "1 hour"), "dedup", "append")
     return t.spark.read.parquet(out).select("thread_id", "message_id")
 
 

@@ -42,7 +42,11 @@ def write_batches(
 
 
 def thread_state(events: DataFrame) -> DataFrame:
-    """Message count and last activity per thread, in ``update`` mode."""
+    """Message count and last activity per thread, in ``update`` mode.
+
+    For streams of new messages only. A log with removals and overwrites goes
+    through ``message_liveness``.
+    """
     return events.groupBy("thread_id").agg(
         F.count(F.lit(1)).alias("message_count"), F.max("ts").alias("updated_at")
     )
@@ -54,6 +58,32 @@ def latest_thread_state(spark: SparkSession, path: str) -> DataFrame:
     return newest_per_key(rows, ["thread_id"], ["batch_id"]).drop("batch_id")
 
 
+def message_liveness(events: DataFrame) -> DataFrame:
+    """Whether each message of a log is there after its last event, in ``update`` mode.
+
+    The event with the greatest ``seq`` decides, so events may arrive in any order. State
+    is one small row per message id, spread over (thread, id): a long thread is no hot
+    key.
+    """
+    return (
+        events.groupBy("thread_id", "message_id")
+        .agg(F.max(F.struct("seq", "op")).alias("_last"), F.max("ts").alias("updated_at"))
+        .select(
+            "thread_id", "message_id", F.col("_last.seq").alias("seq"),
+            (F.col("_last.op") != "remove").alias("live"), "updated_at",
+        )
+    )
+
+
+def live_thread_state(spark: SparkSession, path: str) -> DataFrame:
+    """Current counters from written liveness rows; a thread with nothing left counts 0."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    latest = newest_per_key(rows, ["thread_id", "message_id"], ["batch_id"])
+    return latest.groupBy("thread_id").agg(
+        F.sum(F.col("live").cast("bigint")).alias("message_count"), F.max("updated_at").alias("updated_at")
+    )
+
+
 # --- compaction -----------------------------------------------------------------
 
 _OUT = "thread_id string, kind string, boundary_no long, at_message long, summarized_count long, seq long"
@@ -127,12 +157,12 @@ def current_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def distinct_messages(events: DataFrame, lateness: str = "1 hour", time_column: str = "ts") -> DataFrame:
-    """Drop replays of a message id that arrive within ``lateness``.
+    """Drop replays of a thread's message id that arrive within ``lateness``.
 
-    The time column is turned into an instant first: a watermark needs one.
+    Ids older than that leave the state, and rows later than that are dropped. The time column is turned into an instant first: a watermark needs one.
     """
     timed = events.withColumn(time_column, F.col(time_column).cast("timestamp"))
-    return timed.withWatermark(time_column, lateness).dropDuplicatesWithinWatermark(["message_id"])
+    return timed.withWatermark(time_column, lateness).dropDuplicatesWithinWatermark(["thread_id", "message_id"])
 
 
 def final_responses(events: DataFrame) -> DataFrame:

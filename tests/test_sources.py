@@ -1,7 +1,10 @@
+import uuid
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from chatterloom import session
 from chatterloom.operators import reports
 from chatterloom.schemas import TABLES
 from chatterloom.session import shared_folder
@@ -23,6 +26,17 @@ def test_old_tables_get_their_columns(spark, tmp_path):
         io.write_table(old, f"{tmp_path}/session")
 
 
+def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    kept = session.written(spark.range(3), "outer")
+    with session.scratch(spark):
+        first = session.written(spark.range(5), "one")
+        with session.scratch(spark):
+            session.written(first, "two")
+        assert len(list(tmp_path.glob("*"))) == 2 and first.count() == 5
+    assert len(list(tmp_path.glob("*"))) == 1 and kept.count() == 3
+
+
 def test_append_adds_days_and_ids(spark, tmp_path):
     df = spark.createDataFrame([("a", 0), ("b", 30)], "text string, h int").withColumn(
         "ts", F.expr("timestamp_ntz'2024-01-01' + INTERVAL '1' HOUR * h")

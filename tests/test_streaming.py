@@ -40,6 +40,17 @@ def test_counters_equal_batch(spark, tmp_path):
     assert rows(S.latest_thread_state(spark, out), "thread_id", "message_count") == rows(message_count(m))
 
 
+def test_liveness_follows_removals_in_any_order(spark, tmp_path):
+    log = [("t", "a", 1, "append"), ("t", "b", 2, "append"), ("t", "a", 3, "remove"), ("t", "b", 4, "append"), ("t", "c", 5, "append"),
+           ("t", "a", 6, "append"), ("t", "c", 7, "remove"), ("u", "x", 1, "append"), ("u", "x", 2, "remove")]
+    df = spark.createDataFrame(log, "thread_id string, message_id string, seq long, op string").withColumn(
+        "ts", F.expr("timestamp_ntz'2024-01-01' + INTERVAL '1' SECOND * seq")
+    )
+    late_first = [df.filter("seq > 5"), df.filter("seq between 3 and 5"), df.filter("seq < 3")]
+    out = run(S.message_liveness(source(spark, tmp_path, late_first)), tmp_path, "update")
+    assert rows(S.live_thread_state(spark, out), "thread_id", "message_count") == [("t", 2), ("u", 0)]
+
+
 def test_compaction_equals_batch_and_reports_late_rows(spark, tmp_path):
     m = log(spark, 2)
     late = m.filter("thread_id = 't0' and seq in (3, 4)")
