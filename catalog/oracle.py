@@ -361,6 +361,18 @@ ORACLES: dict[str, str] = {
               FROM (SELECT *, max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY thread_id) AS gone FROM sev)
               WHERE gone IS NULL OR seq > gone GROUP BY thread_id)
         WHERE born IS NOT NULL"""),
+    "profile_fold": q("""
+        SELECT thread_id AS profile_id,
+          CASE WHEN renamed > born THEN new_name WHEN born % 2 = 0 THEN 'Profile ' || born::VARCHAR ELSE 'New Profile' END AS name,
+          born_ts AS created_at, CASE WHEN patched > born THEN patch_ts ELSE born_ts END AS updated_at,
+          'user_' || (thread_id::BIGINT % 7)::VARCHAR AS username
+        FROM (SELECT thread_id, min(seq) FILTER (op = 'create') AS born, arg_min(ts, seq) FILTER (op = 'create') AS born_ts,
+                max(seq) FILTER (op = 'rename') AS renamed, arg_max(title, seq) FILTER (op = 'rename') AS new_name,
+                max(seq) FILTER (op IN ('rename', 'touch')) AS patched,
+                arg_max(ts, seq) FILTER (op IN ('rename', 'touch')) AS patch_ts
+              FROM (SELECT *, max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY thread_id) AS gone FROM sev)
+              WHERE gone IS NULL OR seq > gone GROUP BY thread_id)
+        WHERE born IS NOT NULL"""),
     "cascade_delete": q("""
         SELECT table_name, thread_id, count(*) AS rows FROM (
           SELECT 'session' AS table_name, thread_id FROM sess

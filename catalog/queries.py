@@ -127,6 +127,18 @@ def entity_fold(t: Tables) -> DataFrame:
     return logs.fold_entity_log(t.session_event, "thread_id", policy=t.policy)
 
 
+@query
+def profile_fold(t: Tables) -> DataFrame:
+    """Profiles out of the event log; every second create carries a name."""
+    named = F.concat(F.lit("Profile "), F.col("seq").cast("string"))
+    log = t.session_event.select(
+        F.col("thread_id").alias("profile_id"), "op",
+        F.when((F.col("op") == "create") & (F.col("seq") % 2 == 0), named).otherwise(F.col("title")).alias("name"),
+        F.concat(F.lit("user_"), (F.col("thread_id").cast("bigint") % 7).cast("string")).alias("username"), "ts", "seq",
+    )
+    return logs.fold_profile_log(log, policy=t.policy)
+
+
 @query
 def cascade_delete(t: Tables) -> DataFrame:
     """Rows left per table and thread after threads under four messages are dropped."""

@@ -82,6 +82,11 @@ def register_accounts(accounts: DataFrame, requests: DataFrame) -> DataFrame:
     return insert_if_absent(accounts, valid.filter("username IS NOT NULL"), ["username"])
 
 
+def _since_last_delete(events: DataFrame, key: str, policy: SplitPolicy) -> DataFrame:
+    gone = (F.col("op") == "delete").cast("int")
+    return running(events, [key], ["seq"], after={"_dels": gone}, policy=policy).filter("_dels = 0")
+
+
 def fold_entity_log(
     events: DataFrame, key: str, default_title: str = C.NEW_CHAT_TITLE, policy: SplitPolicy = DEFAULT_SPLIT
 ) -> DataFrame:
@@ -93,9 +98,7 @@ def fold_entity_log(
     aggregate settles every column.
     """
     op = F.col("op")
-    alive = running(
-        events, [key], ["seq"], after={"_dels": (op == "delete").cast("int")}, policy=policy
-    ).filter("_dels = 0")
+    alive = _since_last_delete(events, key, policy)
     created, renamed, touched = op == "create", op == "rename", op == "touch"
     patched = renamed | touched
     seq = F.col("seq")
@@ -125,6 +128,34 @@ def fold_entity_log(
     )
 
 
+def fold_profile_log(
+    events: DataFrame, default_name: str = C.NEW_PROFILE_NAME, policy: SplitPolicy = DEFAULT_SPLIT
+) -> DataFrame:
+    """Current profiles of a create / rename / touch / delete log.
+
+    ``events(profile_id, op, name, username, ts, seq)``. A create without a name gets
+    the default; a rename stores its name as given; rename and touch move
+    ``updated_at``. Patches on a missing profile and second creates do nothing. A
+    delete in the log takes effect: refusals are settled before it is written.
+    """
+    op, seq = F.col("op"), F.col("seq")
+    patched = op.isin("rename", "touch")
+    folded = _since_last_delete(events, "profile_id", policy).groupBy("profile_id").agg(
+        F.min(F.when(op == "create", seq)).alias("_born"),
+        F.min_by(F.struct("name", "username", "ts"), F.when(op == "create", seq)).alias("_create"),
+        F.max(F.when(op == "rename", F.struct("seq", "name"))).alias("_rename"),
+        F.max(F.when(patched, F.struct("seq", "ts"))).alias("_patch"),
+    )
+    first_name = F.coalesce(F.col("_create.name"), F.lit(default_name))
+    return folded.filter("_born IS NOT NULL").select(
+        "profile_id",
+        F.when(F.col("_rename.seq") > F.col("_born"), F.col("_rename.name")).otherwise(first_name).alias("name"),
+        F.col("_create.ts").alias("created_at"),
+        F.when(F.col("_patch.seq") > F.col("_born"), F.col("_patch.ts")).otherwise(F.col("_create.ts")).alias("updated_at"),
+        F.col("_create.username").alias("username"),
+    )
+
+
 def fold_messages(
     events: DataFrame, keys: Sequence[str] = ("thread_id",), policy: SplitPolicy = DEFAULT_SPLIT, keep_seq: bool = False
 ) -> DataFrame:

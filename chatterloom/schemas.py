@@ -30,6 +30,12 @@ TABLES: dict[str, T.StructType] = {
         ("thread_id", S), ("title", S), ("created_at", TS), ("updated_at", TS),
         ("message_count", I), ("username", S),
     ),
+    "profile_event": _table(
+        ("profile_id", S), ("op", S), ("name", S), ("username", S), ("ts", TS), ("seq", L)
+    ),
+    "session_event": _table(
+        ("thread_id", S), ("op", S), ("title", S), ("message_count", I), ("ts", TS), ("seq", L)
+    ),
     "message_event": _table(
         ("thread_id", S), ("seq", L), ("op", S), ("message_id", S), ("type", S), ("content", S),
         ("blocks", T.ArrayType(BLOCK)), ("tool_calls", T.ArrayType(TOOL_CALL)), ("ts", TS),

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from conftest import SPLIT_ALL, rows
@@ -156,3 +157,31 @@ def test_repeated_id_stays_in_place(spark, split):
     log += [("t", s, "append", "x", "human", f"v{s}") for s in range(2, 200)]
     got = logs.fold_messages(spark.createDataFrame(log, EVENT), policy=split)
     assert rows(got, "position", "message_id", "content") == [(0, "x", "v199"), (1, "y", "w")]
+
+
+def test_long_keys_fold_in_linear_time(spark):
+    """One key of 250,000 events."""
+    numbered = spark.range(250_000).select(F.lit("t").alias("thread_id"), F.col("id").alias("seq"))
+    ops = F.when(F.col("seq") == 0, "create").when(F.col("seq") % 2 == 0, "touch").otherwise("rename")
+    entity = numbered.select(
+        "*", ops.alias("op"), F.lit("x").alias("title"), F.lit(1).alias("message_count"),
+        F.expr("timestamp_ntz'2024-01-01'").alias("ts"),
+    )
+    messages = numbered.select("*", F.lit("append").alias("op"), F.lit("m").alias("message_id"), F.lit("x").alias("content"))
+    for fold in (logs.fold_entity_log(entity, "thread_id"), logs.fold_messages(messages)):
+        began = time.perf_counter()
+        assert fold.count() == 1
+        assert time.perf_counter() - began < 20
+
+
+def test_profile_log(spark, policy):
+    log = [("p", "rename", "early", None, 0), ("p", "create", None, "u", 1), ("p", "create", "twice", "v", 2), ("p", "touch", None, None, 3),
+           ("q", "create", "named", "u", 1), ("q", "rename", " ", None, 2), ("r", "create", "a", "u", 1), ("r", "delete", None, None, 2),
+           ("s", "create", "a", "u", 1), ("s", "delete", None, None, 2), ("s", "create", "b", "w", 3), ("x", "touch", None, None, 1)]
+    df = spark.createDataFrame(log, "profile_id string, op string, name string, username string, seq long").withColumn(
+        "ts", F.expr("timestamp_ntz'2024-01-01' + INTERVAL '1' DAY * seq")
+    )
+    got = logs.fold_profile_log(df, policy=policy).withColumn("at", F.dayofmonth("updated_at"))
+    assert rows(got, "profile_id", "name", "username", "at") == [
+        ("p", "New Profile", "u", 4), ("q", " ", "u", 3), ("s", "b", "w", 4),
+    ]

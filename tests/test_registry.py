@@ -11,7 +11,7 @@ from chatterloom.sources.fixtures import Tables
 SMALL = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
 SCANS = [
-    "entity_fold", "delete_profiles", "fold_messages", "thread_state_asof", "regenerate", "notes_context", "cumulative_chars",
+    "entity_fold", "profile_fold", "delete_profiles", "fold_messages", "thread_state_asof", "regenerate", "notes_context", "cumulative_chars",
     "checkpoint_chain", "final_responses", "compaction_boundaries_small", "context_size_per_turn", "message_composition_long",
 ]
 
