@@ -378,15 +378,15 @@ def _boundaries_of(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFr
     width = max(width, cfg.max_messages + cfg.keep_last + 2)
     blocks = _turn_blocks(ends, cfg, width).select("thread_id", "blk", "own")
     zero = F.lit(0).cast("bigint")
+    # Threads of one block start from nothing; the branch of longer ones is usually empty.
     long = ends.filter(F.col("k") >= width).select("thread_id").distinct()
-    if long.isEmpty():
-        # The usual case: every thread fits one block and starts from nothing.
-        entered = blocks.select("thread_id", "own", *[zero.alias(c) for c in ("s", "chars", "folds_before")])
-    else:
-        chained = _turn_blocks(ends.join(long, "thread_id", "left_semi"), cfg, width)
-        entered = blocks.join(_block_entries(chained, cfg), ["thread_id", "blk"], "left").select(
-            "thread_id", "own", *[F.coalesce(c, zero).alias(c) for c in ("s", "chars", "folds_before")]
-        )
+    chained = _turn_blocks(ends.join(long, "thread_id", "left_semi"), cfg, width)
+    found = blocks.join(_block_entries(chained, cfg), ["thread_id", "blk"], "left")
+    lost = F.raise_error(F.concat(F.lit("no entry state for a block of thread "), "thread_id"))
+    entered = found.select(
+        "thread_id", "own",
+        *[F.coalesce(F.col(c), F.when(F.col("blk") > 0, lost).otherwise(zero)).alias(c) for c in ("s", "chars", "folds_before")],
+    )
     # The generator takes the expression itself: over a named column the optimizer
     # would add a filter on its size and fold every block a second time.
     return entered.select(
