@@ -421,7 +421,8 @@ ORACLES: dict[str, str] = {
     "auto_title": q("SELECT thread_id, title FROM sess"),
     "auto_title_with_image": q("SELECT thread_id, title FROM sess"),
     "note_fields": q("""
-        SELECT profile_id, note_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE created_at END AS created_at, source_thread_id FROM note"""),
+        SELECT profile_id, note_id, coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE created_at END AS created_at,
+          source_thread_id FROM note"""),
     "namespace_delete": q("""
         SELECT profile_id || '/notes' AS namespace, note_id AS key FROM note
         WHERE profile_id NOT IN (SELECT profile_id FROM prof WHERE username = 'user_3')"""),

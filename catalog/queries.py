@@ -296,7 +296,7 @@ def note_fields(t: Tables) -> DataFrame:
             "created_at", F.when(F.col("note_id").cast("bigint") % 3 > 0, F.col("created_at"))
         )
     )
-    return scope.notes_from_store(store).select("profile_id", "note_id", "created_at", "source_thread_id")
+    return scope.notes_from_store(store).select("profile_id", "note_id", "text", "created_at", "source_thread_id")
 
 
 @query
