@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from catalog.queries import SCANS
 from chatterloom.config import NON_TEXT, CompactionConfig, Wording
 
 PAGE_BYTES, PAGED = 8 * 1024 * 1024, 256
@@ -633,3 +634,4 @@ ORACLES: dict[str, str] = {
         SELECT thread_id, title, created_at, updated_at, message_count, username FROM sess
         ORDER BY updated_at DESC, thread_id LIMIT 10"""),
 }
+ORACLES |= {f"{name}_split": ORACLES[name] for name in SCANS}

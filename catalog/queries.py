@@ -14,6 +14,7 @@ from chatterloom import CompactionConfig
 from chatterloom.config import DEFAULT_USERNAME, NEW_CHAT_TITLE
 from chatterloom.functions import text as X
 from chatterloom.operators import logs, messages as msg, reports, retention, scope
+from chatterloom.operators.blocks import SplitPolicy
 from chatterloom.plans import compaction, context, edits, memory
 from chatterloom.session import shared_folder, written
 from chatterloom.sources import tables as io
@@ -817,3 +818,19 @@ def readonly_sql(t: Tables) -> DataFrame:
     return io.run_readonly_sql(
         t.spark, "SELECT * FROM session ORDER BY updated_at DESC, thread_id LIMIT 10;"
     )
+
+
+# --- ordered scans with nearly every key cut into blocks --------------------------------------
+
+SPLIT_ALL = SplitPolicy(sample_mod=2, min_cuts=1)
+SCANS = [
+    "entity_fold", "profile_fold", "delete_profiles", "fold_messages", "thread_state_asof", "regenerate", "notes_context", "cumulative_chars",
+    "checkpoint_chain", "final_responses", "compaction_boundaries_small", "context_size_per_turn", "message_composition_long",
+]
+
+
+def _split(name: str) -> Query:
+    return lambda spark, sf_dir: BUILDERS[name](Tables(spark, sf_dir, SPLIT_ALL))
+
+
+REGISTRY |= {f"{name}_split": _split(name) for name in SCANS}

@@ -7,14 +7,15 @@ window runs per (key, block), and block totals supply what came before.
 * Cuts are values of the order column picked by hash (one row in
   ``sample_mod``), so they are a pure function of the data: recomputing a lost
   task gives the same blocks, and any set of cuts gives the same result.
-* At most ``max_keys`` keys get cuts and each gets about ``max_cuts``, so the
-  broadcast cut table and the broadcast offset table have a fixed bound that
-  does not grow with the data. Keys outside the first ``max_keys`` hold less
-  than ``1 / max_keys`` of the rows each.
+* All keys are cut at the same distance, so a key has cuts in proportion to its
+  rows and no number of large keys is too many. The distance is ``sample_mod``
+  rows, or as much more as it takes to leave about ``max_cuts`` cuts in the whole
+  table: the broadcast tables have a fixed bound, and a block holds about one row
+  in ``max_cuts`` of the table at most. A key below ``min_cuts`` blocks stays whole.
 * With no large key the cut table is empty and adaptive execution drops the
   totals branch; what is left is one exchange and one window.
-* The input is read once for the sample, once for the rows and, for large keys,
-  once for totals. Callers that scan the result of a shuffle write it first.
+* Order columns are read once to count the picked rows and once to pick them, the
+  input once for the rows and, for large keys, once for totals. Callers that scan the result of a shuffle write it first.
 """
 
 from __future__ import annotations
@@ -32,8 +33,7 @@ from chatterloom.session import written
 class SplitPolicy:
     sample_mod: int = 65_536
     min_cuts: int = 4
-    max_cuts: int = 512
-    max_keys: int = 1_000
+    max_cuts: int = 524_288
 
 
 DEFAULT_SPLIT = SplitPolicy()
@@ -47,22 +47,16 @@ def hot_key_cuts(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SplitPolicy = DEFAULT_SPLIT
 ) -> DataFrame:
     """``keys, _cuts``: sorted order values at which a large key is split."""
-    per_key = Window.partitionBy(*keys)
-    picked = (
-        df.select(*keys, _order_value(order).alias("_o"), F.xxhash64(*order).alias("_h"))
-        .filter(F.pmod("_h", F.lit(policy.sample_mod)) == 0)
-        .withColumn("_picked", F.count(F.lit(1)).over(per_key))
-        .filter(F.col("_picked") >= policy.min_cuts)
-    )
-    step = F.ceil(F.col("_picked") / F.lit(policy.max_cuts)).cast("bigint")
-    nth = F.expr(f"_h div {policy.sample_mod}")
+    # The hash takes the key in, or an order value that many keys share would be picked for all of them.
+    hashed = df.select(*keys, _order_value(order).alias("_o"), F.xxhash64(*keys, *order).alias("_h"))
+    picked = hashed.filter(F.pmod("_h", F.lit(policy.sample_mod)) == 0)
+    many = picked.agg(F.count(F.lit(1))).scalar()
+    step = F.greatest(F.ceil(many / F.lit(policy.max_cuts)), F.lit(1)).cast("bigint")
     return (
-        picked.filter(F.pmod(nth, step) == 0)
+        picked.filter(F.pmod(F.expr(f"_h div {policy.sample_mod}"), step) == 0)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_o")).alias("_cuts"), F.max("_picked").alias("_picked"))
-        .orderBy(F.desc("_picked"), *keys)
-        .limit(policy.max_keys)
-        .drop("_picked")
+        .agg(F.sort_array(F.collect_list("_o")).alias("_cuts"))
+        .filter(F.size("_cuts") >= policy.min_cuts)
     )
 
 
@@ -123,7 +117,7 @@ def running(
         local["_first"] = F.row_number().over(inside) == 1
     windowed = blocked("left", rows.columns).withColumns(local)
 
-    # Totals exist only for keys with cuts: at most max_keys x (cuts + 1) rows.
+    # Totals exist only for keys with cuts: at most a row per cut and one per such key.
     totals = blocked("inner", list(dict.fromkeys([*keys, *order, *values]))).groupBy(*keys, "_blk")
     measures = [F.sum(f"_s_{n}").alias(f"_t_{n}") for n in {**sums, **after}]
     measures += [

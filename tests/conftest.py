@@ -9,7 +9,7 @@ from chatterloom.operators.blocks import SplitPolicy  # noqa: E402
 from chatterloom.session import local_session  # noqa: E402
 
 # Cuts nearly every key, so small test data takes the path of huge keys.
-SPLIT_ALL = SplitPolicy(sample_mod=2, min_cuts=1, max_cuts=3, max_keys=1000)
+SPLIT_ALL = SplitPolicy(sample_mod=2, min_cuts=1, max_cuts=1 << 20)
 
 
 @pytest.fixture(scope="session")

@@ -45,8 +45,21 @@ def test_cuts_are_bounded_and_repeatable(spark):
     again = {r["k"]: r["_cuts"] for r in hot_key_cuts(df.repartition(7), ["k"], ["num"], SPLIT_ALL).collect()}
     assert cuts == again and len(cuts["hot"]) >= 2
     assert all(c == sorted(c) for c in cuts.values())
-    few = hot_key_cuts(df, ["k"], ["num"], SplitPolicy(sample_mod=2, min_cuts=1, max_cuts=3, max_keys=1))
-    assert [r["k"] for r in few.collect()] == ["hot"]
+    few = hot_key_cuts(df, ["k"], ["num"], SplitPolicy(sample_mod=2, min_cuts=3, max_cuts=16))
+    few = {r["k"]: len(r["_cuts"]) for r in few.collect()}
+    assert set(few) == {"hot"} and 4 <= few["hot"] <= 40
+
+
+def test_many_large_keys_are_all_cut_at_one_distance(spark):
+    df = spark.range(600_000).select((F.col("id") % 1500).alias("k"), F.expr("id div 1500").alias("at"))
+    policy = SplitPolicy(sample_mod=16, min_cuts=4)
+    cuts = hot_key_cuts(df, ["k"], ["at"], policy).select("k", F.size("_cuts").alias("n"))
+    assert cuts.count() > 1490  # 25 cuts each are expected
+    low, mean, high = cuts.agg(F.min("n"), F.avg("n"), F.max("n")).first()
+    assert 4 <= low and 24 < mean < 26 and high < 50  # equal order values of other keys do not fall together
+    bounded = hot_key_cuts(df, ["k"], ["at"], SplitPolicy(sample_mod=16, min_cuts=1, max_cuts=3000))
+    assert 2500 < bounded.agg(F.sum(F.size("_cuts"))).first()[0] < 3500
+    assert running(df, ["k"], ["at"], {"no": F.lit(1)}, policy=policy).filter("no <> at + 1").count() == 0
 
 
 def test_hot_key_is_spread_over_blocks(spark):

