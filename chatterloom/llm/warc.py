@@ -8,11 +8,16 @@ the files (``\r\n\r\n`` ends a record), so lost tasks are redone, on any file sy
 
 Reading. The magic may also stand inside a payload, so finding it proves nothing.
 Tasks go over ranges of a file and emit, for every candidate with a well-formed
-header, the offset of its successor; candidates whose successor is neither a
-record nor the end of the file go at once. Inside a range, chains are followed on
+header, the offset of its successor; candidates that neither start the file nor
+follow a record's end, and those whose successor is neither a record nor the end
+of the file, go at once. A header may have any length: the headers of two
+candidates never overlap, so all of them are searched in one pass. Inside a range, chains are followed on
 the spot to the first offset beyond the range. Across ranges, pointer jumping
 from offset 0 finds the entry of every range; a candidate is kept only if it lies
-on the chain of its range's entry. Whatever was inside a payload is not.
+on the chain of its range's entry. Whatever was inside a payload is not. Reading
+fails if the chain of a file ends before the file does, and resolving fails if a
+revisit names a response that is not there; with ``strict=False`` the records
+before the damage are given, and such revisits without ``payload_bytes``.
 
 A file is one row of Spark's binary reader and must fit a task: the writer starts
 a new file every ``file_records`` records.
@@ -20,8 +25,7 @@ a new file every ``file_records`` records.
 Defined cases: a null html is an empty payload, a null url an empty one; line
 breaks in a url are percent-encoded; rows that repeat an id, and rows with a null
 id, are responses unless a smaller id has the payload; an empty table gives an
-empty archive; a truncated file yields the records before the damage; other
-columns are ignored.
+empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,6 @@ from chatterloom.session import ship_package, written
 MAGIC = b"WARC/1.1\r\n"  # fixed value of the format
 GAP = "\r\n\r\n"
 BROADCAST_ROWS = 200_000
-HEADER_BYTES = 1 << 16
 RANGE_BYTES = 1 << 22
 
 
@@ -111,7 +114,8 @@ def candidates_in(data: bytes, low: int, high: int) -> list[dict]:
     the range, and an interval that holds the ``pre`` of every candidate whose chain passes here."""
     found, at = {}, data.find(MAGIC, low, high + len(MAGIC) - 1)
     while at >= 0:
-        end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+        follows = at == 0 or data[max(at - 4, 0) : at] == b"\r\n\r\n"
+        end = data.find(b"\r\n\r\n", at) if follows else -1
         header = data[at:end] if end > 0 else b""
         size = _field(header, b"Content-Length") or ""
         if size.isdigit():
@@ -138,9 +142,10 @@ def candidates_in(data: bytes, low: int, high: int) -> list[dict]:
     return list(found.values())
 
 
-def read_archive(spark: SparkSession, folder: str, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str, *, range_bytes: int = RANGE_BYTES, strict: bool = True) -> DataFrame:
     """``file, offset, record_type, page_id, uri, refers_to, payload_bytes, payload_digest`` of every
-    record reachable from the start of its file; sizes and digests are those of the stored payload."""
+    record reachable from the start of its file; sizes and digests are those of the stored payload.
+    A file with records that cannot be reached is an error unless ``strict`` is off."""
     ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
 
@@ -165,6 +170,11 @@ def read_archive(spark: SparkSession, folder: str, *, range_bytes: int = RANGE_B
     kinds = [pa.int64() if c.strip().endswith("long") else pa.string() for c in _SCHEMA.split(",")]
     seen = written(files.select("path", "content").mapInArrow(scan, _SCHEMA), "candidates")
     entries = _entries(seen, files, range_bytes)
+    if strict:  # the last record's exit is the length of its file
+        ends = files.filter("length > 0").select(F.col("path").alias("file"), F.col("length").alias("at"))
+        cut = ends.join(entries, ["file", "at"], "left_anti").first()
+        if cut:
+            raise ValueError(f"the records of {cut.file} do not reach its end")
     spot = entries.join(seen.select("file", F.col("offset").alias("at"), "range", F.col("pre").alias("entry")), ["file", "at"])
     kept = seen.join(spot.select("file", "range", "entry"), ["file", "range"]).filter("pre <= entry AND entry < post")
     return kept.select("file", "offset", "record_type", "page_id", "uri", "refers_to", "header_digest", "payload_bytes", "payload_digest")
@@ -187,16 +197,19 @@ def _entries(seen: DataFrame, files: DataFrame, range_bytes: int) -> DataFrame:
     return reached
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has the payload of its response."""
+def resolved(records: DataFrame, *, strict: bool = True) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has the payload of its response.
+    A revisit without its response is an error, or has no ``payload_bytes`` if ``strict`` is off."""
     given = records.filter("record_type = 'response'").select(
         F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("size")
     )
     again = records.filter("record_type = 'revisit'").select(
         "page_id", "refers_to", F.substring_index("header_digest", ":", -1).alias("of")
     )
-    back = again.join(given.dropDuplicates(["refers_to", "of"]), ["refers_to", "of"]).select(
-        "page_id", F.col("size").alias("payload_bytes"), F.col("of").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    size = F.coalesce("size", lost.cast("bigint")) if strict else F.col("size")
+    back = again.join(given.dropDuplicates(["refers_to", "of"]), ["refers_to", "of"], "left").select(
+        "page_id", size.alias("payload_bytes"), F.col("of").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"
     )
     first = records.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return first.unionByName(back)

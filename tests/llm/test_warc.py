@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -63,3 +64,30 @@ def test_damaged_tail_keeps_what_is_before():
     one = FAKE.encode()
     found = warc.candidates_in(one * 2 + one[:-6], 0, 3 * len(one))
     assert [x["offset"] for x in found] == [0, len(one)] and found[1]["exit"] == -1
+
+
+@pytest.mark.parametrize("range_bytes", [1000, 1 << 22])
+def test_long_urls_do_not_end_the_chain(spark, range_bytes):
+    rows = [(k, "u" * (100_000 if k == 5 else 9) + ("WARC/1.1" if k == 6 else ""), LONG if k > 5 else f"page {k}") for k in range(12)]
+    folder = shared_folder(spark, "warc")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    records = warc.read_archive(spark, folder, range_bytes=range_bytes)
+    assert {r.page_id: r.uri for r in records.collect()} == {k: url for k, url, _ in rows}
+    back = {r.page_id: r.payload_bytes for r in warc.resolved(records).collect()}
+    assert back == {k: len(html) for k, _, html in rows}
+
+
+def test_lost_records_fail(spark):
+    one = FAKE.replace("page:99", "page:1").encode()
+    again = b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:2>\r\nWARC-Refers-To: <urn:page:7>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    folder = Path(shared_folder(spark, "warc"))
+    folder.mkdir(parents=True)
+    (folder / "part-0").write_bytes(one + again + one[:-6])
+    (folder / "part-1").write_bytes(b"")
+    with pytest.raises(ValueError, match="part-0 do not reach its end"):
+        warc.read_archive(spark, str(folder))
+    records = warc.read_archive(spark, str(folder), strict=False)
+    assert sorted(r.page_id for r in records.collect()) == [1, 2]
+    with pytest.raises(Exception, match="no response for the revisit of page 2"):
+        warc.resolved(records).collect()
+    assert {(r.page_id, r.payload_bytes) for r in warc.resolved(records, strict=False).collect()} == {(1, 3), (2, None)}
