@@ -22,11 +22,13 @@ A score is an estimate of P(positive), in [0, 1].
 Defined cases: a null text is an empty text and gets a score; an id with several
 labels is a positive only if all say so; rows without an id are unlabelled;
 repeated rows count as often as they occur; with no positive or no unlabelled row
-nothing can be learned, and every score is 0.5; other columns are carried along.
+nothing can be learned, every score is 0.5, and ``keep_good`` keeps all documents
+and warns; other columns are carried along.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -320,11 +322,13 @@ def keep_good(
     """The documents of ``docs`` whose score reaches the threshold.
 
     The model is fitted once on the feature table; texts are then scored where
-    they are read, so they are not shuffled.
+    they are read, so they are not shuffled. Where nothing could be learned, no
+    document is judged: all of them are kept, with a warning.
     """
     model = fit(learned_table(docs, labels, key=key, text=text, skip=skip), config)
     if model is None:
-        return docs if 0.5 >= config.threshold else docs.limit(0)
+        warnings.warn("no positive or no unlabelled document to learn from: all documents are kept", stacklevel=2)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:

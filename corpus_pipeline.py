@@ -5,6 +5,7 @@ Parquet in the shared folder and read back as the next stage's input. All stages
 but the last give the columns of ``documents``.
 
 1. quality: documents scored under 0.7 by the positive-unlabelled classifier go;
+   all stay, with a warning, where the labels leave it nothing to learn from;
 2. near duplicates: of each class of documents linked by a similarity of 0.8 or
    more, the one with the least id stays;
 3. decontamination: documents that hold a window of a benchmark item go;

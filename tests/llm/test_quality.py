@@ -88,3 +88,14 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.quality for r in out]) > 0.95
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()
     assert out and len(docs) == op3_quality_scores(spark, SF).count()
+
+
+def test_nothing_to_learn_from_keeps_all(spark):
+    docs = spark.createDataFrame([(1, "good text here."), (2, None), (None, "no id")], "doc_id long, text string")
+    good = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    for labels, skip in ((good.limit(0), None), (good.selectExpr("doc_id", "0 quality"), None), (good, F.col("doc_id").isNotNull())):
+        with pytest.warns(UserWarning, match="all documents are kept"):
+            kept = Q.keep_good(docs, labels, skip=skip)
+        assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+    with pytest.warns(UserWarning, match="all documents are kept"):
+        assert Q.keep_good(docs.filter("doc_id IS NOT NULL"), good).count() == 2
