@@ -149,7 +149,7 @@ def mix(
         totals.join(F.broadcast(plan), ["_none", "_s"]).filter(some).select("*", epochs)
         .withColumn("_from", F.sum("_bt").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_bt"))
         .withColumn("_limit", F.when(F.col("_epoch") < F.col("_whole"), F.col("_all")).otherwise(F.col("_part")))
-        .filter((F.col("_from") < F.col("_limit")) | (F.col("_all") == 0))
+        .filter("_from <= _limit")  # a block at the limit may hold rows without tokens
         .select("_none", "_s", "_epoch", "_block", "_from", "_limit")
     )
     inside = Window.partitionBy("_none", "_s", "_epoch", "_block").orderBy(

@@ -84,3 +84,11 @@ def test_bounds_and_empty(spark):
     sources = spark.range(5).selectExpr("false _none", "string(id) _s", "id _t")
     with pytest.raises(Exception, match="too many sources"):
         weights(sources, max_sources=4).collect()
+
+
+def test_rows_without_tokens_stay_in_whole_epochs(spark):
+    rows = [(0, "one", "abcd" * 640)] + [(k, "one", "" if k % 2 else None) for k in range(1, 41)] + [(k, "two", "abcd" * 9) for k in range(50, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mix(docs, block_tokens=64, cover=True, entropy=1.0).collect()
+    for source, keys in (("one", set(range(41))), ("two", set(range(50, 60)))):
+        assert {r.doc_id for r in out if r.source == source and r.epoch == 0} == keys
