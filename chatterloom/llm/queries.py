@@ -183,9 +183,10 @@ SELECT doc_id, source, tokens, epoch, (upto - tokens)::BIGINT AS start FROM run
 
 @query(MIX_SQL)
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixture.estimated_tokens("text").alias("size"), "text")
-    mixed = mixture.mix(docs.drop("text").withColumn("text", F.lit(None).cast("string")), tokens=F.col("size"), entropy=0.95, max_epochs=4.0)
-    return mixed.select("doc_id", "source", "tokens", "epoch", "start")
+    """Texts are repeated and placed with their rows; ``tokens`` is read back from the text of the output."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixture.mix(docs, entropy=0.95, max_epochs=4.0)
+    return mixed.select("doc_id", "source", mixture.estimated_tokens("text").alias("tokens"), "epoch", "start")
 
 
 SHARDS_SQL = r"""

@@ -4,7 +4,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from chatterloom.llm import mixture
 from chatterloom.llm.mixture import mix, weights
+from chatterloom.llm.queries import op5_temperature_mix
 
 SIZES = {"hot": 4000, "mid": 900, "small": 120, "tiny": 7}
 
@@ -92,3 +94,12 @@ def test_rows_without_tokens_stay_in_whole_epochs(spark):
     out = mix(docs, block_tokens=64, cover=True, entropy=1.0).collect()
     for source, keys in (("one", set(range(41))), ("two", set(range(50, 60)))):
         assert {r.doc_id for r in out if r.source == source and r.epoch == 0} == keys
+
+
+def test_query_mixes_whole_texts(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(mixture, "mix", lambda *a, **b: made.append(mix(*a, **b)) or made[0])
+    out = op5_temperature_mix(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.md5("text").alias("want"))
+    same = made[0].join(docs, "doc_id").filter(F.md5("text").eqNullSafe(F.col("want"))).count()
+    assert same == out.count() > 0
