@@ -1,5 +1,6 @@
 import random
 import re
+from math import comb
 
 import pytest
 
@@ -89,3 +90,16 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), 200: 200, 201: 200}
+
+
+def test_pruning_loses_less_than_the_bands():
+    config, t = JaccardConfig(), 0.8
+    left, lost = {0: 1.0}, 0.0
+    for needed in least_matches(config):
+        after = {}
+        for k, p in left.items():
+            for j in range(config.step + 1):
+                after[k + j] = after.get(k + j, 0.0) + p * comb(config.step, j) * t**j * (1 - t) ** (config.step - j)
+        lost += sum(p for k, p in after.items() if k < needed)
+        left = {k: p for k, p in after.items() if k >= needed}
+    assert lost < 1e-7 and lost + (1 - t**config.rows) ** config.bands < 1e-6
