@@ -19,8 +19,10 @@ fails if the chain of a file ends before the file does, and resolving fails if a
 revisit names a response that is not there; with ``strict=False`` the records
 before the damage are given, and such revisits without ``payload_bytes``.
 
-A file is one row of Spark's binary reader and must fit a task: the writer starts
-a new file every ``file_records`` records.
+A file is one row of Spark's binary reader, read by one task, range after range,
+and must fit it: the writer starts a new file every ``file_records`` records.
+Larger records, in classes that grow sixteenfold, are written with as many fewer
+to a file, so no file passes ``file_bytes`` but by a single record.
 
 Defined cases: a null html is an empty payload, a null url an empty one; line
 breaks in a url are percent-encoded; rows that repeat an id, and rows with a null
@@ -55,6 +57,7 @@ def write_archive(
     html: str = "html",
     least_revisit: int = 100,
     file_records: int = 2048,
+    file_bytes: int = 1 << 27,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> None:
     """Write ``pages`` as WARC files into ``folder``."""
@@ -89,8 +92,17 @@ def write_archive(
         F.lit("\r\n"),
     )
     record = F.concat(head, F.when(is_again, F.lit("")).otherwise(F.col("html")))
-    out = marked.select(record.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", file_records)
-    out.text(folder)
+    # The most bytes of a record: line breaks in a url grow threefold, the rest of a header has about 500.
+    most = F.octet_length("html").cast("bigint") + F.octet_length("url").cast("bigint") * 3 + 1024
+    many, size_class = file_records, F.lit(0)
+    while many > 1:
+        size_class = size_class + F.when(most > file_bytes // many, 1).otherwise(0)
+        many //= 16
+    found = sorted(r[0] for r in all_pages.select(size_class.alias("c")).distinct().collect()) or [0]
+    for c in found:
+        rows = marked.filter(size_class == c).select(record.alias("value"))
+        out = rows.write.mode("error" if c == found[0] else "append").option("lineSep", GAP)
+        out.option("maxRecordsPerFile", max(1, file_records // 16**c)).text(folder)
 
 
 def _field(header: bytes, name: bytes) -> str | None:

@@ -91,3 +91,13 @@ def test_lost_records_fail(spark):
     with pytest.raises(Exception, match="no response for the revisit of page 2"):
         warc.resolved(records).collect()
     assert {(r.page_id, r.payload_bytes) for r in warc.resolved(records, strict=False).collect()} == {(1, 3), (2, None)}
+
+
+def test_files_are_bounded_by_bytes(spark):
+    rows = [(k, "u", f"{k} " + "x" * (40_000 if k % 3 == 0 else 9_000 if k % 3 == 1 else 50)) for k in range(60)]
+    folder = shared_folder(spark, "warc")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, folder, file_records=64, file_bytes=1 << 17)
+    assert max(p.stat().st_size for p in Path(folder).glob("part-*")) <= 1 << 17
+    back = warc.resolved(warc.read_archive(spark, folder)).collect()
+    assert {r.page_id: r.payload_bytes for r in back} == {k: len(html) for k, _, html in rows} and len(back) == 60
