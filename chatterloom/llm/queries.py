@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, language, mixture, order, quality, shards, warc
+from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, language, mixture, order, quality, shards, simhash, warc
 from chatterloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,3 +257,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, aside = table(spark, sf_dir, "documents"), quality.held_out("doc_id", 3, 1)
     model = language.fit(docs.filter(~aside))
     return language.identify(docs, model, keep=["doc_id"]).select("doc_id", aside.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
