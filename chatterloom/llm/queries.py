@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, language, mixture, order, quality, shards, simhash, warc
+from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, language, mixture, order, quality, repair, shards, simhash, warc
 from chatterloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,3 +262,85 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversation rows with planted faults; the damage of a row follows from its conversation and turn."""
+    plain = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    how = F.crc32(F.concat(plain["conv_id"], F.lit(":"), plain["turn"])) % 20
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = turns.select("conv_id", "turn", plain["role"].alias("role"), plain["text"].alias("text"), how.alias("how"))
+    return rows.filter("how <> 0").select(
+        "conv_id", "turn", F.when(F.col("how") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("how") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS t),
+r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS bytes
+  FROM conversations),
+h AS (SELECT r.*, xor(4294967295, list_reduce(bytes, lambda c, x: xor(t[xor(c, x) % 256 + 1], c // 256), 4294967295::BIGINT)) % 20 AS how FROM r, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE how <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS c,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM d),
+f AS (
+  SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair,
+    CASE WHEN said = '' THEN 'b' WHEN c > 1 THEN 'd' WHEN right(said, 1) IN ('.', '!', '?') THEN 'k' ELSE 't' END AS fault FROM o),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM f GROUP BY conv_id),
+ins(q, p, put, ic) AS (VALUES (0, 0, '', 0), (0, 2, 'I', 3), (0, 3, 'II', 6), (1, 1, '', 0), (1, 2, 'I', 3), (1, 3, 'II', 6),
+  (2, 2, '', 0), (2, 3, 'I', 3), (3, 3, '', 0), (3, 2, 'I', 3)),
+edit(p, x, q2, op, ec) AS (VALUES (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (3, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0),
+  (0, '*', 2, 'R', 3), (1, '*', 2, 'R', 3), (3, '*', 2, 'R', 3), (2, '*', 3, 'R', 3),
+  (0, '*', 0, 'D', 4), (1, '*', 1, 'D', 4), (2, '*', 2, 'D', 4), (3, '*', 3, 'D', 4)),
+walk(conv_id, i, q, w) AS (
+  SELECT conv_id, 0::BIGINT, 0, '000000' FROM facts
+  UNION ALL
+  SELECT walk.conv_id, i + 1, q2, min(
+    lpad((left(w, 6)::INT + ic + ec + CASE WHEN op <> 'D' AND fault = 't' THEN 3 ELSE 0 END)::VARCHAR, 6, '0') || substr(w, 7) || put || op)
+  FROM walk JOIN f ON f.conv_id = walk.conv_id AND f.n = i + 1 JOIN ins ON ins.q = walk.q
+  JOIN edit ON edit.p = ins.p AND edit.x IN (f.x, '*') AND (op = 'D' OR fault IN ('k', 't'))
+  GROUP BY walk.conv_id, i + 1, q2),
+best AS (
+  SELECT walk.conv_id, min(lpad((left(w, 6)::INT + ic)::VARCHAR, 6, '0') || substr(w, 7) || put) AS w
+  FROM walk JOIN facts ON facts.conv_id = walk.conv_id AND i = rows JOIN ins ON ins.q = walk.q AND ins.p IN (0, 3) GROUP BY 1),
+letters AS (SELECT conv_id, unnest(range(7, length(w) + 1)) AS j, w FROM best),
+placed AS (
+  SELECT conv_id, j, substr(w, j, 1) AS e, count(*) FILTER (substr(w, j, 1) <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS n,
+    count(*) FILTER (substr(w, j, 1) <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS p FROM letters),
+kept AS (
+  SELECT placed.conv_id, j, e, p, CASE WHEN e = 'I' THEN '' ELSE text END AS text, role,
+    max(CASE WHEN p = 1 AND e = 'K' AND x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.conv_id) AS s
+  FROM placed LEFT JOIN f ON f.conv_id = placed.conv_id AND f.n = placed.n WHERE e <> 'D'),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (p - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS all_lines
+  FROM kept GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(w, 6)::BIGINT, 0) AS cost,
+  coalesce(substr(w, 7), '') AS audit, sha256(coalesce(all_lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN facts ON facts.conv_id = a.conv_id
+LEFT JOIN best ON best.conv_id = a.conv_id LEFT JOIN lines ON lines.conv_id = a.conv_id
+"""
+
+
+@query(REPAIR_SQL)
+def op13_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    made = repair.repaired(damaged(turns))
+    every = turns.select(F.col("conv_id").alias("_id")).distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(made, every["_id"].eqNullSafe(made["conv_id"]), "left").select(
+        F.col("_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
