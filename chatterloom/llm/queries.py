@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, language, mixture, order, quality, repair, shards, simhash, warc
+from chatterloom.llm import chat, chunks, decontaminate as decon, jaccard, language, mixture, order, quality, repair, shards, simhash, trie, warc
 from chatterloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,3 +344,58 @@ def op13_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Conversations that begin with up to three turns of the first of their twenty, as ``conv_id, turn, role, text``."""
+    in_order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    said = turns.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    said = said.withColumn("turn", F.row_number().over(in_order))
+    heads = said.filter("turn <= 3").select(F.col("conv_id").alias("donor"), "turn", "role", "text")
+    shared = F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 4, F.lit(0))
+    talks = turns.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("donor"), shared.alias("h"))
+    taken = talks.join(heads, "donor").filter("turn <= h")
+    begun = talks.join(heads.groupBy("donor").agg(F.count(F.lit(1)).alias("has")), "donor", "left")
+    begun = begun.select(F.col("conv_id").alias("_id"), "h", F.least("h", F.coalesce("has", F.lit(0))).alias("got"))
+    own = said.join(begun, F.col("conv_id").eqNullSafe(F.col("_id"))).filter("turn > h")
+    return taken.select("conv_id", "turn", "role", "text").unionByName(
+        own.select("conv_id", (F.col("turn") - F.col("h") + F.col("got")).alias("turn"), "role", "text")
+    )
+
+
+TRIE_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS t),
+said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM conversations),
+own AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY n) AS turns FROM said GROUP BY conv_id),
+word AS (
+  SELECT DISTINCT md5(length(role) || ':' || role || text) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM said),
+h AS (
+  SELECT own.*, xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+    lambda c, x: xor(t[xor(c, x) % 256 + 1], c // 256), 4294967295::BIGINT)) % 4 AS h FROM own, crc),
+talk AS (
+  SELECT h.conv_id, list_concat(coalesce(donor.turns[:h], []), h.turns[h + 1:]) AS turns
+  FROM h LEFT JOIN own donor ON donor.conv_id = h.conv_id - h.conv_id % 20),
+step AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS d, turns FROM talk),
+spot AS (
+  SELECT conv_id, d, array_to_string(turns[:d], '') AS node, array_to_string(turns[:d - 1], '') AS above, turns[d] AS last, d = len(turns) AS over FROM step),
+base AS (
+  SELECT node, d, any_value(above) AS above, any_value(last) AS last, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (over), '')) AS ends_sha256 FROM spot GROUP BY node, d),
+kids AS (SELECT above AS node, count(*) AS k FROM base WHERE d > 0 GROUP BY 1),
+full_ AS (
+  SELECT base.*, coalesce(k, 0) AS n_children, CASE WHEN base.d = 0 THEN 0 ELSE (n_convs - 1) * w END AS own
+  FROM base LEFT JOIN kids ON kids.node = base.node LEFT JOIN word ON word.d = base.last),
+up AS (SELECT node AS below, n_children, own, substr(node, 1, 32 * unnest(range(0, d + 1))) AS node FROM full_),
+sums AS (SELECT node, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM up GROUP BY node)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums ON sums.node = f.node LEFT JOIN base p ON f.d > 0 AND p.node = f.above
+"""
+
+
+@query(TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return trie.prefix_trie(rebuilt(turns), turns.select("conv_id"))
