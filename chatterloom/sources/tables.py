@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,9 +11,7 @@ from pyspark.sql import functions as F
 from chatterloom.config import CONSOLE_DEFAULT_QUERY
 from chatterloom.operators.logs import newest_per_key
 from chatterloom.schemas import COLUMN_DEFAULTS, TABLES
-
-# How a read-only statement may start.
-READ_PREFIXES = ("select", "show", "explain", "with")
+from chatterloom.sources.console import refusal
 
 
 def evolve_schema(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
@@ -86,35 +83,12 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def _only_reads(spark: SparkSession, text: str) -> bool:
-    """Whether the parsed statement holds no insert and no command but SHOW and EXPLAIN of a reading one."""
-    explained = re.match(r"(?is)explain\s+(?:(?:extended|codegen|cost|formatted)\s+)?(.*)$", text)
-    if explained:
-        return explained[1].lower().startswith(READ_PREFIXES) and _only_reads(spark, explained[1])
-    if text.lower().startswith("show"):
-        return True
-    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
-    while todo:
-        node = todo.pop()
-        if re.search("Insert|Command|Create|Replace|Overwrite|Append|Merge|Delete|Update|Drop", node.nodeName()):
-            return False
-        for nodes in (node.children(), node.innerChildren()):
-            todo += [x for x in (nodes.apply(i) for i in range(nodes.size())) if hasattr(x, "nodeName") and "LogicalPlan" in _kinds(x)]
-    return True
-
-
-def _kinds(node) -> str:
-    kind, names = node.getClass(), []
-    while kind is not None:
-        names.append(kind.getSimpleName())
-        kind = kind.getSuperclass()
-    return " ".join(names)
-
-
 def run_readonly_sql(
     spark: SparkSession, text: str = CONSOLE_DEFAULT_QUERY, write_mode: bool = False
 ) -> DataFrame:
     """Ad-hoc SQL over the registered views; only reading statements by default."""
-    if not write_mode and not (text.strip().lower().startswith(READ_PREFIXES) and _only_reads(spark, text.strip().rstrip(";"))):
-        raise PermissionError("only reading statements are allowed without write mode")
-    return spark.sql(text.strip().rstrip(";"))
+    statement = text.strip().rstrip(";").strip()
+    why = None if write_mode else refusal(spark, statement)
+    if why:
+        raise PermissionError(f"only reading statements are allowed without write mode: {why}")
+    return spark.sql(statement)

@@ -63,11 +63,69 @@ def test_console_only_reads(spark):
     assert io.run_readonly_sql(spark, "explain select * from numbers").count() == 1
     insert = "with q as (select 1 as a) insert overwrite directory '/tmp/never-written' using parquet select * from q"
     into = "with q as (select 1 as a) insert into numbers select * from q"
-    for bad in ("DROP VIEW numbers", "insert into numbers values (1)", "", insert, into, "explain " + insert, "EXPLAIN extended " + into):
+    for bad in ("DROP VIEW numbers", "insert into numbers values (1)", "", insert, into, "explain " + insert, "EXPLAIN extended " + into,
+                "select 1; drop view numbers"):
         with pytest.raises(PermissionError):
             io.run_readonly_sql(spark, bad)
-    with pytest.raises(Exception):
-        io.run_readonly_sql(spark, "select 1; drop view numbers")
+
+
+READING = [
+    "select count(*), max(id) over () from numbers group by id having count(*) > 0",
+    "with a as (select id from numbers), b as (select * from a) select * from b where id in (select id from a) order by 1 limit 2 offset 1",
+    "select * from numbers lateral view explode(array(1, 2)) x as y",
+    "select * from range(3) join (values ('b'), (upper('a'))) v(z) on true",
+    "select filter(array(id), x -> x > 1), (select max(id) from numbers), case when exists (select 1) then 1 end from numbers",
+    "select id, sum(id) over w from numbers window w as (partition by id) union all select 1, 2 except select 3, 4 intersect select 1, 2",
+    "select /*+ broadcast(numbers) */ distinct id from numbers distribute by id",
+    "select * from numbers, lateral (select numbers.id + 1)",
+    "select * from numbers pivot (max(id) for id in (1, 2))",
+    "with recursive r as (select 1 as n union all select n + 1 from r where n < 4) select * from r",
+    "show tables", "show views", "show functions like 'a*'", "explain formatted select * from numbers", "select 1 -- insert into numbers",
+]
+
+ACTING = [
+    "select transform(id) using 'tee {made}' as (y) from numbers",
+    "select reflect('java.lang.System', 'setProperty', 'chatterloom.ran', 'yes')",
+    "select java_method('java.lang.System', 'setProperty', 'chatterloom.ran', 'yes')",
+    "select try_reflect('java.lang.System', 'setProperty', 'chatterloom.ran', 'yes')",
+    "select Reflect('java.lang.System', 'setProperty', 'chatterloom.ran', 'yes') from range(1)",
+    "select system.builtin.reflect('java.lang.System', 'setProperty', 'chatterloom.ran', 'yes')",
+    "select `identifier`('x'), identifier('reflect')('java.lang.System', 'setProperty', 'chatterloom.ran', 'yes')",
+    "select * from identifier('numbers')",
+    "select * from (values (reflect('java.lang.System', 'setProperty', 'chatterloom.ran', 'yes')))",
+    "select * from text.`/etc/passwd`",
+    "select * from numbers lateral view my_function(id) x as y",
+    "select my_function(id) from numbers",
+]
+
+
+@pytest.mark.parametrize("text", READING)
+def test_console_runs_reading_statements(spark, text):
+    spark.range(3).createOrReplaceTempView("numbers")
+    io.run_readonly_sql(spark, text).collect()
+
+
+FORMS = [
+    "{0}", "explain {0}", "explain codegen {0}", "with q as ({0}) select * from q", "select * from ({0}) q", "select 1 where exists ({0})",
+    "select * from numbers where id in (select 1 from ({0}) q)", "select 1 union all (select 2 from ({0}) q)",
+    "select (select max(1) from ({0}) q)", "select transform(array(1), x -> (select 1 from ({0}) q))",
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_console_refuses_what_acts_at_any_depth(spark, tmp_path, form):
+    spark.range(3).createOrReplaceTempView("numbers")
+    spark.udf.register("my_function", lambda x: x)
+    made, system = tmp_path / "made", spark._jvm.java.lang.System
+    for text in ACTING:
+        with pytest.raises(PermissionError):
+            io.run_readonly_sql(spark, form.format(text.format(made=made)))
+    assert not made.exists() and system.getProperty("chatterloom.ran") is None
+
+
+def test_console_write_mode_runs_anything(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    assert io.run_readonly_sql(spark, "select reflect('java.lang.Math', 'abs', -1) as x", write_mode=True).first().x == "1"
 
 
 def test_table_report(spark, tmp_path):
