@@ -217,6 +217,48 @@ def fold_rule(cfg: CompactionConfig, messages: str) -> dict[str, str]:
     }
 
 
+def edited_fold_rule(cfg: CompactionConfig) -> dict[str, str]:
+    """The rule over a log with edits: the thread as it stood at each new message that ends a turn."""
+    keep = cfg.keep_last
+    tail = f"list_sum(te.chars[er.s + 1 : te.n - {keep}])"
+    fires = (
+        f"(te.n - er.s > {keep} AND (coalesce({tail}, 0) // {cfg.chars_per_token} > {cfg.max_tokens} "
+        f"OR te.n - er.s > {cfg.max_messages}))"
+    )
+    return {
+        "el": """
+            SELECT thread_id, position * 10 + step AS seq, step IN (5, 64) AS gone, message_id, type = 'ai' AND n_calls = 0 AS is_end,
+              coalesce(length(content), 0) * CASE WHEN step = 33 THEN 2 ELSE 1 END AS chars
+            FROM lm, (VALUES (0), (5), (7), (33), (64)) s(step)
+            WHERE step = 0 OR (step = 5 AND position % 7 = 5) OR (step = 7 AND position % 7 = 5 AND thread_id::BIGINT % 2 = 0)
+              OR (step = 33 AND position % 7 = 2) OR (step = 64 AND position % 11 = 1)""",
+        "einf": """
+            SELECT *, count(*) FILTER (gone) OVER (PARTITION BY thread_id, message_id ORDER BY seq) AS life FROM el""",
+        "eborn": """
+            SELECT *, min(seq) FILTER (NOT gone) OVER (PARTITION BY thread_id, message_id, life) AS born FROM einf""",
+        "easof": """
+            SELECT b.thread_id, b.seq AS upto, e.message_id, max(e.born) AS born, arg_max(e.chars, e.seq) AS chars, arg_max(e.gone, e.seq) AS gone
+            FROM eborn b JOIN eborn e ON e.thread_id = b.thread_id AND e.seq <= b.seq
+            WHERE NOT b.gone AND b.is_end AND b.seq = b.born GROUP BY b.thread_id, b.seq, e.message_id""",
+        "elive": """
+            SELECT a.* REPLACE (l.born AS born) FROM easof a JOIN (
+              SELECT b.thread_id, b.seq AS upto, e.message_id, arg_max(e.born, e.seq) AS born FROM eborn b
+              JOIN eborn e ON e.thread_id = b.thread_id AND e.seq <= b.seq GROUP BY 1, 2, 3) l
+            ON l.thread_id = a.thread_id AND l.upto = a.upto AND l.message_id = a.message_id WHERE NOT a.gone""",
+        "te": """
+            SELECT thread_id, upto AS seq, count(*) AS n, list(chars ORDER BY born) AS chars,
+              row_number() OVER (PARTITION BY thread_id ORDER BY upto) AS k
+            FROM elive GROUP BY thread_id, upto""",
+        "er": f"""
+            SELECT thread_id, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS n, 0::BIGINT AS s, false AS fired, 0::BIGINT AS folds
+            FROM (SELECT DISTINCT thread_id FROM te)
+            UNION ALL
+            SELECT te.thread_id, te.k, te.seq, te.n, CASE WHEN {fires} THEN te.n - {keep} ELSE er.s END, {fires},
+              er.folds + CASE WHEN {fires} THEN 1 ELSE 0 END
+            FROM er JOIN te ON te.thread_id = er.thread_id AND te.k = er.k + 1""",
+    }
+
+
 def candidates(cfg: CompactionConfig, messages: str, summaries: str) -> str:
     keep = cfg.keep_last
     return f"""
@@ -623,6 +665,9 @@ ORACLES: dict[str, str] = {
     "stream_compaction": q(
         "SELECT thread_id, 'fold' AS kind, folds AS boundary_no, n AS at_message, s AS summarized_count FROM r WHERE fired",
         True, **fold_rule(DEFAULTS, "lm")),
+    "stream_compaction_log": q(
+        "SELECT thread_id, 'fold' AS kind, folds AS boundary_no, n AS at_message, s AS summarized_count, seq FROM er WHERE fired",
+        True, **edited_fold_rule(SMALL)),
     "stream_notes": q("""
         SELECT 'src' || thread_id AS profile_id, sha256(thread_id || ':' || message_id || '-c0') AS note_id,
           'note from ' || message_id AS text, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS created_at,

@@ -19,6 +19,7 @@ from chatterloom.plans import compaction, context, edits, memory
 from chatterloom.session import shared_folder, written
 from chatterloom.sources import tables as io
 from chatterloom.sources.fixtures import Tables, conversation_rows
+from chatterloom.streaming import compaction as stream_compactor
 from chatterloom.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,9 +743,9 @@ def _message_stream(t: Tables) -> DataFrame:
     )
 
 
-def _run(t: Tables, stream: DataFrame, name: str, mode: str) -> str:
+def _run(t: Tables, stream: DataFrame, name: str, mode: str, keyed_state: bool = False) -> str:
     folder = shared_folder(t.spark, name)
-    started = streams.write_batches(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
+    started = streams.write_batches(stream, f"{folder}/out", f"{folder}/checkpoint", mode, keyed_state=keyed_state)
     started.awaitTermination()
     return f"{folder}/out"
 
@@ -774,14 +775,56 @@ def stream_thread_state_log(t: Tables) -> DataFrame:
     return streams.live_thread_state(t.spark, out)
 
 
+def _tick(t: Tables, like: DataFrame) -> DataFrame:
+    """A row that moves the clock of a stream far on."""
+    given = {"op": F.lit("tick"), "ts": F.expr("timestamp_ntz'2100-01-01'"), "seq": F.lit(0)}
+    return t.spark.range(1).select(
+        *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema]
+    )
+
+
 @query
 def stream_compaction(t: Tables) -> DataFrame:
-    out = _run(t, streams.compaction(_message_stream(t)), "compaction", "append")
+    stream = _message_stream(t).withColumn("op", F.lit("append"))
+    ticks = _in_batches(t, [_tick(t, stream)], 1)
+    folds = stream_compactor.compaction(stream.unionByName(ticks))
+    out = _run(t, folds, "compaction", "append", keyed_state=True)
     return t.spark.read.parquet(out).select(
         "thread_id", "kind", "boundary_no", "at_message", "summarized_count"
     )
 
 
+def _edited_long_log(t: Tables) -> DataFrame:
+    """The log of the long threads with removals, returns, and overwrites some messages later."""
+    p = F.col("position")
+    steps = F.array_compact(F.array(
+        F.lit(0), F.when(p % 7 == 5, 5), F.when((p % 7 == 5) & (F.col("thread_id").cast("bigint") % 2 == 0), 7),
+        F.when(p % 7 == 2, 33), F.when(p % 11 == 1, 64),
+    ))
+    step = F.col("step")
+    content = F.when(step == 33, F.concat("content", "content")).otherwise(F.col("content"))
+    return t.long_message.withColumn("step", F.explode(steps)).select(
+        "thread_id", (p * 10 + step).alias("seq"), F.when(step.isin(5, 64), "remove").otherwise("append").alias("op"),
+        "message_id", "type", content.alias("content"), "tool_calls",
+        F.expr("timestamp_ntz'2024-01-01' + INTERVAL '1' SECOND * (position * 10 + step)").alias("ts"),
+    )
+
+
+@query
+def stream_compaction_log(t: Tables) -> DataFrame:
+    """Folds while the edited log arrives in five micro-batches, each in no order and the first ones overlapping."""
+    log = written(_edited_long_log(t), "edited-log")
+    cuts, parts = [0, 120, 300, 900, 1 << 40], []
+    for low, high in zip(cuts, cuts[1:]):
+        parts.append(log.filter((F.col("seq") >= low) & (F.col("seq") < high) & (F.col("seq") % 70 != 30)
+                                | (F.col("seq") % 70 == 30) & (F.col("seq") + 20 >= low) & (F.col("seq") + 20 < high)))
+    stream = _in_batches(t, [*parts, _tick(t, log)])
+    out = _run(t, stream_compactor.compaction(stream, SMALL, 60), "compaction-log", "append", keyed_state=True)
+    return t.spark.read.parquet(out).select(
+        "thread_id", "kind", "boundary_no", "at_message", "summarized_count", "seq"
+    )
+
+
 @query
 def stream_notes(t: Tables) -> DataFrame:
     threads = t.raw("conversations").select((F.col("conv_id") % 10).cast("string").alias("thread_id"))

@@ -13,7 +13,7 @@ from chatterloom.functions.model import TextFunction, apply_text_function
 from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, byte_pages, rows_in_spans, running
 from chatterloom.operators.logs import upsert_latest
 from chatterloom.operators.messages import thread_spans
-from chatterloom.session import written
+from chatterloom.session import ship_package, written
 
 PAGE_BYTES = 8 * 1024 * 1024
 FAN_IN = 64
@@ -354,6 +354,7 @@ def _block_entries(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
         out.insert(0, "thread_id", pdf["thread_id"].iloc[0])
         return out[out["blk"] > 0]
 
+    ship_package(maps.sparkSession)
     return maps.groupBy("thread_id").applyInPandas(
         walk, "thread_id string, blk bigint, s bigint, chars bigint, folds_before bigint"
     )

@@ -7,35 +7,46 @@ overwrites its own output and counts once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chatterloom.config import CompactionConfig, Wording
+from chatterloom.config import Wording
 from chatterloom.functions import text as X
 from chatterloom.operators.logs import fold_notes, newest_per_key
 from chatterloom.plans.memory import note_events_of, tool_call_effects
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def write_batches(
-    stream: DataFrame, path: str, checkpoint: str, mode: str, shape: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame, path: str, checkpoint: str, mode: str, shape: Callable[[DataFrame], DataFrame] | None = None,
+    keyed_state: bool = False,
 ) -> StreamingQuery:
-    """Write every micro-batch of a stream to ``path/batch_id=N`` and stop at the end."""
+    """Write every micro-batch of a stream to ``path/batch_id=N`` and stop at the end.
+
+    ``keyed_state`` runs it on the RocksDB state store, whatever the session's is.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         (shape(batch) if shape else batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(sink)
-        .trigger(availableNow=True)
-        .start()
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    writer = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True)
     )
+    if not keyed_state:
+        return writer.start()
+    conf.set(STATE_STORE, KEYED_STORE)
+    try:  # a query takes the settings of its session when it starts
+        return writer.start()
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
 
 
 # --- thread counters ---------------------------------------------------------
@@ -84,63 +95,6 @@ def live_thread_state(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# --- compaction -----------------------------------------------------------------
-
-_OUT = "thread_id string, kind string, boundary_no long, at_message long, summarized_count long, seq long"
-_STATE = "summarized long, messages long, folds long, last_seq long, tail array<int>"
-
-
-def _compactor(cfg: CompactionConfig):
-    keep, limit = cfg.keep_last, (cfg.max_tokens + 1) * cfg.chars_per_token
-
-    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            summarized, total, folds, last_seq, tail = state.get
-            tail = list(tail)
-        else:
-            summarized, total, folds, last_seq, tail = 0, 0, 0, -1, []
-        # A group may arrive in several chunks: sort all of them together.
-        rows = pd.concat(list(chunks)).sort_values("seq", kind="stable")
-        foldable = sum(tail[:-keep] if keep else tail)
-        out = []
-        for seq, chars, is_end in zip(rows["seq"], rows["chars"], rows["is_end"]):
-            if seq <= last_seq:
-                out.append((key[0], "late", None, None, None, int(seq)))
-                continue
-            last_seq = int(seq)
-            tail.append(int(chars))
-            total += 1
-            if len(tail) > keep:
-                foldable += tail[-keep - 1]
-            if is_end and len(tail) > keep and (foldable >= limit or len(tail) > cfg.max_messages):
-                tail = tail[-keep:] if keep else []
-                summarized, folds, foldable = total - keep, folds + 1, 0
-                out.append((key[0], "fold", folds, total, summarized, last_seq))
-        state.update((summarized, total, folds, last_seq, tail))
-        yield pd.DataFrame(
-            out, columns=["thread_id", "kind", "boundary_no", "at_message", "summarized_count", "seq"]
-        ).astype({"boundary_no": "Int64", "at_message": "Int64", "summarized_count": "Int64"})
-
-    return advance
-
-
-def compaction(events: DataFrame, cfg: CompactionConfig = CompactionConfig()) -> DataFrame:
-    """A ``fold`` row whenever a thread's tail is due, and ``late`` rows.
-
-    State holds the lengths of the unsummarized tail, never its text. Rows at or
-    below the last handled ``seq`` of their thread come out as ``late``.
-    """
-    narrow = events.select(
-        "thread_id",
-        "seq",
-        X.content_length(F.col("content")).alias("chars"),
-        X.ends_turn(F.col("type"), F.col("tool_calls")).alias("is_end"),
-    )
-    return narrow.groupBy("thread_id").applyInPandasWithState(
-        _compactor(cfg), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
 # --- notes, duplicates, answers ---------------------------------------------------
 
 

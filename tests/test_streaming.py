@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from conftest import make_messages, rows
 from pyspark.sql import functions as F
 from test_compaction import CALL, random_thread
@@ -7,6 +10,7 @@ from test_compaction import CALL, random_thread
 from chatterloom import CompactionConfig
 from chatterloom.operators.messages import message_count
 from chatterloom.plans.compaction import compaction_boundaries
+from chatterloom.streaming import compaction as C
 from chatterloom.streaming import events as S
 
 CFG = CompactionConfig(60, 8, 3)
@@ -21,8 +25,8 @@ def source(spark, tmp_path, frames):
     )
 
 
-def run(stream, tmp_path, mode):
-    S.write_batches(stream, f"{tmp_path}/out", f"{tmp_path}/ck", mode).awaitTermination()
+def run(stream, tmp_path, mode, **options):
+    S.write_batches(stream, f"{tmp_path}/out", f"{tmp_path}/ck", mode, **options).awaitTermination()
     return f"{tmp_path}/out"
 
 
@@ -51,15 +55,103 @@ def test_liveness_follows_removals_in_any_order(spark, tmp_path):
     assert rows(S.live_thread_state(spark, out), "thread_id", "message_count") == [("t", 2), ("u", 0)]
 
 
+def ticked(m, day=1):
+    """A row that moves the clock on by days."""
+    first = {"op": F.lit("tick"), "ts": F.expr(f"timestamp_ntz'2024-01-01' + INTERVAL '{day}' DAY"), "seq": F.lit(0)}
+    row = m.sparkSession.range(1)
+    return row.select(*[first.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in m.schema])
+
+
 def test_compaction_equals_batch_and_reports_late_rows(spark, tmp_path):
-    m = log(spark, 2)
+    m = log(spark, 2).withColumn("op", F.lit("append"))
     late = m.filter("thread_id = 't0' and seq in (3, 4)")
-    parts = [m.filter("seq < 40"), m.filter("seq >= 40 and seq < 77"), late, m.filter("seq >= 77")]
-    out = spark.read.parquet(run(S.compaction(source(spark, tmp_path, parts), CFG), tmp_path, "append"))
+    early = (F.col("seq") % 9 == 8) & (F.col("seq") < 110)  # these overtake up to eight others
+    parts = [m.filter((F.col("seq") < 40) | early & (F.col("seq") < 48)), m.filter((F.col("seq") >= 40) & (F.col("seq") < 77) & ~(early & (F.col("seq") < 48))),
+             late, m.filter("seq >= 77"), ticked(m)]
+    stream = C.compaction(source(spark, tmp_path, parts), CFG, lateness_seconds=10)
+    out = spark.read.parquet(run(stream, tmp_path, "append", keyed_state=True))
     columns = ("thread_id", "boundary_no", "at_message", "summarized_count")
     folds = out.filter("kind = 'fold'")
     assert folds.count() > 5 and rows(folds, *columns) == rows(compaction_boundaries(m, CFG), *columns)
     assert rows(out.filter("kind = 'late'"), "thread_id", "seq") == [("t0", 3), ("t0", 4)]
+    assert spark.conf.get(S.STATE_STORE, None) is None or "RocksDB" not in spark.conf.get(S.STATE_STORE)
+
+
+def test_compaction_holds_rows_until_the_watermark_has_passed(spark, tmp_path):
+    m = log(spark, 3).filter("thread_id = 't1'").withColumn("op", F.lit("append"))
+    stream = C.compaction(source(spark, tmp_path, [m.filter("seq < 60")]), CFG, lateness_seconds=20)
+    folds = spark.read.parquet(run(stream, tmp_path, "append", keyed_state=True))
+    assert folds.agg(F.max("seq")).first()[0] <= 40
+    want = compaction_boundaries(m.filter("seq < 20"), CFG).count()
+    assert folds.count() >= want > 0
+
+
+def simulate(events, cfg):
+    """The rule with a plain list of messages: (seq, number, messages, boundary) of every fold."""
+    thread, boundary, out = [], 0, []
+    for seq, op, id_, chars, is_end in events:
+        at = next((i for i, m in enumerate(thread) if m[0] == id_), None)
+        if op == "remove":
+            if at is not None:
+                del thread[at]
+            continue
+        if at is not None:
+            thread[at] = (id_, chars)
+            continue
+        thread.append((id_, chars))
+        tail = thread[boundary:]
+        foldable = sum(c for _, c in (tail[: -cfg.keep_last] if cfg.keep_last else tail))
+        if is_end and len(tail) > cfg.keep_last and (foldable // cfg.chars_per_token > cfg.max_tokens or len(tail) > cfg.max_messages):
+            boundary = len(thread) - cfg.keep_last
+            out.append((seq, len(out) + 1, len(thread), boundary))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_replay_with_edits_equals_a_plain_list(seed):
+    rng = random.Random(seed)
+    cfg = CompactionConfig(rng.choice([0, 20, 10**6]), rng.choice([0, 5, 10**9]), rng.choice([0, 1, 4]))
+    events, ids = [], []
+    for seq in range(rng.choice([1, 60, 400])):
+        op = rng.choices(["new", "over", "remove", "unknown"], [8, 1, 2, 0.3])[0]
+        id_ = f"m{seq}" if op in ("new", "unknown") or not ids else rng.choice(ids[-25:])
+        if op in ("new", "over"):
+            ids.append(id_)
+        events.append((seq, "append" if op in ("new", "over") else "remove", id_, rng.choice([0, 1, 40]), rng.random() < 0.5))
+    frame = pd.DataFrame(events, columns=["seq", "op", "id", "chars", "is_end"])
+    tail, present, place, got, at = C.Tail(cfg), {}, 0, [], 0
+    while at < len(frame):  # in pieces, with only the kept state in between
+        part = frame.iloc[at : at + rng.choice([1, 7, 500])].reset_index(drop=True)
+        found, touched, place = C.replay(tail, part, present.get, place)
+        present = {k: v for k, v in {**present, **touched}.items() if v is not None}
+        got += [(int(part["seq"][i]), *rest) for i, *rest in found]
+        at += len(part)
+        tail = C.Tail(cfg, tail.messages, tail.summarized, tail.folds, tail.places.tolist(), tail.chars.tolist())
+        assert len(tail.places) == max(tail.messages - tail.summarized, 0) and (np.diff(tail.places) > 0).all()
+    assert got == simulate(events, cfg) and tail.messages == len(present)
+
+
+def test_compaction_of_an_edited_log_in_many_batches(spark, tmp_path):
+    rng, events, ids = random.Random(9), [], {}
+    for seq in range(240):
+        thread = rng.choice(["t", "u", None])
+        known = ids.setdefault(thread, [])
+        op = rng.choices(["new", "over", "remove"], [8, 1, 2])[0] if known else "new"
+        id_ = f"{seq}" if op == "new" else rng.choice(known[-12:])
+        known.append(id_)
+        kind = rng.choice(["human", "ai"])
+        events.append((thread, seq, rng.randrange(2), "remove" if op == "remove" else "append", id_, kind, "x" * rng.choice([0, 3, 90])))
+    fields = "thread_id string, seq long, sub int, op string, message_id string, type string, content string"
+    df = spark.createDataFrame(events, fields).withColumn("tool_calls", F.expr("cast(null as array<struct<id: string>>)"))
+    df = df.withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + INTERVAL '1' SECOND * seq"))
+    parts = [df.filter(F.col("seq").between(lo, lo + 39)) for lo in range(0, 240, 40)]
+    cfg = CompactionConfig(30, 6, 2)
+    out = run(C.compaction(source(spark, tmp_path, [*parts, ticked(df)]), cfg, 15), tmp_path, "append", keyed_state=True)
+    want = []
+    for thread in ids:
+        own = [(e[1], e[3], e[4], len(e[6]), e[5] == "ai") for e in events if e[0] == thread]
+        want += [(thread, *f) for f in simulate(own, cfg)]
+    assert rows(spark.read.parquet(out), "thread_id", "seq", "boundary_no", "at_message", "summarized_count") == sorted(want, key=repr)
 
 
 def test_notes_duplicates_and_answers(spark, tmp_path):
