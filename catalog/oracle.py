@@ -672,6 +672,10 @@ ORACLES: dict[str, str] = {
         SELECT 'src' || thread_id AS profile_id, sha256(thread_id || ':' || message_id || '-c0') AS note_id,
           'note from ' || message_id AS text, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS created_at,
           thread_id AS source_thread_id FROM lm WHERE n_calls > 0"""),
+    "stream_message_snapshot": q("""
+        SELECT thread_id, message_id, seq, type, content, ts FROM (
+          SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY thread_id, message_id ORDER BY seq DESC) = 1)
+        WHERE op <> 'remove'"""),
     "stream_dedup": q("SELECT thread_id, message_id FROM lm"),
     "stream_final_responses": q("""
         SELECT thread_id, message_id, shown AS response FROM lm WHERE type = 'ai' AND n_calls = 0"""),

@@ -21,6 +21,7 @@ from chatterloom.sources import tables as io
 from chatterloom.sources.fixtures import Tables, conversation_rows
 from chatterloom.streaming import compaction as stream_compactor
 from chatterloom.streaming import events as streams
+from chatterloom.streaming.snapshot import KeyedSnapshot, upsert_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -825,13 +826,32 @@ def stream_compaction_log(t: Tables) -> DataFrame:
     )
 
 
+def _upserted(t: Tables, stream: DataFrame, name: str, keys: list[str], order: list[str], buckets: int) -> KeyedSnapshot:
+    folder = shared_folder(t.spark, name)
+    snapshot = KeyedSnapshot(f"{folder}/out", stream.schema, keys, order, buckets=buckets)
+    upsert_batches(stream, snapshot, f"{folder}/checkpoint").awaitTermination()
+    return snapshot
+
+
 @query
 def stream_notes(t: Tables) -> DataFrame:
+    """Notes put and deleted by tool calls, read without a fold."""
     threads = t.raw("conversations").select((F.col("conv_id") % 10).cast("string").alias("thread_id"))
     profiles = threads.distinct().withColumn("profile_id", F.concat(F.lit("src"), "thread_id"))
-    stream = _message_stream(t).withColumnRenamed("seq", "position")
-    out = _run(t, streams.note_events(stream, profiles), "notes", "append")
-    return streams.current_notes(t.spark, out)
+    stream = streams.note_events(_message_stream(t).withColumnRenamed("seq", "position"), profiles)
+    snapshot = _upserted(t, stream, "notes", ["profile_id", "note_id"], ["seq", "sub", "op"], 8)
+    return snapshot.read(t.spark).drop("seq", "sub")
+
+
+@query
+def stream_message_snapshot(t: Tables) -> DataFrame:
+    """The latest row of every message of a log, in three micro-batches with the later events first and one replayed."""
+    log = t.message_event.select("thread_id", "message_id", "seq", "op", "type", "content", "ts")
+    step = F.col("seq") % 10
+    parts = [log.filter(step == 7), log.filter(step == 0), log.filter(step == 5)]
+    snapshot = _upserted(t, _in_batches(t, parts), "messages", ["thread_id", "message_id"], ["seq"], 8)
+    snapshot.merge(parts[2], 2)
+    return snapshot.read(t.spark)
 
 
 @query

@@ -12,6 +12,7 @@ from chatterloom.operators.messages import message_count
 from chatterloom.plans.compaction import compaction_boundaries
 from chatterloom.streaming import compaction as C
 from chatterloom.streaming import events as S
+from chatterloom.streaming.snapshot import KeyedSnapshot, upsert_batches
 
 CFG = CompactionConfig(60, 8, 3)
 
@@ -164,6 +165,10 @@ def test_notes_duplicates_and_answers(spark, tmp_path):
     assert rows(spark.read.parquet(out), "message_id") == [(f"t-{i}",) for i in range(4)]
     out = run(S.note_events(stream, owner), tmp_path / "notes", "append")
     assert rows(S.current_notes(spark, out), "profile_id", "text") == [("p", "x")]
+    puts = S.note_events(stream, owner)
+    notes = KeyedSnapshot(f"{tmp_path}/current", puts.schema, ["profile_id", "note_id"], ["seq", "sub", "op"], buckets=4)
+    upsert_batches(puts, notes, f"{tmp_path}/current-ck").awaitTermination()
+    assert rows(notes.read(spark), "profile_id", "text") == [("p", "x")]
     out = run(S.final_responses(stream), tmp_path / "answers", "append")
     assert set(rows(spark.read.parquet(out), "response")) == {("done",)}
 
@@ -175,3 +180,44 @@ def test_replayed_batch_counts_once(spark, tmp_path):
         spark.readStream.schema(m.schema).parquet(f"{tmp_path}/in")), out, f"{tmp_path}/ck2", "append")
     again.awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_snapshot_equals_the_newest_rows_in_any_order(spark, tmp_path):
+    rng = random.Random(6)
+    events = [(rng.choice(["p", "q", None]), f"n{rng.randrange(30)}", s, rng.choice(["put", "put", "delete"]), f"text {s}") for s in range(300)]
+    fields = "profile_id string, note_id string, seq long, op string, text string"
+    latest = {}
+    for e in events:
+        latest[e[:2]] = e
+    want = sorted(((p, n, s, x) for p, n, s, op, x in latest.values() if op == "put"), key=repr)
+    rng.shuffle(events)
+    frames = [spark.createDataFrame(events[i : i + 60], fields) for i in range(0, 300, 60)]
+    table = KeyedSnapshot(f"{tmp_path}/t", frames[0].schema, ["profile_id", "note_id"], ["seq"], buckets=5)
+    assert rows(table.read(spark)) == []
+    for i, frame in enumerate(frames):
+        table.merge(frame, i)
+    assert rows(table.read(spark)) == want
+    files = sorted(str(f) for f in (tmp_path / "t").rglob("*.parquet"))
+    table.merge(frames[-1], len(frames) - 1)  # a replay writes its own folder again and no other
+    assert rows(table.read(spark)) == want
+    again = sorted(str(f) for f in (tmp_path / "t").rglob("*.parquet"))
+    assert [f for f in files if "batch_id=4" not in f] == [f for f in again if "batch_id=4" not in f]
+    versions = [f for f in again if "_bucket=0" in f]
+    assert len({f.split("batch_id=")[1].split("/")[0] for f in versions}) <= 2
+
+
+def test_snapshot_does_not_see_unfinished_batches_and_leaves_other_buckets(spark, tmp_path):
+    fields = "k long, seq long, op string"
+    table = KeyedSnapshot(f"{tmp_path}/t", spark.createDataFrame([], fields).schema, ["k"], ["seq"], buckets=16)
+    table.merge(spark.createDataFrame([(k, 0, "put") for k in range(200)], fields), 0)
+    table.merge(spark.createDataFrame([(7, 1, "delete")], fields), 1)
+    assert len(list((tmp_path / "t" / "batch_id=1").glob("_bucket=*"))) == 1
+    assert table.read(spark).count() == 199
+    table.merge(spark.createDataFrame([(8, 1, "delete")], fields), 2)
+    (tmp_path / "t" / "batch_id=2" / "_SUCCESS").unlink()  # as if it had died before it was done
+    assert table.read(spark).count() == 199
+    table.merge(spark.createDataFrame([(8, 1, "delete")], fields), 2)
+    table.merge(spark.createDataFrame([], fields), 3)
+    assert table.read(spark).count() == 198
+    with pytest.raises(ValueError):
+        KeyedSnapshot(f"{tmp_path}/t", table.schema, ["k"], ["seq"], buckets=8).merge(spark.createDataFrame([], fields), 4)
