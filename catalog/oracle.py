@@ -491,6 +491,10 @@ ORACLES: dict[str, str] = {
         past="""SELECT ev.*, 'r' || ev.thread_id AS request_id FROM ev JOIN
                 (SELECT thread_id, max(seq) // 2 AS half FROM ev GROUP BY thread_id) h
                 ON h.thread_id = ev.thread_id AND ev.seq <= h.half"""),
+    "thread_state_each_event": q(
+        f"SELECT request_id, thread_id, position, message_id, length(content) AS chars FROM ({folded('past', 'request_id, thread_id')})",
+        past="""SELECT ev.*, r.thread_id || '-' || r.seq AS request_id FROM ev JOIN ev r
+                ON r.thread_id = ev.thread_id AND ev.seq <= r.seq"""),
     "overview_counts": q(overview("")),
     "overview_counts_user": q(overview("WHERE username = 'user_3'")),
     "checkpoint_distribution": q(CHECKPOINTS_BY_THREAD.format("LEFT", "")),

@@ -370,6 +370,16 @@ def thread_state_asof(t: Tables) -> DataFrame:
     return state.select("request_id", "thread_id", "position", "message_id", "content")
 
 
+@query
+def thread_state_each_event(t: Tables) -> DataFrame:
+    """Every thread as it stood after each event of its log."""
+    requests = t.message_event.select(
+        F.concat_ws("-", "thread_id", "seq").alias("request_id"), "thread_id", "seq"
+    )
+    state = edits.thread_state_asof(t.message_event, requests, t.policy)
+    return state.select("request_id", "thread_id", "position", "message_id", F.length("content").cast("bigint").alias("chars"))
+
+
 # --- aggregations -------------------------------------------------------------------
 
 
@@ -887,7 +897,7 @@ def readonly_sql(t: Tables) -> DataFrame:
 
 SPLIT_ALL = SplitPolicy(sample_mod=2, min_cuts=1)
 SCANS = [
-    "entity_fold", "profile_fold", "delete_profiles", "fold_messages", "thread_state_asof", "regenerate", "notes_context", "cumulative_chars",
+    "entity_fold", "profile_fold", "delete_profiles", "fold_messages", "thread_state_asof", "thread_state_each_event", "regenerate", "notes_context", "cumulative_chars",
     "checkpoint_chain", "final_responses", "compaction_boundaries_small", "context_size_per_turn", "message_composition_long",
 ]
 

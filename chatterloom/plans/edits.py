@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, rows_in_spans
+from chatterloom.operators.blocks import DEFAULT_SPLIT, SplitPolicy, rows_in_spans, running
 from chatterloom.operators.logs import append_messages, fold_messages
 from chatterloom.session import written
 
-SALTS = 64
-
 
 def regenerate_events(
     events: DataFrame, edits: DataFrame, policy: SplitPolicy = DEFAULT_SPLIT
@@ -55,21 +53,77 @@ def regenerate(events: DataFrame, edits: DataFrame, policy: SplitPolicy = DEFAUL
     return append_messages(events, regenerate_events(events, edits, policy))
 
 
+def message_versions(events: DataFrame, policy: SplitPolicy = DEFAULT_SPLIT) -> DataFrame:
+    """When each version of a message is the one in its thread.
+
+    ``thread_id, message_id, seq, sub`` of the append that holds it, ``born`` (the append that
+    placed the message: the first since its last removal) and ``until``, the ``seq`` of the event
+    that replaces or removes it; null if it still stands. Ids and numbers only.
+    """
+    key, at = ["thread_id", "message_id"], F.struct("seq", "sub")
+    given = F.coalesce("sub", F.lit(0)) if "sub" in events.columns else F.lit(0)
+    ids = written(
+        events.select(*key, "seq", given.cast("bigint").alias("sub"), (F.col("op") == "remove").cast("bigint").alias("_rm")), "event-ids"
+    )
+    event = F.struct("seq", "sub", "_rm")
+    lives = written(
+        running(ids, key, ["seq", "sub"], {"_life": F.col("_rm")}, previous={"_before": event}, policy=policy), "lives"
+    )
+    born = lives.filter("_rm = 0").groupBy(*key, "_life").agg(F.min(at).alias("born"))
+    replaced = lives.filter("_before._rm = 0").select(
+        *key, (F.col("_life") - F.col("_rm")).alias("_life"), "_before.seq", "_before.sub", F.col("seq").alias("until")
+    )
+    last = lives.groupBy(*key).agg(F.max(F.struct("seq", "sub", "_rm", "_life")).alias("_last")).filter("_last._rm = 0")
+    standing = last.select(*key, "_last._life", "_last.seq", "_last.sub", F.lit(None).cast("bigint").alias("until"))
+    return replaced.unionByName(standing).join(born, [*key, "_life"]).drop("_life")
+
+
+def stabbed(
+    spans: DataFrame, points: DataFrame, *, key: str = "thread_id", low: str = "lo", high: str = "hi", at: str = "at"
+) -> DataFrame:
+    """Pairs of a span ``[low, high)`` and a point in it, of the same key; numbers from 0.
+
+    A span is cut into at most two dyadic tiles of each size, and a point lies in one tile of each
+    size, so a pair meets in exactly one tile: an equi-join without a test behind
+    it, whose input grows with the logarithm of the positions and whose rows are the result.
+    """
+    bits = spans.agg(F.length(F.bin(F.coalesce(F.max(high), F.lit(0))))).scalar()
+    sized = spans.filter(F.col(low) < F.col(high)).withColumn("_bits", bits)
+    first, past = f"shiftright({low} + shiftleft(1L, l) - 1, l)", f"shiftright({high}, l)"
+    tiles = F.expr(
+        f"""explode(array_compact(flatten(transform(sequence(0, _bits), l -> array(
+          if({first} < {past} AND {first} % 2 = 1, struct(l, {first} AS tile), null),
+          if({first} < {past} AND {past} % 2 = 1, struct(l, {past} - 1 AS tile), null))))))"""
+    ).alias("_t")
+    cut = sized.select("*", tiles).select(*spans.columns, F.col("_t.l").alias("_level"), F.col("_t.tile").alias("_tile"))
+    levels = F.explode(F.sequence(F.lit(0), bits)).alias("_level")
+    placed = points.filter(F.col(at) >= 0).select("*", levels).withColumn("_tile", F.expr(f"shiftright({at}, _level)"))
+    return cut.join(placed, [key, "_level", "_tile"]).drop("_level", "_tile")
+
+
 def thread_state_asof(
-    events: DataFrame, requests: DataFrame, policy: SplitPolicy = DEFAULT_SPLIT, salts: int = SALTS
+    events: DataFrame, requests: DataFrame, policy: SplitPolicy = DEFAULT_SPLIT
 ) -> DataFrame:
     """Message list of a thread as it stood at ``requests(request_id, thread_id, seq)``.
 
-    Requests are copied to ``salts`` message groups, so the events of a long
-    thread are spread over that many tasks in the join.
+    Versions of messages are intervals of ``seq``; a request picks those it lies in. Messages move as
+    ids and numbers until each request's list is in order; bodies are joined last.
     """
-    asked = requests.select("request_id", "thread_id", F.col("seq").alias("_upto")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    keys = ["request_id", "thread_id"]
+    least = events.agg(F.min("seq")).scalar()
+    latest = events.agg(F.max("seq")).scalar()
+    spans = message_versions(events, policy).select(
+        "thread_id", "message_id", "seq", "sub", "born",
+        (F.col("seq") - least).alias("lo"), (F.coalesce("until", latest + 1) - least).alias("hi"),
+    )
+    points = requests.select(*keys, (F.least(F.col("seq"), latest) - least).alias("at"))
+    met = stabbed(written(spans, "versions"), points).select(
+        *keys, "message_id", "seq", "sub", F.col("born.seq").alias("_seq"), F.col("born.sub").alias("_sub")
     )
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int"))
-    past = (
-        salted.join(asked, ["thread_id", "_salt"])
-        .filter(F.col("seq") <= F.col("_upto"))
-        .drop("_salt", "_upto")
+    placed = running(written(met, "states"), keys, ["_seq", "_sub"], {"position": F.lit(1)}, policy=policy)
+    given = F.coalesce("sub", F.lit(0)) if "sub" in events.columns else F.lit(0)
+    rest = [c for c in events.columns if c not in {*keys, "message_id", "seq", "sub", "op"}]
+    bodies = events.filter("op = 'append'").withColumn("sub", given.cast("bigint"))
+    return bodies.join(placed, ["thread_id", "message_id", "seq", "sub"]).select(
+        *keys, (F.col("position") - 1).alias("position"), "message_id", *rest
     )
-    return fold_messages(written(past, "past-events"), ["request_id", "thread_id"], policy)

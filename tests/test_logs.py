@@ -56,7 +56,7 @@ def test_state_asof_is_the_fold_of_a_prefix(spark, policy):
     log = random_log(random.Random(3), "t", 60)
     cuts = {"early": log[10][1], "late": log[40][1], "before": 0}
     requests = spark.createDataFrame([(n, "t", s) for n, s in cuts.items()], "request_id string, thread_id string, seq long")
-    got = edits.thread_state_asof(spark.createDataFrame(log, EVENT), requests, policy, salts=4)
+    got = edits.thread_state_asof(spark.createDataFrame(log, EVENT), requests, policy)
     want = [
         (name, position, ident)
         for name, upto in cuts.items()
@@ -65,6 +65,32 @@ def test_state_asof_is_the_fold_of_a_prefix(spark, policy):
     assert rows(got, "request_id", "position", "message_id") == sorted(want, key=repr)
 
 
+def test_state_asof_every_number_of_several_threads(spark, policy):
+    rng = random.Random(12)
+    logs_of = {name: random_log(rng, name, 25) for name in ("t", "u")}
+    events = spark.createDataFrame([e for log in logs_of.values() for e in log], EVENT).withColumn("seq", F.col("seq") - 7)
+    asked = [(f"{name}{s}", name, s - 7) for name, log in logs_of.items() for s in range(-1, max(e[1] for e in log) + 3)]
+    requests = spark.createDataFrame([*asked, ("none", "unknown", 3)], "request_id string, thread_id string, seq long")
+    got = edits.thread_state_asof(events, requests, policy)
+    want = [
+        (request, position, ident, content)
+        for request, name, upto in asked
+        for position, (ident, content) in enumerate(reduce_list([e for e in logs_of[name] if e[1] <= upto + 7]))
+    ]
+    assert rows(got, "request_id", "position", "message_id", "content") == sorted(want, key=repr)
+    assert edits.thread_state_asof(events.limit(0), requests, policy).count() == 0
+
+
+def test_stabbed_pairs_each_span_and_point_once(spark):
+    rng = random.Random(4)
+    spans = [(rng.choice("ab"), i, *sorted(rng.sample(range(70), 2))) for i in range(60)] + [("a", 99, 0, 64), ("a", 98, 5, 5)]
+    points = [(rng.choice("ab"), i, rng.randrange(-2, 75)) for i in range(60)]
+    got = edits.stabbed(
+        spark.createDataFrame(spans, "k string, s long, lo long, hi long"), spark.createDataFrame(points, "k string, p long, at long"), key="k"
+    )
+    assert rows(got, "s", "p") == sorted(((s, p) for k, s, lo, hi in spans for x, p, at in points if k == x and lo <= at < hi), key=repr)
+
+
 def test_regenerate_replaces_the_last_user_message(spark):
     log = [
         ("a", 0, "append", "a0", "human", "q1"), ("a", 1, "append", "a1", "ai", "r1"),
