@@ -7,9 +7,11 @@ window. Every document word inside an occurrence of a window is hit.
 
 The windows' hashes go to the tasks, which hash all windows of their documents
 in bulk, look them up, and compare the words of every match, so a hash collision
-hits nothing. The set is broadcast only while the benchmark's text is at most
-``broadcast_bytes``; a larger benchmark is matched by a join on the hash after a
-Bloom filter of fixed size has removed nearly all other windows.
+hits nothing. The set is arrays: the benchmark's lower-cased bytes, the bounds of its words, and
+for every window its hash and first word. They are broadcast only while those arrays take at most
+``broadcast_bytes``, which is reckoned from the words before anything is collected; a larger
+benchmark is matched by a join on the hash after a Bloom filter of fixed size has removed nearly
+all other windows.
 
 Defined cases: null and word-less texts have no words and no hits; null or
 word-less items have no window; items that repeat an id count once; repeated
@@ -30,7 +32,8 @@ from pyspark.sql import types as T
 from chatterloom.llm import kernels as K
 
 WIDTH = 10
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 128 << 20
+WORD_BYTES = 40  # a word's bounds and item, and the hash, first word and item of the window it opens
 BLOOM_BITS = 27  # 16 MiB whatever the size of the benchmark
 RESULT = [
     T.StructField("n_words", T.LongType()),
@@ -43,10 +46,25 @@ _STEP = 0xD6E8FEB86659FD93
 
 @dataclass
 class Windows:
-    """Windows by length: sorted hashes, and the words and items behind each hash."""
+    """A benchmark's words, and its windows by length: sorted hashes and the first word of each."""
 
-    by_length: dict[int, np.ndarray]
-    known: dict[tuple[int, int], dict[bytes, set[str]]]
+    ids: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def nbytes(self) -> int:
+        arrays = [self.data, self.starts, self.ends, self.owner, *[x for pair in self.by_length.values() for x in pair]]
+        return sum(x.nbytes for x in arrays)
+
+    def items(self, length: int, value: np.uint64, words: bytes) -> list[str]:
+        """Items with a window of these words."""
+        hashes, first = self.by_length[length]
+        lo, hi = np.searchsorted(hashes, value), np.searchsorted(hashes, value, side="right")
+        same = [i for i in first[lo:hi].tolist() if _words_at(self.data, self.starts, self.ends, i, length) == words]
+        return self.ids[self.owner[same]].tolist()
 
 
 def window_hashes(hashes: np.ndarray, left: np.ndarray, lengths: set[int]):
@@ -69,19 +87,24 @@ def _words_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, l
 
 
 def windows_of(ids: list[str], texts: list[str | None], width: int = WIDTH) -> Windows:
-    found: dict[int, list[np.ndarray]] = {}
-    known: dict[tuple[int, int], dict[bytes, set[str]]] = {}
     data, offsets = K.utf8(pa.array(texts, pa.string()))
     starts, ends, ranges, hashes = K.words(data, offsets)
-    low, counts = K.LOWER[data], np.diff(ranges)
+    counts = np.diff(ranges)
     owner = np.repeat(np.arange(len(counts)), counts)
+    by_length = {}
     for length, at, value in window_hashes(hashes, _words_left(ranges), {min(width, int(c)) for c in counts if c}):
         mine = np.minimum(counts[owner[at]], width) == length
-        for i, h in zip(at[mine].tolist(), value[mine].tolist()):
-            same = known.setdefault((length, h), {})
-            same.setdefault(_words_at(low, starts, ends, i, length), set()).add(ids[owner[i]])
-        found.setdefault(length, []).append(value[mine])
-    return Windows({k: np.unique(np.concatenate(v)) for k, v in found.items()}, known)
+        at, value = at[mine], value[mine]
+        order = np.lexsort((owner[at], value))
+        at, value = at[order], value[order]
+        # A window that an item repeats is needed once, unless two windows share a hash.
+        again = np.zeros(len(at), bool)
+        again[1:] = (value[1:] == value[:-1]) & (owner[at[1:]] == owner[at[:-1]])
+        for i in np.flatnonzero(again).tolist():
+            again[i] = _words_at(K.LOWER[data], starts, ends, int(at[i]), length) == _words_at(K.LOWER[data], starts, ends, int(at[i - 1]), length)
+        by_length[length] = value[~again], at[~again].astype(np.int32)
+    bounds = [x.astype(np.int32) for x in (starts, ends, owner)]
+    return Windows(np.array(ids, object), K.LOWER[data], *bounds, by_length)
 
 
 def _spans(hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranges: np.ndarray, offsets: np.ndarray):
@@ -112,7 +135,7 @@ def _result(hit, starts, ends, ranges, offsets, items: dict[int, set[str]]) -> l
 def _scan(windows: Windows):
     """The task side: hits of the broadcast windows in a run of texts."""
     bits = {}
-    for length, hashes in windows.by_length.items():
+    for length, (hashes, _) in windows.by_length.items():
         bits[length] = np.zeros(1 << 22, bool)
         bits[length][hashes >> np.uint64(42)] = True
 
@@ -123,10 +146,9 @@ def _scan(windows: Windows):
         for length, at, value in window_hashes(hashes, _words_left(ranges), set(windows.by_length)):
             maybe = np.flatnonzero(bits[length][value >> np.uint64(42)])
             for j in maybe.tolist():
-                same = windows.known.get((length, int(value[j])))
-                found = same and same.get(_words_at(low, starts, ends, int(at[j]), length))
+                i = int(at[j])
+                found = windows.items(length, value[j], _words_at(low, starts, ends, i, length))
                 if found:
-                    i = int(at[j])
                     marks[i] += 1
                     marks[i + length] -= 1
                     items.setdefault(int(np.searchsorted(ranges, i, side="right")) - 1, set()).update(found)
@@ -152,9 +174,11 @@ def find_hits(
     tests = benchmark.select(
         F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("words")
     )
-    size = tests.agg(F.sum(F.octet_length("words") + F.octet_length("item") + 64)).first()[0] or 0
+    words = F.regexp_count("words", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    bytes_ = F.octet_length("words") + words * WORD_BYTES + F.octet_length("item") + 64
+    size = tests.agg(F.sum(bytes_)).first()[0] or 0
     if size <= broadcast_bytes:
-        rows = tests.collect()  # at most broadcast_bytes
+        rows = tests.collect()  # their arrays take at most broadcast_bytes
         shared = spark.sparkContext.broadcast(windows_of([r[0] for r in rows], [r[1] for r in rows], width))
         made: list = []
 
@@ -219,14 +243,16 @@ def _find_by_join(docs: DataFrame, tests: DataFrame, text: str, width: int, keep
     seen = docs.select(F.col(text).alias("_t")).distinct()
     seen = K.add_columns(seen, listed(maybe, lengths), field, text="_t") if lengths else seen.limit(0).withColumn("_w", F.lit(None))
     if not lengths:
-        return K.add_columns(docs, _scan(Windows({}, {})), RESULT, text=text, keep=keep)
+        return K.add_columns(docs, _scan(windows_of([], [], width)), RESULT, text=text, keep=keep)
     matched = seen.select(F.sha2("_t", 256).alias("_k"), F.inline("_w")).join(grams, ["length", "hash", "body"])
     per_text = matched.groupBy("_k").agg(
         F.collect_set(F.struct("at", "length")).alias("_at"), F.array_sort(F.collect_set("item")).alias("items")
     )
     new = [f.name for f in RESULT]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    joined = docs.select(*dict.fromkeys([*kept, text])).withColumn("_k", F.sha2(text, 256)).join(per_text, "_k", "left").drop("_k")
+    k, at_, items_ = (K.free_name(c, docs.columns) for c in ("_k", "_at", "items"))
+    per_text = per_text.toDF(k, at_, items_)
+    joined = docs.select(*dict.fromkeys([*kept, text])).withColumn(k, F.sha2(text, 256)).join(per_text, k, "left").drop(k)
     schema = T.StructType([*[joined.schema[c] for c in kept], *RESULT])
 
     def marked(batches):
@@ -235,11 +261,11 @@ def _find_by_join(docs: DataFrame, tests: DataFrame, text: str, width: int, keep
                 data, offsets = K.utf8(part.column(text))
                 starts, ends, ranges = K.word_spans(data, offsets)
                 marks = np.zeros(len(starts) + 1, np.int64)
-                for r, spans in enumerate(part.column("_at").to_pylist()):
+                for r, spans in enumerate(part.column(at_).to_pylist()):
                     for span in spans or ():
                         marks[ranges[r] + span["at"]] += 1
                         marks[ranges[r] + span["at"] + span["length"]] -= 1
-                items = {r: set(x) for r, x in enumerate(part.column("items").to_pylist()) if x}
+                items = {r: set(x) for r, x in enumerate(part.column(items_).to_pylist()) if x}
                 made = _result(np.cumsum(marks[:-1]) > 0, starts, ends, ranges, offsets, items)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], names=schema.names)
 

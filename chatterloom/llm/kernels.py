@@ -43,13 +43,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows with about ``limit`` bytes of text each."""
+def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with about ``limit`` bytes of text each, and at most ``most`` rows."""
     _, offsets = utf8(batch.column(text))
     at, rows = 0, batch.num_rows
     while at < rows:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(max(to, at + 1), rows)
+        to = min(max(to, at + 1), rows, at + (most or rows))
         yield batch.slice(at, to - at)
         at = to
 
@@ -61,8 +61,9 @@ def add_columns(
     *,
     text: str = "text",
     keep: list[str] | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
-    """``df`` with columns computed from its whole texts.
+    """``df`` with columns computed from its whole texts, at most ``most_rows`` at a time.
 
     A column of ``df`` that has the name of a new one is replaced by it.
     """
@@ -73,7 +74,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, most=most_rows):
                 made = compute(*utf8(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], names=[*kept, *new])
 
@@ -81,6 +82,13 @@ def add_columns(
     return source.mapInArrow(run, schema)
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """A column name that no column has yet."""
+    while base.lower() in {c.lower() for c in taken}:
+        base += "_"
+    return base
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -68,3 +69,28 @@ def test_removal(spark):
     left = sorted((r.x for r in D.remove_documents(found).collect()), key=str)
     assert left == [None, "e", "f"]
     assert sorted(D.remove_documents(found, 0.5).columns) == ["doc_id", "text", "x"]
+
+
+def test_broadcast_takes_no_more_than_reckoned():
+    import pickle
+
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(0, 60))) for _ in range(4000)] + [None, "one", "same words " * 200]
+    made = D.windows_of([str(i) for i in range(len(texts))], texts)
+    words = sum(len((t or "").split()) for t in texts)
+    reckoned = sum(len(t or "") for t in texts) + words * D.WORD_BYTES
+    assert made.nbytes() <= reckoned and len(pickle.dumps(made)) <= reckoned + 64 * len(texts)
+    repeated = made.by_length[10][1][made.owner[made.by_length[10][1]] == len(texts) - 1]
+    assert len(repeated) == 2  # "same words ..." and "words same ..."
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0], ids=["broadcast", "join"])
+def test_input_columns_of_any_name_are_kept(spark, limit):
+    names = ["_k", "_at", "_w", "_t", "items_", "length", "hash", "at", "body", "item", "words", "n_words_"]
+    rows = [(i, f"text one two three {i}", *[f"{n}{i}" for n in names]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([("b", "two three 4")], "item_id string, text string")
+    out = D.find_hits(docs, bench, broadcast_bytes=limit)
+    assert sorted(tuple(r) for r in out.select(docs.columns).collect()) == rows
+    assert [r.doc_id for r in out.filter("n_hit > 0").collect()] == [4]
+    assert D.remove_documents(out).select(docs.columns).count() == 4
