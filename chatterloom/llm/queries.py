@@ -143,7 +143,8 @@ def op1_prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, coalesce((length(text) + 3) // 4, 0)::BIGINT AS tokens FROM documents),
+WITH RECURSIVE d AS (
+  SELECT doc_id, 'tier-' || length(bin(doc_id % 64)) AS source, coalesce((length(text) + 3) // 4, 0)::BIGINT AS tokens FROM documents),
 src AS (SELECT source, sum(tokens)::BIGINT AS t FROM d GROUP BY source),
 p AS (SELECT source, t, t::DOUBLE / (SELECT sum(t) FROM src)::DOUBLE AS p FROM src),
 natural_h AS (SELECT -sum(p * ln(p)) / ln(count(*)) AS h, count(*) AS n FROM p),
@@ -177,16 +178,23 @@ many AS (
     ('0x' || substr(md5('mix:' || epoch || ':' || doc_id), 1, 15))::BIGINT AS o
   FROM (SELECT *, unnest(range(0, whole + CASE WHEN part > 0 THEN 1 ELSE 0 END)) AS epoch FROM dealt)),
 run AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY bo, block, o, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM many)
-SELECT doc_id, source, tokens, epoch, (upto - tokens)::BIGINT AS start FROM run WHERE upto <= CASE WHEN epoch < whole THEN t ELSE part END
+SELECT doc_id, source, tokens, epoch, (upto - tokens)::BIGINT AS start, round((SELECT a FROM expo), 9) AS exponent
+FROM run WHERE upto <= CASE WHEN epoch < whole THEN t ELSE part END
 """
 
 
 @query(MIX_SQL)
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts are repeated and placed with their rows; ``tokens`` is read back from the text of the output."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixture.mix(docs, entropy=0.95, max_epochs=4.0)
-    return mixed.select("doc_id", "source", mixture.estimated_tokens("text").alias("tokens"), "epoch", "start")
+    """All documents in six tiers, each about twice the one before: the sources of the given table are of one size, and
+    a mixture of equal sources is the table itself. Half the documents are in the last tier; of that a part
+    goes in, and the small tiers go in several times. Texts are repeated and placed with their rows; ``tokens`` is read back
+    from the text of the output."""
+    tier = F.concat(F.lit("tier-"), F.length(F.bin(F.col("doc_id") % 64)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tier.alias("source"), "text")
+    mixed = mixture.mix(docs, entropy=0.95, max_epochs=4.0, with_exponent=True)
+    return mixed.select(
+        "doc_id", "source", mixture.estimated_tokens("text").alias("tokens"), "epoch", "start", F.round("exponent", 9).alias("exponent")
+    )
 
 
 SHARDS_SQL = r"""

@@ -83,9 +83,7 @@ def test_epochs_differ_in_order(spark):
 
 def test_bounds_and_empty(spark):
     assert mix(corpus(spark).limit(0), entropy=0.9).count() == 0
-    sources = spark.range(5).selectExpr("false _none", "string(id) _s", "id _t")
-    with pytest.raises(Exception, match="too many sources"):
-        weights(sources, max_sources=4).collect()
+    assert weights(spark.range(0).selectExpr("false _none", "string(id) _s", "id _t"), entropy=0.9).count() == 0
 
 
 def test_rows_without_tokens_stay_in_whole_epochs(spark):
@@ -103,3 +101,40 @@ def test_query_mixes_whole_texts(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.md5("text").alias("want"))
     same = made[0].join(docs, "doc_id").filter(F.md5("text").eqNullSafe(F.col("want"))).count()
     assert same == out.count() > 0
+
+
+INTERNAL = ["_row", "_tokens", "_s", "_none", "_k", "_x", "_block", "_epoch", "_from", "_limit", "_end", "_a", "_all", "_blocks", "_whole", "_part", "_t", "f"]
+
+
+def test_input_columns_of_any_name_are_kept(spark):
+    rows = [(i, "ab"[i % 5 == 0], "abcd" * (i % 7), *[f"{n}{i}" for n in INTERNAL]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{n} string" for n in INTERNAL))
+    out = mix(docs, cover=True, entropy=1.0, max_epochs=3.0, block_tokens=16)
+    assert out.columns == [*docs.columns, "tokens", "epoch", "start"]
+    got = [tuple(r) for r in out.select(docs.columns).collect()]
+    assert set(got) == set(rows) and len(got) > len(rows)
+
+
+def test_any_number_of_sources(spark):
+    """More sources than one row could hold well: sizes are counted, so a row per size meets."""
+    sources = spark.range(300_000).selectExpr("false AS _none", "cast(id AS string) AS _s", "cast(pow(id % 5, 6) AS long) AS _t")
+    plan = weights(sources, entropy=0.99).agg(
+        F.count("*").alias("n"), F.sum("weight").alias("w"), F.countDistinct("exponent").alias("e"), F.max("exponent").alias("a")
+    ).first()
+    assert plan.n == 300_000 and abs(plan.w - 1) < 1e-9 and plan.e == 1 and 0 < plan.a < 1
+    few = {str(i): (i % 5) ** 6 for i in range(50)}
+    got = weights(spark.createDataFrame([(False, s, t) for s, t in few.items()], "_none boolean, _s string, _t long"), entropy=0.99)
+    assert {r._s: r.budget for r in got.collect() if few[r._s]} == model(few, 0.99, None)
+
+
+def test_registered_query_repeats_and_cuts(spark):
+    out = op5_temperature_mix(spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("concat('tier-', length(bin(doc_id % 64))) AS source")
+    given = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    seen = {r["source"]: (r.docs, r.last) for r in out.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"), F.max("epoch").alias("last")).collect()}
+    exponents = {r.exponent for r in out.select("exponent").distinct().collect()}
+    assert len(exponents) == 1 and 0 < min(exponents) < 1
+    assert seen["tier-1"][0] == given["tier-1"] and seen["tier-1"][1] >= 1  # the smallest goes in more than once
+    assert seen["tier-6"][0] < given["tier-6"] and seen["tier-6"][1] == 0  # of the largest a part
+    part = out.filter("source = 'tier-1'").groupBy("epoch").count().orderBy("epoch").collect()
+    assert part[-1]["count"] < part[0]["count"]  # and a last epoch is cut
