@@ -266,10 +266,18 @@ def near_duplicate_classes(
 def deduplicate(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", config: JaccardConfig = JaccardConfig()
 ) -> DataFrame:
-    """``docs`` with one row of each class, the one with the least key. Word-less texts stay."""
+    """``docs`` with one row of each class, the one with the least key. Word-less texts stay.
+
+    Of rows with one key and text, the one with the least hash of all its columns stays.
+    """
     joined = _join(docs, key, text, config)
     kept = joined.nodes.filter("id = class_id AND th = class_th").select("id", "th")
     kept = kept.unionByName(joined.rows.filter("n = 0").select("id", "th").distinct())
-    named = docs.withColumns({"_id": _id(key), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    kept = kept.toDF("_id", "_th")
-    return named.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    # The input's columns travel in one struct, so that none of them meets a name used here.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    named = docs.select(
+        _id(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*hashed).alias("h"),
+    )
+    one = named.join(kept, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min_by("row", "h").alias("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

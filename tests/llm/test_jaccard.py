@@ -103,3 +103,15 @@ def test_pruning_loses_less_than_the_bands():
         lost += sum(p for k, p in after.items() if k < needed)
         left = {k: p for k, p in after.items() if k >= needed}
     assert lost < 1e-7 and lost + (1 - t**config.rows) ** config.bands < 1e-6
+
+
+def test_deduplicate_keeps_input_columns_of_any_name(spark):
+    names = ["_id", "_th", "id", "th", "row", "h", "n", "d1", "d2", "bands", "node", "leader"]
+    rows = [(k, t, *[f"{n}{i}" for n in names]) for i, (k, t) in enumerate(corpus())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = [tuple(r) for r in deduplicate(docs).collect()]
+    assert deduplicate(docs).columns == docs.columns
+    assert len(set(kept)) == len(kept) and set(kept) <= set(rows)
+    assert {r[:2] for r in kept} == {tuple(r) for r in deduplicate(docs.select("doc_id", "text")).collect()}
+    again = [tuple(r) for r in deduplicate(docs.repartition(7, "h")).collect()]
+    assert set(again) == set(kept)  # which of the rows with one key and text stays does not depend on their order
