@@ -5,10 +5,11 @@ gets the fractional rank (r + 1/2) / n, all rows are sorted by it, and the sorte
 sequence is cut into runs of equal length. Any run holds each source in
 proportion, to within one row per source.
 
-No source and no table is ranked in one task: rows fall into buckets by the top
-bits of their hash (for the ranks) and of their fractional rank (for the sort),
-about ``bucket_rows`` rows each, and bucket counts supply what came before. Only
-bucket counts are summed across buckets.
+No source and no table is ranked in one task. For the ranks, rows of a source fall into
+buckets by the top bits of their hash, about ``bucket_rows`` rows each. For the sort, ranges of
+all sort keys are cut at sampled rows, so rows of equal fractional rank, as those of very
+many tiny sources, are cut too. Counts of buckets and ranges supply what came before; only
+they are summed in one task.
 
 Defined cases: rows without a source form a source; a null text has size 1 and
 the checksum of the empty text; repeated rows take neighbouring ranks; ties in
@@ -42,6 +43,17 @@ def _numbered(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     return df.withColumn("_at", inside).join(offsets, [*keys, bucket]).withColumn(name, F.col("_before") + F.col("_at")).drop("_at", "_before", bucket)
 
 
+def _positions(df: DataFrame, order: list[Column], ranges: int) -> DataFrame:
+    """``df`` with its 0-based place in ``order``: sorted ranges are written with the number of each row in its range."""
+    number = F.monotonically_increasing_id()  # the range in the upper 31 bits, the row's place in the range in the others
+    rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_id", number)
+    rows = written(rows.withColumn("_b", F.expr("shiftright(_id, 33)")), "ranges")
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = counts.select("_b", (upto - F.col("_c")).alias("_before"))
+    return rows.join(before, "_b").withColumn("_pos", F.col("_before") + F.expr(f"_id & {(1 << 33) - 1}"))
+
+
 def stratified_shards(
     docs: DataFrame,
     *,
@@ -66,8 +78,7 @@ def stratified_shards(
     top = F.expr(f"shiftright(_h, {HASH_BITS - bits})")
     ranked = _numbered(slim.withColumn("_b", top), ["_none", "_s"], "_b", order, "_rank")
     ranked = ranked.withColumn("_frac", (F.col("_rank") + 0.5) / F.col("_n")).drop("_rank", "_n")
-    ranked = written(ranked.withColumn("_b", F.floor(F.col("_frac") * F.lit(1 << bits))), "ranks")
-    placed = _numbered(ranked, [], "_b", [F.col("_frac"), F.desc("_none"), F.col("_s"), *order], "_pos")
+    placed = _positions(written(ranked, "ranks"), [F.col("_frac"), F.desc("_none"), F.col("_s"), *order], total // bucket_rows + 1)
     shard = F.expr(f"_pos * {shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {max(total, 1)} + {shards - 1}) div {shards}")
     return placed.select(

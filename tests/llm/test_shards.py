@@ -1,6 +1,9 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from chatterloom.llm import shards as S
 from chatterloom.llm.shards import stratified_shards
 
 
@@ -39,3 +42,15 @@ def test_few_and_no_rows(spark):
     assert stratified_shards(docs.limit(0)).count() == 0
     three = stratified_shards(docs.filter("doc_id < 3")).collect()
     assert sorted(r.slot for r in three) == [0, 0, 0] and len({r.shard for r in three}) == 3
+
+
+def test_ranges_are_bounded_when_every_source_has_one_row(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('s', id) AS source", "'t' AS text")
+    out = S.stratified_shards(docs, bucket_rows=500).collect()
+    assert len({(r.shard, r.slot) for r in out}) == 20_000
+    frame = docs.selectExpr("doc_id", "0.5D AS _frac", "source AS _s")
+    placed = S._positions(frame, [F.col("_frac"), F.col("_s")], 41)
+    sizes = placed.groupBy("_b").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 1500 and sizes[1] > 30
+    names = [r._s for r in placed.orderBy("_pos").collect()]
+    assert names == sorted(names) and [r._pos for r in placed.orderBy("_pos").collect()] == list(range(20_000))
