@@ -6,16 +6,21 @@ scaled to length 1. One-versus-one linear support vector machines choose among
 the families; others, each trained on the texts of two languages only, separate
 the languages of the chosen family. Whole texts are read in training and use.
 
-The machines are trained on the driver from at most about ``sample`` labelled
-rows, the same number per language, picked by a hash of id and text; that bound
-holds whatever the size of the table. All rows are predicted in one pass.
+The machines are trained on the driver from at most about ``sample`` different labelled
+rows, the same number per language, picked by a hash of id, text and language; that bound
+holds whatever the size of the table and however often a row is repeated. All rows are
+predicted in one pass, ``ROWS_AT_ONCE`` at a time.
+
+A language that ``families`` does not know is a family of its own; if there are more than
+``OWN_FAMILIES`` of those, neighbours along the main axis of their mean vectors share one. Of more than
+``MOST_CLASSES`` languages the most frequent are learned. So there are about 20,000 machines of
+16 KiB at most.
 
 A score is the product of the logistic margins along the way, in [0, 1].
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 rows without a language are not learned from; with no labelled row everything is
-``und``, with one language every text with a letter is that; a language that
-``families`` does not know is a family of its own; repeated rows each get their
+``und``, with one language every text with a letter is that; repeated rows each get their
 result; other columns are carried along.
 """
 
@@ -35,7 +40,9 @@ from chatterloom.session import ship_package
 
 WIDTH = 4096
 UNKNOWN = "und"
-MOST_LANGUAGES = 500
+ROWS_AT_ONCE = 256  # texts whose dense vectors are in memory at once: 8 MiB
+MOST_CLASSES = 1000
+OWN_FAMILIES = 32
 
 FAMILIES: Mapping[str, str] = {
     **dict.fromkeys("en de nl sv da no is af fy lb".split(), "germanic"),
@@ -104,7 +111,7 @@ class Machines:
         for a, b in out.pairs:
             some = (y == names[a]) | (y == names[b])
             rows.append(train_machine(x[some], np.where(y[some] == names[a], 1.0, -1.0)))
-        out.weights = np.array(rows) if rows else None
+        out.weights = np.array(rows, np.float32) if rows else None
         return out
 
     def chosen(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +147,18 @@ class LanguageModel:
         return names, np.clip(score, 0, 1)
 
 
+def _tribes(x: np.ndarray, y: np.ndarray, families: Mapping[str, str]) -> dict[str, str]:
+    """The family of every language."""
+    out = {v: families[v] for v in set(y.tolist()) if v in families}
+    rest = sorted(set(y.tolist()) - set(out))
+    if len(rest) > OWN_FAMILIES:
+        means = np.stack([x[y == v].mean(0) for v in rest])
+        axis = np.linalg.svd(means - means.mean(0), full_matrices=False)[2][0]
+        rest = [rest[i] for i in np.argsort(means @ axis, kind="stable")]
+    each = -(-len(rest) // OWN_FAMILIES)
+    return out | {v: f"only {rest[i - i % each]}" for i, v in enumerate(rest)}
+
+
 def fit(
     labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000,
     families: Mapping[str, str] = FAMILIES,
@@ -147,27 +166,31 @@ def fit(
     """Train on about ``sample`` rows of ``labelled`` whose language is known."""
     ship_package(labelled.sparkSession)
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    # Repeated rows count once, so that a text that is copied very often neither fills the sample nor exceeds it.
+    known = known.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    known = known.withColumn("h", F.xxhash64("key", "text", "lang"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    # Languages beyond the sample's size would have less than one text each: the most frequent ones are learned.
+    top = counts.orderBy(F.desc("n"), "lang").limit(min(sample, MOST_CLASSES)).collect()
+    if not top:
         return None
-    each = sample / len(counts)
-    share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, each / r[1]))]), F.col(lang))
-    pick = F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) < share * (1 << 30)
+    each = sample / len(top)
+    share = F.element_at(F.create_map(*[F.lit(v) for r in top for v in (r[0], min(1.0, each / max(r[1], 1)))]), F.col("lang"))
+    pick = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.coalesce(share, F.lit(0.0)) * (1 << 30)
 
     def compute(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         return [pa.array([row.astype(np.float16).tobytes() for row in vectors(data, offsets)], pa.binary())]
 
-    picked = known.filter(pick).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = K.add_columns(picked, compute, [T.StructField("x", T.BinaryType())], keep=["lang"]).collect()
+    picked = known.filter(pick).dropDuplicates(["h"]).select("lang", "text")
+    rows = K.add_columns(picked, compute, [T.StructField("x", T.BinaryType())], keep=["lang"], most_rows=ROWS_AT_ONCE).collect()
     if not rows:
         return None
     y = np.array([r[0] for r in rows], object)
     x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32)
     order = np.lexsort((x @ np.arange(x.shape[1], dtype=np.float32), y.astype(str)))
     x, y = x[order], y[order]
-    tribe = np.array([families.get(v, f"only {v}") for v in y], object)
+    tribes = _tribes(x, y, families)
+    tribe = np.array([tribes[v] for v in y], object)
     return LanguageModel(Machines.trained(x, tribe), {f: Machines.trained(x[tribe == f], y[tribe == f]) for f in sorted(set(tribe))})
 
 
@@ -188,4 +211,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text: str = "text"
                 names[i], score[i] = UNKNOWN, 0.0
         return [pa.array(names.tolist(), pa.string()), pa.array(score)]
 
-    return K.add_columns(docs, compute, fields, text=text, keep=keep)
+    return K.add_columns(docs, compute, fields, text=text, keep=keep, most_rows=ROWS_AT_ONCE)

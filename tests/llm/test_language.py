@@ -41,3 +41,31 @@ def test_vectors_do_not_depend_on_neighbours():
     texts = ["Ein Satz.", "", "a", "été  --  ok", "X" * 300]
     alone = np.concatenate([L.vectors(*K.utf8(pa.array([t]))) for t in texts])
     assert np.allclose(alone, L.vectors(*K.utf8(pa.array(texts))))
+
+
+def test_sample_is_bounded_under_repeats_and_many_languages_share_families(spark):
+    many = [(i, f"{chr(0x100 + i % 90) * 3} {chr(0x100 + i % 90)}a word", f"l{i % 90:02d}") for i in range(270)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    often = spark.range(3000).selectExpr("5L AS doc_id", "'one text very often' AS text", "'en' AS lang")
+    model = L.fit(docs.unionByName(often), sample=400)
+    assert "germanic" in model.families.names and len(model.families.names) <= L.OWN_FAMILIES + 1
+    assert sum(len(m.names) for m in model.within.values()) == 91
+    got = L.identify(docs, model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+def test_memory_of_a_batch_of_short_texts_is_bounded(spark, tmp_path):
+    """Dense vectors are made for at most ROWS_AT_ONCE texts at once."""
+    import resource
+
+    import pandas as pd
+
+    docs = spark.createDataFrame([(i, f"short text {i}", "en" if i % 2 else "fr") for i in range(200)], "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame({"text": ["a text of words"] * 10_000}))
+    sizes = [p.num_rows for p in K.pieces(batch, "text", most=L.ROWS_AT_ONCE)]
+    assert sum(sizes) == 10_000 and max(sizes) == L.ROWS_AT_ONCE
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for piece in K.pieces(batch, "text", most=L.ROWS_AT_ONCE):
+        model.predict(L.vectors(*K.utf8(piece.column(0))))
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 100
