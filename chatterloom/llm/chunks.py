@@ -18,6 +18,7 @@ count once per text, with their length; equal texts have equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ _GEAR = (K.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _WINDOW = 32
 DIGEST_BITS = 40
 MOST_RUNS = 20_000
+SAMPLED = 32
 
 
 @dataclass(frozen=True)
@@ -139,14 +141,24 @@ _PAIR = (
 )
 
 
+def _edges(keys: DataFrame, runs: int) -> list:
+    """Order statistics of a bounded sample of keys, picked by hash: at most ``runs`` - 1 of them."""
+    total = keys.count()
+    some = keys.filter(F.col("_key").isNotNull())
+    if total > runs * SAMPLED:  # distinct keys first, or a key that is repeated very often would be picked always or never
+        some = some.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < F.lit(int(runs * SAMPLED / total * (1 << 30)))).distinct()
+    picked = sorted(r[0] for r in some.collect())
+    return sorted({picked[len(picked) * i // runs] for i in range(1, runs)}) if picked else []
+
+
 def edited_fingerprints(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", run_bytes: int = 8 << 20, config: ChunkConfig = ChunkConfig()
 ) -> DataFrame:
     """Each text's fingerprint, that of its edited form, and its containment in that and in the next text.
 
     The next document follows in key order (nulls first, ties by text); after the last comes
-    the first. Numeric keys are cut into runs of about ``run_bytes`` at estimated quantiles, at
-    most ``MOST_RUNS``; the first row of a run also goes to the run before, so each run is
+    the first. Keys, of any type that sorts, are cut into runs of about ``run_bytes`` at order statistics of a sample of ``SAMPLED``
+    keys a run, at most ``MOST_RUNS``; beyond 160 GB of text runs grow with the table. The first row of a run also goes to the run before, so each run is
     walked in order by one task, which holds about a megabyte of text.
     """
     ship_package(docs.sparkSession)
@@ -157,10 +169,8 @@ def edited_fingerprints(
     runs = min(int(total // run_bytes) + 1, MOST_RUNS)
     edges: list = []
     if runs > 1:
-        grid = [i / runs for i in range(1, runs)]
-        edges = sorted(set(slim.agg(F.percentile_approx("_key", grid, max(10_000, 4 * runs))).first()[0] or []))
-    bounds = F.from_json(F.lit(str(edges)), f"array<{kind}>")
-    dealt = slim.withColumn("_run", _place(bounds, len(edges)) if edges else F.lit(0))
+        edges = _edges(slim.select("_key"), runs)
+    dealt = slim.withColumn("_run", _place(F.from_json(F.lit(json.dumps(edges, default=str)), f"array<{kind}>"), len(edges)) if edges else F.lit(0))
     least = F.min(F.struct(F.col("_key").isNotNull().alias("some"), "_key"))
     firsts = sorted((r[0], r[1]) for r in dealt.groupBy("_run").agg(least.alias("f")).select("_run", "f._key").collect())
     if not firsts:  # at most MOST_RUNS rows

@@ -68,6 +68,23 @@ def test_edited_fingerprints(spark, run_bytes):
     assert C.edited_fingerprints(docs.limit(0)).count() == 0
 
 
+def test_keys_of_other_types_over_several_runs(spark):
+    texts = [f"{TEXTS[4][i * 40 : i * 40 + 900]} {i}" for i in range(60)]
+    words = [(f"k\u00e9{i * 7 % 60:02d}\"'", t) for i, t in enumerate(texts)] + [(None, "none")]
+    for kind, cast in [("string", str), ("double", None), ("date", None)]:
+        rows = words if cast else [(i, t) for i, (_, t) in enumerate(words)]
+        docs = spark.createDataFrame(rows, f"k {'string' if cast else 'int'}, text string")
+        if kind == "double":
+            docs = docs.selectExpr("k / 8.0D - 2 AS k", "text")
+        if kind == "date":
+            docs = docs.selectExpr("date_add(date'2024-01-01', k) AS k", "text")
+        known = sorted((tuple(r) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0) if r[0] is not None else (False, 0))
+        got = {(r.k, r.n_chars): r.edited_sha256 for r in C.edited_fingerprints(docs, key="k", run_bytes=3000).collect()}
+        assert len(got) == len(rows)
+        for (k, t), (_, n) in zip(known, known[1:] + known[:1]):
+            assert got[k, len(t)] == hashlib.sha256(C.edited(t, n).encode()).hexdigest()
+
+
 def test_fingerprint_column(spark):
     docs = spark.createDataFrame([(1, "abc" * 50, "x"), (2, "abc" * 50, "y"), (3, None, "z")], "doc_id long, text string, fingerprint string")
     got = {r.doc_id: r.fingerprint for r in C.fingerprints(docs).collect()}
