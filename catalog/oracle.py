@@ -11,6 +11,7 @@ import re
 from catalog.queries import SCANS
 from chatterloom.config import NON_TEXT, CompactionConfig, Wording
 
+CHECKED_FOLDER = "/root/testdata/sf0.01"
 PAGE_BYTES, PAGED = 8 * 1024 * 1024, 256
 W = Wording()
 DEFAULTS = CompactionConfig()
@@ -520,6 +521,13 @@ ORACLES: dict[str, str] = {
         SELECT x.thread_id, coalesce(any_value(y.summary), '') <> '' AS has_summary,
           bool_or(contains(shown, '[Attached image')) AS has_images
         FROM m x LEFT JOIN summ y ON y.thread_id = x.thread_id GROUP BY x.thread_id"""),
+    # File metadata is not in the views: the folder is the one that the check runs on (catalog/check.py puts in its own).
+    "table_report": f"""
+        WITH sizes AS (
+          SELECT regexp_extract(filename, '/([a-z]+)[.]parquet', 1) AS table_name, sum(size)::BIGINT AS bytes
+          FROM read_blob('{CHECKED_FOLDER}/**/*.parquet') GROUP BY 1),
+        counts AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in REPORTED)})
+        SELECT table_name, bytes, rows, round(bytes / sum(bytes) OVER (), 6) AS share FROM sizes JOIN counts USING (table_name)""",
     "table_rows": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in REPORTED),
     "dead_rows": q(f"""
         SELECT 'message_event' AS table_name, (SELECT count(*) FROM ({folded('ev')})) AS live_rows,

@@ -171,24 +171,24 @@ def active_session(sessions: DataFrame) -> DataFrame:
 def table_report(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Bytes, rows and share of the total per stored table.
 
-    Reads file metadata only: no data column is selected.
+    Bytes come from a listing of the data files, empty ones included, which opens
+    none of them; rows from the counts in their footers, with no column read.
     """
     parts = []
     for name, path in paths.items():
-        files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size")
-        per_file = files.groupBy("file_path").agg(
-            F.max("file_size").alias("bytes"), F.count(F.lit(1)).alias("rows")
-        )
-        parts.append(
-            per_file.agg(
-                F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-                F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-            ).select(F.lit(name).alias("table_name"), "bytes", "rows")
-        )
-    report = reduce(DataFrame.unionByName, parts)
+        label = F.lit(name).alias("table_name")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        sizes = files.select("length").agg(F.sum("length").alias("bytes"))
+        counts = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+        none = F.lit(None).cast("bigint")
+        parts += [sizes.select(label, "bytes", none.alias("rows")), counts.select(label, none.alias("bytes"), "rows")]
+    report = reduce(DataFrame.unionByName, parts).groupBy("table_name").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("bytes", "rows")]
+    )
     # One row per table, so a window over all of them is small.
     total = F.sum("bytes").over(Window.partitionBy())
-    return report.withColumn("share", F.round(F.col("bytes") / total, 6))
+    share = F.when(total > 0, F.col("bytes") / total).otherwise(0.0)
+    return report.withColumn("share", F.round(share, 6))
 
 
 def storage_by_size(report: DataFrame) -> DataFrame:

@@ -137,6 +137,17 @@ def test_table_report(spark, tmp_path):
     assert report[0]["bytes"] == size and abs(sum(r["share"] for r in report) - 1) < 1e-5
 
 
+def test_table_report_counts_empty_files_and_tables(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/mixed/day=1")
+    spark.range(0).coalesce(1).write.parquet(f"{tmp_path}/mixed/day=2")
+    spark.range(0).coalesce(1).write.parquet(f"{tmp_path}/empty")
+    report = {r.table_name: r for r in reports.table_report(spark, {n: f"{tmp_path}/{n}" for n in ("mixed", "empty")}).collect()}
+    for name, count in (("mixed", 10), ("empty", 0)):
+        files = list((tmp_path / name).rglob("*.parquet"))
+        assert report[name].rows == count and report[name].bytes == sum(f.stat().st_size for f in files) > 0
+    assert len(list((tmp_path / "mixed" / "day=2").glob("*.parquet"))) == 1
+
+
 def test_shared_folder_follows_the_session():
     class Conf:
         value = "hdfs://shared/ck/"
