@@ -608,6 +608,7 @@ ORACLES: dict[str, str] = {
         "SELECT thread_id, page, pages, existing, transcript, prompt, summarized_count FROM fold",
         **segments(SMALL, "lm", "lsumm", PAGED)),
     "apply_summaries_paged": q(MERGED, **segments(SMALL, "lm", "lsumm", PAGED), **MERGE_STEPS),
+    "apply_summaries_resumed": q(MERGED, **segments(SMALL, "lm", "lsumm", PAGED), **MERGE_STEPS),
     "apply_summaries": q(
         """SELECT thread_id, substring(prompt, 1, 200) AS summary, summarized_count::INTEGER AS summarized_count,
              TIMESTAMP '2025-01-01' AS updated_at FROM fold

@@ -649,6 +649,19 @@ def apply_summaries(t: Tables) -> DataFrame:
     return compaction.advance_summaries(t.summary, new, stamp)
 
 
+def silent(prompts: pd.Series) -> pd.Series:
+    raise AssertionError(f"{len(prompts)} prompts asked again")
+
+
+@query
+def apply_summaries_resumed(t: Tables) -> DataFrame:
+    """As ``apply_summaries_paged``, from answers that an earlier run kept: nothing is asked again."""
+    segments = compaction.fold_segments(t.long_message, t.long_summary, SMALL, page_bytes=PAGED, policy=t.policy)
+    segments, answers = written(segments, "segments"), shared_folder(t.spark, "answers")
+    compaction.apply_summaries(segments, digests, fan_in=FEW, answers=answers, model="digests")
+    return compaction.apply_summaries(segments, silent, fan_in=FEW, answers=answers, model="digests")
+
+
 @query
 def compaction_boundaries(t: Tables) -> DataFrame:
     return compaction.compaction_boundaries(t.long_message, policy=t.policy)

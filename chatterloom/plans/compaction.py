@@ -138,18 +138,20 @@ def shorten(prompts: pd.Series) -> pd.Series:
 
 
 def apply_summaries(
-    segments: DataFrame, summarize: TextFunction = shorten, fan_in: int = FAN_IN, wording: Wording = Wording()
+    segments: DataFrame, summarize: TextFunction = shorten, fan_in: int = FAN_IN, wording: Wording = Wording(),
+    answers: str | None = None, model: str = "",
 ) -> DataFrame:
     """``thread_id, summary, summarized_count`` from a user function over prompts.
 
     Each page is summarized once. While a thread has several summaries, ``fan_in``
     consecutive ones at a time go into a merging prompt; a summary without a
     neighbour passes on as it is. The number of rounds is the logarithm of the page
-    count, and each round is written, so no call is made twice.
+    count, and each round is written. With ``answers``, a shared folder, every answer is
+    kept as soon as its call is done, and a run that was cut off asks only what is missing.
     """
     columns = ["thread_id", "page", "pages", "summarized_count", "text"]
     asked = segments.withColumnRenamed("prompt", "text").select(*columns, F.lit(True).alias("due"))
-    current = written(apply_text_function(asked, summarize).select(columns), "summaries")
+    current = written(apply_text_function(asked, summarize, answers=answers, model=model).select(columns), "summaries")
     finished = current.filter("pages = 1")
     while not (several := current.filter("pages > 1")).isEmpty():
         merged = (
@@ -163,7 +165,7 @@ def apply_summaries(
         joined = F.array_join(F.col("parts.text"), wording.section_rule)
         text = F.when(F.col("due"), _prompt(F.lit(wording.merge_lead), joined, wording)).otherwise(joined)
         prompts = merged.select("thread_id", "page", "pages", "summarized_count", text.alias("text"), "due")
-        current = written(apply_text_function(prompts, summarize).select(columns), "summaries")
+        current = written(apply_text_function(prompts, summarize, answers=answers, model=model).select(columns), "summaries")
         finished = finished.unionByName(current.filter("pages = 1"))
     return finished.select("thread_id", F.col("text").alias("summary"), "summarized_count")
 

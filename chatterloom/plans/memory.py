@@ -139,10 +139,12 @@ def extraction_prompts(
     )
 
 
-def ask_for_notes(prompts: DataFrame, function: TextFunction) -> DataFrame:
-    """Responses of a user function to extraction prompts, each asked once."""
+def ask_for_notes(
+    prompts: DataFrame, function: TextFunction, answers: str | None = None, model: str = ""
+) -> DataFrame:
+    """Responses of a user function to extraction prompts, each asked once; ``answers`` as in ``apply_text_function``."""
     due = prompts.withColumnRenamed("prompt", "text").withColumn("due", F.lit(True))
-    return written(apply_text_function(due, function).drop("due"), "responses")
+    return written(apply_text_function(due, function, answers=answers, model=model).drop("due"), "responses")
 
 
 def usable_responses(responses: DataFrame, spoken: DataFrame) -> DataFrame:

@@ -24,10 +24,13 @@ quiet log is handled to its end.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -218,6 +221,16 @@ def compaction(events: DataFrame, cfg: CompactionConfig = CompactionConfig(), la
         X.content_length(F.col("content")).alias("chars"),
         F.coalesce(X.ends_turn(F.col("type"), F.col("tool_calls")), F.lit(False)).alias("is_end"),
     )
-    return narrow.groupBy("thread_id").transformWithStateInPandas(
-        _Compactor(cfg, lateness_seconds * 1000), OUT, "append", "eventTime"
+    # Spark also starts a worker beside the driver, which gets no shipped files: the processor
+    # travels whole, with plain limits in place of a class of another module.
+    limits = SimpleNamespace(
+        max_tokens=cfg.max_tokens, max_messages=cfg.max_messages, keep_last=cfg.keep_last, chars_per_token=cfg.chars_per_token
     )
+    this = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(this)
+    try:
+        return narrow.groupBy("thread_id").transformWithStateInPandas(
+            _Compactor(limits, lateness_seconds * 1000), OUT, "append", "eventTime"
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(this)
