@@ -110,24 +110,67 @@ def broken_links(chain: DataFrame) -> DataFrame:
     )
 
 
+def _facts(name: str, df: DataFrame, links: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """What each row says about the rules: ``rule, value, claims, grants``, out of one scan of its table."""
+    claim = lambda rule, value: F.struct(F.lit(rule).alias("rule"), value.alias("value"), F.lit(1).alias("claims"), F.lit(0).alias("grants"))
+    grant = lambda rule, value: F.struct(F.lit(rule).alias("rule"), value.alias("value"), F.lit(0).alias("claims"), F.lit(1).alias("grants"))
+    said = [claim(f"primary_key:{name}", _row_id(PRIMARY_KEYS[name]))]
+    said += [F.when(F.col(c).isNull(), claim(f"not_null:{name}", F.lit(c))) for c in NOT_NULL.get(name, ())]
+    for child, parent, link in links:
+        value, rule = F.col(link).cast("string"), f"foreign_key:{child}:{link}"
+        said += [claim(rule, value)] if child == name else []
+        said += [F.when(value.isNotNull(), grant(rule, value))] if parent == name else []
+    if name == "checkpoint" and "parent_checkpoint_id" in df.columns:
+        spot = lambda c: F.concat(F.length("thread_id"), F.lit(":"), "thread_id", F.coalesce(F.concat(F.lit("/"), c), F.lit("")))
+        said += [claim("parent_chain", spot("parent_checkpoint_id")), grant("parent_chain", spot("checkpoint_id"))]
+        said += [F.when(F.col("parent_checkpoint_id").isNull(), grant("parent_chain", spot("parent_checkpoint_id")))]
+        said += [F.when(F.col("parent_checkpoint_id") >= F.col("checkpoint_id"), claim("chain_order", F.lit("")))]
+    return df.select(F.inline(F.array_compact(F.array(*said))))
+
+
+def fired_rules(tables: Mapping[str, DataFrame], links: Sequence[tuple[str, str, str]]) -> set[str]:
+    """Rules that some row breaks, from one scan of every table in one job.
+
+    A key, or a parent in a chain, may be claimed once; a link needs a grant by its
+    parent. A chain is right if every checkpoint but the first names a smaller one of
+    its thread as parent and no two name the same: then each names the one before it.
+    """
+    facts = reduce(DataFrame.unionByName, [_facts(n, df, links) for n, df in tables.items()])
+    met = facts.groupBy("rule", "value").agg(F.sum("claims").alias("claims"), F.max("grants").alias("grants"))
+    kind = F.substring_index("rule", ":", 1)
+    once = kind.isin("primary_key", "parent_chain") & (F.col("claims") > 1)
+    granted = kind.isin("foreign_key", "parent_chain") & (F.col("claims") > 0) & (F.col("grants") == 0)
+    broken = met.filter(once | granted | kind.isin("not_null", "chain_order"))
+    return {r.rule for r in broken.select("rule").distinct().collect()}  # a few per table
+
+
 def integrity_audit(
     tables: Mapping[str, DataFrame],
     foreign_keys: Sequence[tuple[str, str, str]] = (("summary_context", "session", "thread_id"),),
     policy: SplitPolicy = DEFAULT_SPLIT,
 ) -> DataFrame:
-    """One row per broken key, link or required value over the given tables."""
+    """One row per broken key, link or required value over the given tables.
+
+    One job reads every table once and tells which rules are broken; only those are
+    looked into row by row.
+    """
     from chatterloom.operators.reports import checkpoint_chain
 
+    links = [x for x in foreign_keys if x[0] in tables and x[1] in tables]
+    fired = fired_rules(tables, links)
     parts: list[DataFrame] = []
     for name, df in tables.items():
         keys = PRIMARY_KEYS[name]
-        parts.append(duplicate_keys(name, df, keys))
-        if name in NOT_NULL:
+        if f"primary_key:{name}" in fired:
+            parts.append(duplicate_keys(name, df, keys))
+        if f"not_null:{name}" in fired:
             parts.append(missing_values(name, df, keys, NOT_NULL[name]))
-    for child, parent, link in foreign_keys:
-        if child in tables and parent in tables:
+    for child, parent, link in links:
+        if f"foreign_key:{child}:{link}" in fired:
             parts.append(orphans(child, tables[child], PRIMARY_KEYS[child], tables[parent], link))
-    if "checkpoint" in tables and "parent_checkpoint_id" in tables["checkpoint"].columns:
+    if fired & {"parent_chain", "chain_order"} or "primary_key:checkpoint" in fired and "parent_checkpoint_id" in tables["checkpoint"].columns:
         parts.append(broken_links(checkpoint_chain(tables["checkpoint"], policy)))
+    if not parts:
+        none = next(iter(tables.values())).sparkSession.createDataFrame([], "table_name string, violation string, row_key string")
+        return none
     return reduce(DataFrame.unionByName, parts)
-

@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import SPLIT_ALL, make_messages, rows
 from pyspark.sql import functions as F
 
@@ -65,6 +67,36 @@ def test_audit_finds_planted_faults(spark, policy):
     ]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_audit_in_one_pass_fires_exactly_for_broken_chains(spark, seed):
+    rng, data = random.Random(seed), []
+    for thread in ("a", "b/1", "b"):
+        ids = [f"c{i}" for i in sorted(rng.sample(range(10, 99), rng.randrange(1, 6)))]
+        parents = [None, *ids[:-1]]
+        if rng.random() < 0.4:
+            parents[rng.randrange(len(parents))] = rng.choice([None, "c00", "c99", *ids])
+        data += [(thread, c, p, T0) for c, p in zip(ids, parents)]
+    chain = spark.createDataFrame(data, TABLES["checkpoint"])
+    broken = reports.checkpoint_chain(chain).filter("NOT parent_ok").count()
+    fired = retention.fired_rules({"checkpoint": chain}, [])
+    assert bool(fired & {"parent_chain", "chain_order"}) == bool(broken)
+    assert retention.integrity_audit({"checkpoint": chain}).count() == broken
+
+
+def test_audit_of_clean_tables_is_one_job_and_one_scan_each(spark, tmp_path):
+    session = spark.createDataFrame([(f"t{i}", "x", T0, T0, 1, "u") for i in range(50)], TABLES["session"])
+    chain = spark.createDataFrame([("t1", f"c{i}", f"c{i - 1}" if i > 10 else None, T0) for i in range(10, 60)], TABLES["checkpoint"])
+    for name, df in (("session", session), ("checkpoint", chain)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    tables = {n: spark.read.schema(TABLES[n]).parquet(f"{tmp_path}/{n}") for n in ("session", "checkpoint")}
+    links = [("checkpoint", "session", "thread_id")]
+    facts = retention._facts("session", tables["session"], links).unionByName(retention._facts("checkpoint", tables["checkpoint"], links))
+    assert facts._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    assert retention.fired_rules(tables, links) == set()
+    clean = retention.integrity_audit(tables, links)
+    assert clean.count() == 0 and clean.columns == ["table_name", "violation", "row_key"]
+
+
 def test_chain_over_many_steps(spark, policy):
     ids = [f"c{i:04d}" for i in range(300)]
     chain = spark.createDataFrame([("t", c, p, T0) for c, p in zip(ids, [None, *ids])], TABLES["checkpoint"])
