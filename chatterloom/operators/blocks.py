@@ -183,8 +183,10 @@ def byte_pages(
         ),
         "row-bins",
     )
-    bins = written(placed.select(*keys, "_bin").distinct(), "bins")
-    numbered = running(bins, keys, ["_bin"], {"page": F.lit(1)}, policy=policy)
-    counts = bins.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"))
-    pages = numbered.join(counts, keys).withColumn("page", F.col("page") - 1)
+    # A key has a bin for every ``page_bytes`` of its text at most: few enough for one window, however many rows it has.
+    bins, of_key = placed.select(*keys, "_bin").distinct(), Window.partitionBy(*keys)
+    pages = bins.select(
+        *keys, "_bin", (F.row_number().over(of_key.orderBy("_bin")) - 1).cast("bigint").alias("page"),
+        F.count(F.lit(1)).over(of_key).alias("pages"),
+    )
     return placed.join(pages, [*keys, "_bin"]).drop("_bin")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,21 +166,23 @@ def fold_messages(
     Events are ordered by ``seq`` and, where the log has it, by ``sub`` (missing: 0),
     the place among events that share a ``seq``. A new id appends, a known id
     overwrites in place, ``remove`` drops the id, and an id appended after its removal
-    goes to the end. Two narrow scans over ids and sequence numbers decide what
-    survives and where, with the survivors written in between; message bodies are
+    goes to the end. A maximum per id over numbers decides what survives and one narrow
+    scan where, with the survivors written in between; message bodies are
     shuffled once, in the final join on the sequence number that holds them. With
     ``keep_seq`` the number that placed a message comes along as ``seq``.
     """
     keys, order = list(keys), ["seq", "sub"]
     given = F.coalesce("sub", F.lit(0)) if "sub" in events.columns else F.lit(0)
     numbered = events.withColumn("sub", given.cast("bigint"))
-    ids = numbered.select(*keys, "message_id", *order, (F.col("op") == "remove").cast("int").alias("_rm"))
-    at = F.struct(*order)
+    ids = numbered.select(*keys, "message_id", F.struct(*order).alias("_at"), (F.col("op") == "remove").alias("_rm"))
+    # The last removal of an id decides: a maximum, so an id with very many events is no large group.
+    cut = ids.filter("_rm").groupBy(*keys, "message_id").agg(F.max("_at").alias("_cut"))
+    cut = cut.withColumnsRenamed({c: f"_cut_{c}" for c in [*keys, "message_id"]})
+    same = reduce(and_, [ids[c].eqNullSafe(cut[f"_cut_{c}"]) for c in [*keys, "message_id"]])
     kept = (
-        running(ids, [*keys, "message_id"], order, after={"_gone": F.col("_rm")}, policy=policy)
-        .filter("_gone = 0")
+        ids.filter("NOT _rm").join(cut, same, "left").filter("_cut IS NULL OR _at > _cut")
         .groupBy(*keys, "message_id")
-        .agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+        .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
         .select(*keys, "message_id", "_last.*", F.col("_first.seq").alias("_seq"), F.col("_first.sub").alias("_sub"))
     )
     placed = running(
