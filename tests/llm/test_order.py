@@ -19,6 +19,43 @@ def test_permutation_is_a_keyed_bijection(count):
         assert abs(np.corrcoef(np.arange(count), slots)[0, 1]) < 0.4
 
 
+def plain_slot(number, count, key, rounds=O.ROUNDS):
+    """One number's slot, with Python integers."""
+    word = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & word
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    half = max(1, (max(count - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for r in range(1, rounds + 1):
+            left, right = right, left ^ mix(right ^ mix((r * 0x9E3779B97F4A7C15 & word) ^ key)) & (1 << half) - 1
+        number = left << half | right
+        if number < count:
+            return number
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 64, 1000, 10**6 + 3])
+def test_slots_equal_a_plain_feistel_loop(count):
+    some = np.unique(np.linspace(0, count - 1, 300).astype(np.int64))
+    assert O.permuted(some, count, 99).tolist() == [plain_slot(int(i), count, 99) for i in some]
+
+
+def test_every_shard_is_a_task_of_its_own(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3)
+    folder = shared_folder(spark, "order")
+    out = O.ordered_rows(docs, folder, CONFIG).collect()
+    files = O.read_slots(spark, folder).inputFiles()
+    shards = len({r.shard for r in out})
+    tasks = {f.rsplit("/", 1)[1].split("-")[1] for f in files}
+    assert shards == -(-len(out) // CONFIG.shard_sequences) == len(files) == len(tasks)
+
+
 def test_round_trip_and_resume(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x"), (None, "no id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot string").repartition(3)
