@@ -145,6 +145,9 @@ def _scan(windows: Windows):
         marks = np.zeros(len(starts) + 1, np.int64)
         for length, at, value in window_hashes(hashes, _words_left(ranges), set(windows.by_length)):
             maybe = np.flatnonzero(bits[length][value >> np.uint64(42)])
+            known = windows.by_length[length][0]
+            near = np.minimum(np.searchsorted(known, value[maybe]), len(known) - 1)
+            maybe = maybe[known[near] == value[maybe]]
             for j in maybe.tolist():
                 i = int(at[j])
                 found = windows.items(length, value[j], _words_at(low, starts, ends, i, length))
