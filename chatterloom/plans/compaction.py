@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterloom import config as C
@@ -216,37 +216,10 @@ _FOLDS = "array<struct<n: bigint, before: bigint, after: bigint>>"
 _PIECE = 256
 
 
-def _turn_blocks(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFrame:
-    """Turn ends per (thread, block) as a sorted array of at most ``width``.
-
-    A fold follows the one before it within ``reach`` turn ends, so the state a
-    block starts from is one of the last ``reach`` ends of the block before;
-    those are carried along.
-    """
-    reach = max(cfg.max_messages - cfg.keep_last, 0) + 1
-    own = F.expr(f"k div {width}")
-    # At most `reach` ends per block are carried into the next block.
-    late = F.expr(f"k % {width} >= {width - reach}")
-    placed = ends.select(
-        "thread_id",
-        F.struct("n", "kept").alias("e"),
-        F.inline(
-            F.when(
-                late,
-                F.array(
-                    F.struct(own.alias("blk"), F.lit(False).alias("carried")),
-                    F.struct((own + 1).alias("blk"), F.lit(True).alias("carried")),
-                ),
-            ).otherwise(F.array(F.struct(own.alias("blk"), F.lit(False).alias("carried"))))
-        ),
-    )
-    return (
-        placed.groupBy("thread_id", "blk")
-        .agg(
-            F.sort_array(F.collect_list(F.when(~F.col("carried"), F.col("e")))).alias("own"),
-            F.sort_array(F.collect_list(F.when(F.col("carried"), F.col("e")))).alias("carried"),
-        )
-        .filter(F.size("own") > 0)
+def _turn_blocks(ends: DataFrame, width: int) -> DataFrame:
+    """Turn ends per (thread, block) as a sorted array of at most ``width``, whatever the limits are."""
+    return ends.groupBy("thread_id", F.expr(f"k div {width}").alias("blk")).agg(
+        F.sort_array(F.collect_list(F.struct("n", "kept"))).alias("own")
     )
 
 
@@ -257,21 +230,6 @@ def _fires(s: Column, chars: Column, e: Column, cfg: CompactionConfig) -> Column
     return (waiting > cfg.keep_last) & ((e["kept"] - chars >= enough) | (waiting > cfg.max_messages))
 
 
-def _last_state(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
-    """State after a block that is entered with boundary ``s``."""
-    start = F.struct(s.alias("s"), chars.alias("chars"), F.lit(0).cast("bigint").alias("folds"))
-    return F.aggregate(
-        "own",
-        start,
-        lambda a, e: F.when(
-            _fires(a["s"], a["chars"], e, cfg),
-            F.struct(
-                (e["n"] - cfg.keep_last).alias("s"), e["kept"].alias("chars"), (a["folds"] + 1).alias("folds")
-            ),
-        ).otherwise(a),
-    )
-
-
 def _folds(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
     """Folds made inside a block that is entered with boundary ``s``.
 
@@ -317,48 +275,98 @@ def _folds(s: Column, chars: Column, cfg: CompactionConfig) -> Column:
     return F.flatten(F.transform(starts, folds_of))
 
 
-def _block_entries(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
-    """State at the start of each block after the first.
+def _next_folds(ends: DataFrame, cfg: CompactionConfig, policy: SplitPolicy) -> DataFrame:
+    """``thread_id, k, n, kept, target``: the turn end that folds next after a fold at ``k``.
 
-    Each block is summed up as a map from possible entry states to exit states;
-    the maps of one thread are then walked in order. The walk sees at most
-    ``reach`` rows per ``width`` turn ends.
+    Both limits only ever become true along a thread, so each is a search for the first
+    turn end at or above a value. Ends and searched values are put in one order, and the
+    ends before a value are its answer: a running count, however far apart two folds
+    lie. ``k = -1`` stands for the thread's start. ``target`` may lie past the last end.
     """
-    zero = F.lit(0).cast("bigint")
-    first = F.array(F.struct(zero.alias("s"), zero.alias("chars")))
-    states = F.when(F.col("blk") == 0, first).otherwise(
-        F.transform(
-            "carried", lambda e: F.struct((e["n"] - cfg.keep_last).alias("s"), e["kept"].alias("chars"))
-        )
+    start = ends.select("thread_id").distinct().select(
+        "thread_id", *[F.lit(v).cast("bigint").alias(c) for c, v in (("k", -1), ("n", cfg.keep_last), ("kept", 0))]
     )
-    maps = blocks.select(
-        "thread_id",
-        "blk",
-        F.inline(
-            F.transform(
-                states,
-                lambda st: F.struct(
-                    st["s"].alias("s"), st["chars"].alias("chars"), _last_state(st["s"], st["chars"], cfg).alias("exit")
-                ),
-            )
-        ),
-    ).select("thread_id", "blk", "s", "chars", F.col("exit.s").alias("exit_s"), F.col("exit.folds").alias("folds"))
+    enough = (cfg.max_tokens + 1) * cfg.chars_per_token
+    # After a fold at `n` the boundary is `n - keep_last`; at the start it is 0.
+    late = F.col("n") - cfg.keep_last + cfg.max_messages + 1
+    entry = lambda by, at, is_end: F.struct(
+        F.lit(by).alias("by"), at.cast("bigint").alias("at"), F.lit(is_end).alias("is_end")
+    )
+    searched = F.array(entry(0, F.col("kept") + enough, 0), entry(1, F.greatest(late, F.col("n") + 1), 0))
+    listed = F.array(entry(0, F.col("kept"), 1), entry(1, F.col("n"), 1))
+    # A fold needs more than `keep_last` messages, at the start too: ends up to there never answer.
+    able = F.when(F.col("n") > cfg.keep_last, listed).otherwise(F.slice(listed, 1, F.lit(0)))
+    early = ends.filter(F.col("n") <= cfg.keep_last).groupBy("thread_id").agg(F.count(F.lit(1)).alias("early"))
+    steps = start.unionByName(ends).select(
+        "thread_id", "k", "n", "kept",
+        F.inline(F.concat(searched, F.when(F.col("k") >= 0, able).otherwise(F.slice(listed, 1, F.lit(0))))),
+    )
+    placed = running(
+        steps, ["thread_id", "by"], ["at", "is_end", "k"], {"before": F.col("is_end")}, policy=policy
+    ).filter("is_end = 0")
+    found = placed.groupBy("thread_id", "k").agg(
+        F.first("n").alias("n"), F.first("kept").alias("kept"), F.min("before").alias("target")
+    )
+    skipped = F.coalesce("early", F.lit(0).cast("bigint"))
+    return found.join(early, "thread_id", "left").select(
+        "thread_id", "k", "n", "kept", F.greatest(F.col("target") + skipped, F.col("k") + 1).alias("target")
+    )
+
+
+def _block_exits(pointers: DataFrame, width: int) -> DataFrame:
+    """Where a chain of folds that enters a block at ``k`` leaves it: its last fold, their number, the next target."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["blk", "s"], kind="stable")
-        state, done, found = 0, 0, []
-        for blk, s, chars, exit_s, folds in zip(pdf.blk, pdf.s, pdf.chars, pdf.exit_s, pdf.folds):
-            if s != state or (found and found[-1][0] == blk):
-                continue
-            found.append((blk, s, chars, done))
-            state, done = exit_s, done + folds
-        out = pd.DataFrame(found, columns=["blk", "s", "chars", "folds_before"])
-        out.insert(0, "thread_id", pdf["thread_id"].iloc[0])
-        return out[out["blk"] > 0]
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", ignore_index=True)
+        first, count = int(pdf["k"].iloc[0]), len(pdf)
+        last, target = list(range(count)), pdf["target"].tolist()
+        folds = [1] * count
+        for i in range(count - 1, -1, -1):
+            j = target[i] - first
+            if j < count:
+                last[i], target[i], folds[i] = last[j], target[j], folds[j] + 1
+        return pdf.assign(n=pdf["n"].to_numpy()[last], kept=pdf["kept"].to_numpy()[last], target=target, folds=folds)
 
-    ship_package(maps.sparkSession)
-    return maps.groupBy("thread_id").applyInPandas(
-        walk, "thread_id string, blk bigint, s bigint, chars bigint, folds_before bigint"
+    ship_package(pointers.sparkSession)
+    inside = pointers.filter("k >= 0").withColumn("blk", F.expr(f"k div {width}"))
+    schema = "thread_id string, blk bigint, k bigint, n bigint, kept bigint, target bigint, folds bigint"
+    columns = ["thread_id", "blk", "k", "n", "kept", "target"]
+    return inside.select(columns).groupBy("thread_id", "blk").applyInPandas(leave, schema)
+
+
+def _block_entries(ends: DataFrame, cfg: CompactionConfig, width: int, policy: SplitPolicy) -> DataFrame:
+    """State at the start of each block after the first, for threads of several blocks.
+
+    Every turn end points at the next fold. Inside a block chains are followed to
+    their exits, blocks in parallel; the exits are then doubled until the chain
+    from the thread's start has passed all blocks: as many rounds as the logarithm of
+    the blocks of the longest thread, each a join on (thread, turn end).
+    """
+    pointers = written(_next_folds(ends, cfg, policy), "next-folds")
+    exits = written(_block_exits(pointers, width), "block-exits")
+    marked = pointers.filter("k = -1").select("thread_id", F.col("target").alias("k"))
+    jump = exits.select("thread_id", "k", "target")
+    most = exits.agg(F.max("blk")).first()[0]
+    for _ in range((most or 0).bit_length()):
+        onward = marked.join(jump, ["thread_id", "k"]).select("thread_id", F.col("target").alias("k"))
+        marked = written(marked.unionByName(onward), "entered-blocks")
+        far = jump.select("thread_id", F.col("k").alias("target"), F.col("target").alias("_far"))
+        jump = written(
+            jump.join(far, ["thread_id", "target"]).select("thread_id", "k", F.col("_far").alias("target")), "doubled-exits"
+        )
+    entered = exits.join(marked, ["thread_id", "k"]).select("thread_id", "blk", "n", "kept", "folds")
+    # One row per block of `width` turn ends: few enough for a window over a thread.
+    blocks = exits.select("thread_id", "blk").distinct().join(entered, ["thread_id", "blk"], "left")
+    past = Window.partitionBy("thread_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("n").isNotNull(), F.struct("n", "kept")), ignorenulls=True).over(past)
+    zero = F.lit(0).cast("bigint")
+    return blocks.select(
+        "thread_id", "blk", before.alias("_last"), F.coalesce(F.sum("folds").over(past), zero).alias("folds_before")
+    ).filter("blk > 0").select(
+        "thread_id", "blk",
+        F.coalesce(F.col("_last.n") - cfg.keep_last, zero).alias("s"),
+        F.coalesce("_last.kept", zero).alias("chars"),
+        "folds_before",
     )
 
 
@@ -371,20 +379,23 @@ def compaction_boundaries(
     """Every fold of a thread's life: number, turn end, boundary before and after.
 
     The recurrence is sequential in a thread but only over turn ends, and a long
-    thread is cut into blocks of ``width`` turn ends that run in parallel.
+    thread is cut into blocks of ``width`` turn ends that run in parallel. The width
+    does not depend on the limits, so ``max_messages`` may be as large as one likes.
     """
-    return _boundaries_of(written(turn_ends(messages, cfg, policy), "turn-ends"), cfg, width)
+    return _boundaries_of(written(turn_ends(messages, cfg, policy), "turn-ends"), cfg, width, policy)
 
 
-def _boundaries_of(ends: DataFrame, cfg: CompactionConfig, width: int) -> DataFrame:
-    """Boundaries from turn ends; ``width`` leaves room for one whole step."""
-    width = max(width, cfg.max_messages + cfg.keep_last + 2)
-    blocks = _turn_blocks(ends, cfg, width).select("thread_id", "blk", "own")
+def _boundaries_of(ends: DataFrame, cfg: CompactionConfig, width: int, policy: SplitPolicy) -> DataFrame:
+    """Boundaries from turn ends."""
+    blocks = _turn_blocks(ends, width)
     zero = F.lit(0).cast("bigint")
     # Threads of one block start from nothing; the branch of longer ones is usually empty.
-    long = ends.filter(F.col("k") >= width).select("thread_id").distinct()
-    chained = _turn_blocks(ends.join(long, "thread_id", "left_semi"), cfg, width)
-    found = blocks.join(_block_entries(chained, cfg), ["thread_id", "blk"], "left")
+    long = ends.filter(F.col("k") == width).select("thread_id")
+    if long.isEmpty():
+        found = blocks.select("*", *[zero.alias(c) for c in ("s", "chars", "folds_before")])
+    else:
+        chained = ends.join(long, "thread_id", "left_semi")
+        found = blocks.join(_block_entries(chained, cfg, width, policy), ["thread_id", "blk"], "left")
     lost = F.raise_error(F.concat(F.lit("no entry state for a block of thread "), "thread_id"))
     entered = found.select(
         "thread_id", "own",
@@ -432,7 +443,7 @@ def context_size_per_turn(
     a tool result cut off from its call.
     """
     ends = written(turn_ends(messages, cfg, policy), "turn-ends")
-    folds = written(_boundaries_of(ends, cfg, width), "boundaries")
+    folds = written(_boundaries_of(ends, cfg, width, policy), "boundaries")
     # The boundary `before` holds for turn ends after the previous fold up to this one.
     since = lambda s: F.when(s == 0, F.lit(0).cast("bigint")).otherwise(s + cfg.keep_last + 1)
     closed = folds.select(

@@ -179,6 +179,23 @@ def test_boundaries_equal_the_loop(spark, monkeypatch, cfg, split, width, piece)
             assert all(seen < stored for turn, stored, s, seen in mine if s > 1)
 
 
+
+@pytest.mark.parametrize("cfg", [CompactionConfig(2_000, 10**9, 6), CompactionConfig(10**9, 30_000, 6)])
+def test_blocks_do_not_widen_with_the_limits(spark, cfg):
+    """A thread of 40,000 turn ends in blocks of 1,024, with a limit far wider than a block."""
+    many = 80_000
+    chars = "x" * 40
+    kind = F.when(F.col("position") % 2 == 1, "ai").otherwise("human")
+    m = spark.range(many).select(
+        F.lit("long").alias("thread_id"), F.col("id").alias("position"), F.col("id").cast("string").alias("message_id"),
+    ).select("*", kind.alias("type"), F.when(F.col("position") % 5 > 0, chars).alias("content"),
+             *[F.lit(None).cast(TABLES["message"][c].dataType).alias(c) for c in ("blocks", "tool_calls")])
+    items = [("ai" if i % 2 else "human", chars if i % 5 else None, None) for i in range(many)]
+    want = [(no + 1, *b) for no, b in enumerate(plain_boundaries(items, cfg))]
+    got = P.compaction_boundaries(m, cfg, width=1_024)
+    assert rows(got, "boundary_no", "at_message", "previous_count", "summarized_count") == sorted(want, key=repr)
+
+
 def test_cut_off_tool_result_is_flagged(spark):
     cfg = CompactionConfig(10_000, 4, 3)
     items = [("human", "a"), ("ai", "", CALL), ("tool", "r"), ("human", "b"), ("ai", "c"), ("human", "d"), ("ai", "e")]
