@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from catalog.queries import SCANS
+from catalog.queries import BY_TOKENS, LEAST_SHARE, SCANS
 from chatterloom.config import NON_TEXT, CompactionConfig, Wording
 
 CHECKED_FOLDER = "/root/testdata/sf0.01"
@@ -444,7 +444,12 @@ ORACLES: dict[str, str] = {
           WHERE thread_id NOT IN (SELECT thread_id FROM usess)"""),
     "compact_log": q(LIVE_NOTE),
     "scope_to_user": q("SELECT * FROM sess WHERE username = 'user_3'"),
+    "compact_days": q(f"""
+        SELECT dt, thread_id, op, seq FROM aged
+        WHERE NOT stale OR dt NOT IN (SELECT dt FROM aged GROUP BY dt HAVING avg(stale::INTEGER) >= {LEAST_SHARE})""",
+        aged="SELECT *, CAST(ts AS DATE) AS dt, seq < max(seq) OVER (PARTITION BY thread_id) AS stale FROM sev"),
     "search_titles": q("SELECT thread_id, title FROM sess WHERE regexp_matches(title, '^[a-m].*(an|er)', 'i')"),
+    "search_notes_indexed": q("SELECT profile_id, note_id FROM note WHERE regexp_matches(text, 'th(e|in)\\s+[aeiou]', 'i')"),
     "search_notes": q("SELECT profile_id, note_id FROM note WHERE regexp_matches(text, 'th(e|in)\\s+[aeiou]', 'i')"),
     "lookup_with_default": q("""
         SELECT t.thread_id, t.profile_id, coalesce(p.name, 'Unknown Profile') AS name, coalesce(u.title, 'New Chat') AS title,
@@ -600,6 +605,7 @@ ORACLES: dict[str, str] = {
             WHERE position >= coalesce(summarized_count, 0) AND x.thread_id IN (SELECT thread_id FROM opened)""",
         opened=ACTIVE.format("sess"), notes=notes_text(W.notes_header, ID_LINE)),
     "compaction_candidates": q(candidates(DEFAULTS, "lm", "lsumm")),
+    "compaction_candidates_kept": q(candidates(SMALL, "lm", "lsumm")),
     "compaction_candidates_small": q(candidates(SMALL, "m", "summ")),
     "fold_segments": q(
         "SELECT thread_id, page, pages, existing, transcript, prompt, summarized_count FROM fold",
@@ -616,6 +622,7 @@ ORACLES: dict[str, str] = {
            WHERE thread_id NOT IN (SELECT thread_id FROM fold)""",
         **segments(SMALL, "m", "summ")),
     "compaction_boundaries": q(BOUNDARIES, True, **fold_rule(DEFAULTS, "lm")),
+    "compaction_boundaries_chained": q(BOUNDARIES, True, **fold_rule(BY_TOKENS, "lm")),
     "compaction_boundaries_small": q(BOUNDARIES, True, **fold_rule(SMALL, "m")),
     "message_segments": q(
         """SELECT x.thread_id, x.position, min(b.folds) AS segment

@@ -15,8 +15,10 @@ from chatterloom.config import DEFAULT_USERNAME, NEW_CHAT_TITLE
 from chatterloom.functions import text as X
 from chatterloom.operators import logs, messages as msg, reports, retention, scope
 from chatterloom.operators.blocks import SplitPolicy
-from chatterloom.plans import compaction, context, edits, memory
+from chatterloom.operators.search_index import TextIndex
+from chatterloom.plans import compaction, context, edits, lengths, memory
 from chatterloom.session import shared_folder, written
+from chatterloom.sources import daily
 from chatterloom.sources import tables as io
 from chatterloom.sources.fixtures import Tables, conversation_rows
 from chatterloom.streaming import compaction as stream_compactor
@@ -32,6 +34,9 @@ SMALL = CompactionConfig(max_tokens=100, max_messages=4, keep_last=2)
 # Small pages and a small fan-in take the way of very long threads.
 PAGED, FEW = 256, 4
 ONE_USER = "user_3"
+# Limits by tokens only, blocks of few turn ends and positions, and a share that some days reach.
+BY_TOKENS = CompactionConfig(max_tokens=100, max_messages=1_000_000, keep_last=2)
+CHAINED_WIDTH, KEPT_WIDTH, LEAST_SHARE = 8, 16, 0.875
 CHECKED_TABLES = ("customer", "documents", "events", "conversations", "labels")
 
 
@@ -220,6 +225,15 @@ def compact_log(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder).select("profile_id", "note_id", "text", "created_at")
 
 
+@query
+def compact_days(t: Tables) -> DataFrame:
+    """A log by days; only the days with enough rows out of date are written anew."""
+    folder = shared_folder(t.spark, "log-days")
+    io.append_log(t.session_event, folder)
+    daily.compact_days(t.spark, folder, ["thread_id"], least_share=LEAST_SHARE)
+    return t.spark.read.parquet(folder).select("dt", "thread_id", "op", "seq")
+
+
 # --- projections, filters, scalars -----------------------------------------------
 
 
@@ -238,6 +252,16 @@ def search_notes(t: Tables) -> DataFrame:
     return scope.search_notes(t.note, "th(e|in)\\s+[aeiou]").select("profile_id", "note_id")
 
 
+@query
+def search_notes_indexed(t: Tables) -> DataFrame:
+    """The same search through trigrams of the stored notes."""
+    folder = shared_folder(t.spark, "notes")
+    io.write_table(t.note, f"{folder}/note")
+    index = TextIndex(f"{folder}/trigrams", f"{folder}/note", "text")
+    index.refresh(t.spark)
+    return index.search(t.spark, "th(e|in)\\s+[aeiou]").select("profile_id", "note_id")
+
+
 @query
 def lookup_with_default(t: Tables) -> DataFrame:
     keys = t.thread_profile
@@ -662,6 +686,29 @@ def apply_summaries_resumed(t: Tables) -> DataFrame:
     return compaction.apply_summaries(segments, silent, fan_in=FEW, answers=answers, model="digests")
 
 
+@query
+def compaction_candidates_kept(t: Tables) -> DataFrame:
+    """Candidates out of kept sums: three appends, of messages whose questions are written over later."""
+    drafted = F.when(F.col("type") == "human", F.concat(F.coalesce("content", F.lit("")), F.lit(" (draft)")))
+    first = t.long_message.withColumn("content", F.coalesce(drafted, "content"))
+    part = F.expr("pmod(position div 50, 3)")
+    blocks = lengths.length_blocks(first.filter(part == 0), KEPT_WIDTH)
+    for later in (1, 2):
+        blocks = written(lengths.advance(blocks, first.filter(part == later), KEPT_WIDTH), "length-blocks")
+    over = t.long_message.filter(F.col("type") == "human").select(
+        "thread_id", "position", F.concat(F.coalesce("content", F.lit("")), F.lit(" (draft)")).alias("before"),
+        F.col("content").alias("after"),
+    )
+    blocks = written(lengths.edited(blocks, over, KEPT_WIDTH), "length-blocks")
+    return lengths.candidates_from_blocks(blocks, t.long_message, t.long_summary, SMALL, KEPT_WIDTH)
+
+
+@query
+def compaction_boundaries_chained(t: Tables) -> DataFrame:
+    """Blocks of a few turn ends, with a message limit far beyond them."""
+    return compaction.compaction_boundaries(t.long_message, BY_TOKENS, t.policy, width=CHAINED_WIDTH)
+
+
 @query
 def compaction_boundaries(t: Tables) -> DataFrame:
     return compaction.compaction_boundaries(t.long_message, policy=t.policy)
