@@ -2,8 +2,8 @@
 
 ``TextIndex`` keeps, for every block of 32 neighbouring rows of a Parquet table, the trigrams of one text
 column: ``trigram, file_id, block``. Every index file is in order of the trigram, so that Parquet
-statistics skip what a search does not ask for, and a frequent trigram spreads over all of them. Blocks
-are combined before the shuffle, since their rows are read together.
+statistics skip what a search does not ask for, and a frequent trigram spreads over all of them. The rows of a
+block are read together, so building the index needs no shuffle.
 A pattern states literal strings that every match must contain
 (``required_trigrams``). Blocks with those trigrams are the candidates; only their files are read,
 and the pattern itself decides on the texts of their rows.
@@ -20,25 +20,26 @@ and the pattern itself decides on the texts of their rows.
 
 from __future__ import annotations
 
-import string
 import unicodedata
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.functions import text as X
+from chatterloom.session import ship_package
 
 PIECE = 65_536
 # Strings a run of literals and small groups may stand for, and trigrams looked up for each.
 MOST_CHOICES, MOST_LOOKED_UP = 32, 4
 BLOCK_ROWS = 32
 # Signs beyond ASCII that a case-insensitive search takes for i, s and k.
-LIKE_ASCII = {"ı": "i", "İ": "i", "ſ": "s", "K": "k"}
-_FROM = string.ascii_uppercase + "".join(LIKE_ASCII)
-_TO = string.ascii_lowercase + "".join(LIKE_ASCII.values())
+LIKE_ASCII = {"\u0131": "i", "\u0130": "i", "\u017f": "s", "\u212a": "k"}
+_SCHEMA = "trigram bigint, file_id bigint, block bigint"
 
 Clause = frozenset[frozenset[str]]  # one of these sets of trigrams is there as a whole
 
@@ -195,14 +196,40 @@ def required_trigrams(pattern: str) -> list[Clause]:
     return clauses + _clause(exact)
 
 
-def text_trigrams(text: Column) -> Column:
-    """Array of pieces' trigram arrays: folded, each one once a piece."""
-    folded = F.translate(text, _FROM, _TO)
-    starts = F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / PIECE).cast("int"))
-    pieces = F.transform(starts, lambda i: F.substring(folded, i * PIECE + 1, F.lit(PIECE + 2)))
-    return F.transform(
-        pieces, lambda p: F.array_distinct(F.regexp_extract_all(p, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-    )
+def _code(trigram: str) -> int:
+    """A trigram as a number: 21 bits a sign."""
+    first, second, third = map(ord, trigram)
+    return first << 42 | second << 21 | third
+
+
+def text_codes(text: str) -> np.ndarray:
+    """Codes of the folded trigrams of a text, each one once; pieces bound the memory."""
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    signs[(signs >= ord("A")) & (signs <= ord("Z"))] += ord("a") - ord("A")
+    for sign, plain in LIKE_ASCII.items():
+        signs[signs == ord(sign)] = ord(plain)
+    found = [np.empty(0, np.int64)]
+    for low in range(0, len(signs) - 2, PIECE):
+        piece = signs[low : low + PIECE + 2]
+        found.append(np.unique(piece[:-2] << 42 | piece[1:-1] << 21 | piece[2:]))
+    return found[1] if len(found) == 2 else np.unique(np.concatenate(found))
+
+
+def _block_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of every run of rows of one block; a block cut by a batch or a split comes in parts."""
+    for batch in batches:
+        files, blocks, texts = (batch.column(i) for i in range(3))
+        at, codes = None, []
+        for i in range(batch.num_rows + 1):
+            here = (files[i].as_py(), blocks[i].as_py()) if i < batch.num_rows else None
+            if here != at:
+                if codes:
+                    each = np.unique(np.concatenate(codes))
+                    same = [pa.array(np.full(len(each), v, np.int64)) for v in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(each), *same], names=["trigram", "file_id", "block"])
+                at, codes = here, []
+            if here is not None:
+                codes.append(text_codes(texts[i].as_py()))
 
 
 def _spot() -> tuple[Column, Column]:
@@ -240,10 +267,9 @@ class TextIndex:
             return 0
         read = self._read(spark, new)
         rows = read.select(*_spot(), F.col(self.column).alias("_text"))
-        pieces = rows.filter(F.char_length("_text") >= 3).select(
-            "file_id", "block", F.explode(text_trigrams(F.col("_text"))).alias("_piece")
-        )
-        found = pieces.select(F.explode("_piece").alias("trigram"), "file_id", "block").distinct()
+        ship_package(spark)
+        found = rows.filter(F.char_length("_text") >= 3).mapInArrow(_block_codes, _SCHEMA)
+        # Rows of a block are read together, so there is nothing to bring together: every task sorts what it has.
         found.sortWithinPartitions("trigram", "file_id", "block").write.mode("append").parquet(f"{self.path}/trigrams")
         # Last, so that a file counts as indexed once all its trigrams are there. Names are those the rows came under.
         files = read.select(F.input_file_name().alias("file")).distinct().select("file", F.xxhash64("file").alias("file_id"))
@@ -252,9 +278,9 @@ class TextIndex:
 
     def _looked_up(self, trigrams: DataFrame, clauses: list[Clause]) -> list[Clause]:
         """Of each set of trigrams the rarest few: fewer rows to meet, and the pattern decides anyway."""
-        asked = sorted({t for clause in clauses for choice in clause for t in choice})
-        counted = trigrams.filter(F.col("trigram").isin(asked)).groupBy("trigram").count()
-        rows = dict.fromkeys(asked, 0) | {r["trigram"]: r["count"] for r in counted.collect()}
+        asked = {_code(t): t for clause in clauses for choice in clause for t in choice}
+        counted = trigrams.filter(F.col("trigram").isin(sorted(asked))).groupBy("trigram").count()
+        rows = dict.fromkeys(asked.values(), 0) | {asked[r["trigram"]]: r["count"] for r in counted.collect()}
         rarest = lambda choice: frozenset(sorted(choice, key=lambda t: (rows[t], t))[:MOST_LOOKED_UP])
         return [frozenset(rarest(choice) for choice in clause) for clause in clauses]
 
@@ -263,10 +289,10 @@ class TextIndex:
         clauses = required_trigrams(pattern)
         if not clauses or not self._known(spark):
             return None
-        trigrams = spark.read.schema("trigram string, file_id bigint, block bigint").parquet(f"{self.path}/trigrams")
+        trigrams = spark.read.schema(_SCHEMA).parquet(f"{self.path}/trigrams")
         clauses = self._looked_up(trigrams, clauses)
-        asked = sorted({t for clause in clauses for choice in clause for t in choice})
-        has = lambda t: F.array_contains("_has", t)
+        asked = sorted({_code(t) for clause in clauses for choice in clause for t in choice})
+        has = lambda t: F.array_contains("_has", F.lit(_code(t)).cast("bigint"))
 
         def holds(clause: Clause) -> Column:
             each = [_all(has(t) for t in sorted(choice)) for choice in clause]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatterloom.functions import text as X
 from chatterloom.operators import search_index as S
 
-WORDS = ["the", "thin", "other", "Kelvin", "Kelvin", "STRASSE", "ſtraſse", "naïve", "a\nb", "İstanbul", "ınput",
+WORDS = ["the", "thin", "other", "Kelvin", "\u212aelvin", "STRASSE", "\u017ftra\u017fse", "naïve", "a\nb", "\u0130stanbul", "\u0131nput",
          "漢字文", "xyz.abc", "foobar", "foofoobar", ""]
 PATTERNS = [
     "th(e|in)\\s+[aeiou]", "kelvin", "strasse", "漢字文", "foo(bar|baz)", "(foo)+bar", "fo{2,}bar", "^the.*other$", "xyz\\.abc",
