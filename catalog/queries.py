@@ -801,12 +801,9 @@ def message_composition_long(t: Tables) -> DataFrame:
 
 
 def _message_stream(t: Tables) -> DataFrame:
-    """The conversation table as a stream of messages in ten long threads."""
-    source = (
-        t.spark.readStream.schema(t.raw("conversations").schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(t.directory)
-    )
+    """The conversation table, a file or a folder of files, as a stream of messages in ten long threads."""
+    # A stream takes a single file only by a pattern; one on file names would leave out those in a folder.
+    source = t.spark.readStream.schema(t.raw("conversations").schema).parquet(f"{t.directory}/[c]onversations.parquet")
     return conversation_rows(source).select(
         (F.col("conv_id") % 10).cast("string").alias("thread_id"),
         (F.col("conv_id") * 1024 + F.col("turn")).alias("seq"),

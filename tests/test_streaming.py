@@ -7,6 +7,7 @@ from conftest import make_messages, rows
 from pyspark.sql import functions as F
 from test_compaction import CALL, random_thread
 
+from catalog.queries import REGISTRY
 from chatterloom import CompactionConfig
 from chatterloom.operators.messages import message_count
 from chatterloom.plans.compaction import compaction_boundaries
@@ -221,3 +222,19 @@ def test_snapshot_does_not_see_unfinished_batches_and_leaves_other_buckets(spark
     assert table.read(spark).count() == 198
     with pytest.raises(ValueError):
         KeyedSnapshot(f"{tmp_path}/t", table.schema, ["k"], ["seq"], buckets=8).merge(spark.createDataFrame([], fields), 4)
+
+
+@pytest.mark.parametrize("files", [0, 2])
+def test_streams_of_a_table_in_a_file_or_a_folder(spark, tmp_path, files):
+    turns = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t}") for c in range(12) for t in range(4)]
+    table = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "int32"})
+    to = f"{tmp_path}/conversations.parquet"
+    if files:
+        spark.createDataFrame(table).repartition(files).write.parquet(to)
+    else:
+        table.to_parquet(to)
+    counted = rows(REGISTRY["stream_thread_state"](spark, str(tmp_path)), "thread_id", "message_count")
+    assert counted == [(str(c), 8 if c < 2 else 4) for c in range(10)]
+    answers = rows(REGISTRY["stream_final_responses"](spark, str(tmp_path)))
+    assert answers == sorted((str(c % 10), f"{c}-1", f"text {c} 1") for c in range(12))
+    assert REGISTRY["stream_notes"](spark, str(tmp_path)).count() == 12
