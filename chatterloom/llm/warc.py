@@ -44,6 +44,7 @@ from chatterloom.session import ship_package, written
 
 MAGIC = b"WARC/1.1\r\n"  # fixed value of the format
 GAP = "\r\n\r\n"
+_MAGIC, _GAP = re.compile(re.escape(MAGIC)), re.compile(GAP.encode())
 BROADCAST_ROWS = 200_000
 RANGE_BYTES = 1 << 22
 
@@ -121,21 +122,22 @@ _SCHEMA = (
 )
 
 
-def candidates_in(data: bytes, low: int, high: int) -> list[dict]:
+def candidates_in(data: bytes | memoryview, low: int, high: int) -> list[dict]:
     """Records that may start in ``[low, high)``: their fields, the exit of their chain from
     the range, and an interval that holds the ``pre`` of every candidate whose chain passes here."""
-    found, at = {}, data.find(MAGIC, low, high + len(MAGIC) - 1)
-    while at >= 0:
+    found, begin = {}, _MAGIC.search(data, low, high + len(MAGIC) - 1)
+    while begin:
+        at = begin.start()
         follows = at == 0 or data[max(at - 4, 0) : at] == b"\r\n\r\n"
-        end = data.find(b"\r\n\r\n", at) if follows else -1
-        header = data[at:end] if end > 0 else b""
+        gap = _GAP.search(data, at) if follows else None
+        header = bytes(data[at : gap.start()]) if gap else b""
         size = _field(header, b"Content-Length") or ""
         if size.isdigit():
-            start, stop = end + 4, end + 4 + int(size)
+            start, stop = gap.end(), gap.end() + int(size)
             next_ = stop + 4
-            if data[stop:next_] == b"\r\n\r\n" and (next_ == len(data) or data.startswith(MAGIC, next_)):
+            if data[stop:next_] == b"\r\n\r\n" and (next_ == len(data) or data[next_ : next_ + len(MAGIC)] == MAGIC):
                 found[at] = {"offset": at, "next": next_, "header": header, "span": (start, stop)}
-        at = data.find(MAGIC, at + 1, high + len(MAGIC) - 1)
+        begin = _MAGIC.search(data, at + 1, high + len(MAGIC) - 1)
     weight = dict.fromkeys(found, 1)
     for at, x in found.items():  # offsets ascend, and a successor lies after
         if x["next"] in found:
@@ -164,11 +166,12 @@ def read_archive(spark: SparkSession, folder: str, *, range_bytes: int = RANGE_B
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                path, data = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                # The file stays where Arrow holds it; only headers are copied.
+                path, data = batch.column(0)[r].as_py(), memoryview(batch.column(1)[r].as_buffer()).cast("B")
                 for low in range(0, len(data), range_bytes):
                     rows = []
                     for x in candidates_in(data, low, min(low + range_bytes, len(data))):
-                        payload, header = memoryview(data)[slice(*x["span"])], x["header"]
+                        payload, header = data[slice(*x["span"])], x["header"]
                         rows.append((
                             path, x["offset"], low // range_bytes, x["exit"], x["pre"], x["post"], _field(header, b"WARC-Type"),
                             _page(_field(header, b"WARC-Record-ID")), _field(header, b"WARC-Target-URI"),

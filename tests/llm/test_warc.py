@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -101,3 +102,15 @@ def test_files_are_bounded_by_bytes(spark):
     assert max(p.stat().st_size for p in Path(folder).glob("part-*")) <= 1 << 17
     back = warc.resolved(warc.read_archive(spark, folder)).collect()
     assert {r.page_id: r.payload_bytes for r in back} == {k: len(html) for k, _, html in rows} and len(back) == 60
+
+
+def test_a_file_is_scanned_where_it_lies():
+    data = FAKE.encode() * 3 + FAKE.replace("Content-Length: 3", "Content-Length: 20000").replace("abc", "z" * 20_000).encode()
+    want = warc.candidates_in(data, 0, len(data))
+    assert len(want) == 4 and warc.candidates_in(memoryview(data), 0, len(data)) == want
+    whole = memoryview(data * 500)
+    tracemalloc.start()
+    found = warc.candidates_in(whole, 0, 1 << 20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 150 and most < 1_000_000 < len(whole) // 9
