@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from chatterloom.session import ship_package
 
-PIECE_BYTES = 2 << 20  # texts handled at once; a longer text is handled alone, whole
+# Texts handled at once; a longer text is handled alone, whole. The arrays made of a piece take some 35
+# times its size, and a worker keeps much of that memory.
+PIECE_BYTES = 1 << 19
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
@@ -54,6 +56,12 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES, most: int
         at = to
 
 
+def keyed_texts(batch: pa.RecordBatch) -> Iterator[tuple[object, str]]:
+    """Key and text of every row of a batch of two columns; the texts of one piece are strings at a time."""
+    for part in pieces(batch, batch.schema.names[1]):
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def add_columns(
     df: DataFrame,
     compute: Callable[[np.ndarray, np.ndarray], list[pa.Array]],

@@ -128,7 +128,7 @@ def token_sequences(docs: DataFrame, config: OrderConfig = OrderConfig(), *, key
 
         for batch in batches:
             kind = batch.schema.field("_k").type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, t in K.keyed_texts(batch):
                 ids.append(np.array([*encode(t), config.end_of_text], np.uint16))
                 names.append(k)
                 begun.append(0)
